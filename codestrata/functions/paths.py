@@ -95,8 +95,9 @@ def depth(path: str | Column) -> Column:
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    """Value for ``key`` in a small fixed table, or null. The table is a constant of the plan."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    """Value for ``key`` in a small fixed table, or null. Spark folds the table into a constant of the plan."""
+    text = "\n".join(f"{k}\t{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t")), key)
 
 
 def first_hit(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -117,21 +118,23 @@ def is_doc(path: str | Column) -> Column:
     return F.lower(file_suffix(path)).isin(DOC_SUFFIXES)
 
 
-def category(path: str | Column) -> Column:
-    """First matching group of the seven; the file name counts as a segment."""
-    folders = segments(F.lower(_col(path)))
-    name = F.lower(file_name(path))
+def under(path: str | Column, names: list[str]) -> Column:
+    """Whether a segment of the path, the file name included, is one of ``names``."""
+    words = "|".join(name.replace(".", "[.]") for name in names)
+    return _col(path).rlike(f"(?:^|/)(?:{words})(?:/|$)")
 
-    def under(*names: str) -> Column:
-        return F.arrays_overlap(folders, F.array(*[F.lit(n) for n in names]))
 
+def category(path: str | Column) -> Column:
+    """First matching group of the seven; the file name counts as a segment."""
+    low = F.lower(_col(path))
+    doc_suffix = "|".join(suffix[1:] for suffix in DOC_SUFFIXES)
     return (
-        F.when(is_doc(path) | under("docs"), "documentation")
-        .when(under("test", "tests") | name.startswith("test_"), "tests")
-        .when(under("scripts") | name.endswith(".sh"), "automation")
-        .when(under("infra", ".github") | name.contains("docker"), "infrastructure")
-        .when(under(*APPLICATION_FOLDERS), "application")
-        .when(under("examples"), "examples")
+        F.when(under(low, ["docs"]) | low.rlike(f"[^/][.](?:{doc_suffix})$"), "documentation")
+        .when(under(low, ["test", "tests"]) | low.rlike("(?:^|/)test_[^/]*$"), "tests")
+        .when(under(low, ["scripts"]) | low.endswith(".sh"), "automation")
+        .when(under(low, ["infra", ".github"]) | low.rlike("docker[^/]*$"), "infrastructure")
+        .when(under(low, APPLICATION_FOLDERS), "application")
+        .when(under(low, ["examples"]), "examples")
         .otherwise("misc")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.functions.paths import file_name, file_suffix, segments
+from codestrata.functions.paths import file_name, file_suffix, under
 
 # Folder names that hold no source of the repository.
 IGNORED_FOLDERS = [
@@ -48,15 +48,13 @@ def scan_files(spark: SparkSession, root: str, name_glob: str | None = None) ->
 
 def ignore_dirs(files: DataFrame) -> DataFrame:
     """Files with no ignored folder name among their repository-relative segments."""
-    ignored = F.array(*[F.lit(name) for name in IGNORED_FOLDERS])
-    return files.filter(~F.arrays_overlap(segments("path"), ignored))
+    return files.filter(~under("path", IGNORED_FOLDERS))
 
 
 def is_scannable(path: str = "path", size: str = "size_bytes") -> Column:
-    skipped = F.array(*[F.lit(name) for name in SCAN_SKIPPED])
     return (
         (F.col(size) <= MAX_SCAN_BYTES)
-        & ~F.arrays_overlap(segments(path), skipped)
+        & ~under(path, SCAN_SKIPPED)
         & ~F.lower(file_suffix(path)).isin(SCAN_SKIPPED)
         & ~file_name(path).isin(LOCK_FILES)
     )
