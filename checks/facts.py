@@ -399,8 +399,7 @@ imports AS (SELECT repo, path, module, row_number() OVER (PARTITION BY repo, pat
 
 
 def import_rows(s, d):
-    rows = FA.code_structure(tree(s, d)).select("repo", "path", F.posexplode("imports").alias("pos", "module"))
-    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+    return FA.imports(tree(s, d)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 for name, condition in (("python_imports", "lower(path) LIKE '%.py'"), ("js_imports", "lower(path) NOT LIKE '%.py'")):

@@ -524,7 +524,7 @@ def js_functions(content: Column) -> Column:
     return _first_of_name(F.transform(found, one))
 
 
-def js_interfaces(content: Column, class_names: Column) -> Column:
+def js_interfaces(content: Column) -> Column:
     found, regex = _js_definitions(content, JS_INTERFACE)
 
     def one(m: Column) -> Column:
@@ -532,7 +532,10 @@ def js_interfaces(content: Column, class_names: Column) -> Column:
         doc = _or_inferred(js_doc(F.regexp_extract(m, regex, 1)), name, "interface", F.lit(""))
         return _symbol(name, "interface", doc, F.lit(""))
 
-    return F.filter(
-        _first_of_name(F.transform(found, one)), lambda s: ~F.array_contains(class_names, s["name"])
+    class_matches, class_regex = _js_definitions(content, JS_CLASS)
+    class_names = F.transform(class_matches, lambda m: F.regexp_extract(m, class_regex, 2))
+    bound = F.array(F.struct(_first_of_name(F.transform(found, one)).alias("all"), class_names.alias("taken")))
+    return F.flatten(
+        F.transform(bound, lambda b: F.filter(b["all"], lambda s: ~F.array_contains(b["taken"], s["name"])))
     )
 

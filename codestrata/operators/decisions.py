@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions import extract as X
 from codestrata.functions import paths as P
-from codestrata.operators.facts import ENV_FILES
-from codestrata.sources.trees import capped_text, ignore_dirs
+from codestrata.operators.facts import file_facts
+from codestrata.sources.trees import ignore_dirs
 
 INFRA_HALF_POINTS = 10
 
@@ -27,26 +26,22 @@ API_FRAMEWORKS = ["FastAPI", "Flask", "Django", "Express"]
 
 def repo_facts(files: DataFrame) -> DataFrame:
     """Counts and yes/no facts of each repository, gathered from all files in a single grouping."""
-    path, content = F.col("path"), F.col("content")
-    kept = ignore_dirs(files).select(
-        "repo", "path", capped_text(content).alias("content"),
-        P.category("path").alias("category"), P.language("path").alias("language"),
-    )
-    python = F.col("language") == "Python"
-    per_file = kept.select(
-        "repo", "category", "language",
+    lists = {"env": ["env_declared", "env_read"], "scripts": ["scripts"], "endpoints": ["api_endpoints"]}
+    table = files if "scripts" in files.columns else file_facts(files)
+
+    def filled(names: list[str]) -> F.Column:
+        return F.coalesce(P.any_of([F.coalesce(F.size(n), F.lit(0)) > 0 for n in names]), F.lit(False))
+
+    per_file = ignore_dirs(table).select(
+        "repo",
+        P.category("path").alias("category"),
+        P.language("path").alias("language"),
         P.infra_halves("path").alias("halves"),
         P.tools("path").alias("tools"),
         P.frameworks("path").alias("frameworks"),
         P.has_deploy_word("path").alias("deploy"),
         P.config_format("path").isNotNull().alias("config"),
-        F.when(path.isin(ENV_FILES), F.size(X.env_defaults(content)) > 0)
-        .when(python & content.contains("os."), F.size(X.env_refs_python(content)) > 0)
-        .otherwise(False).alias("env"),
-        F.when(path == "package.json", F.size(X.scripts_npm(content)) > 0)
-        .when(path == "Makefile", F.size(X.scripts_make(content)) > 0)
-        .otherwise(False).alias("scripts"),
-        F.when(python & content.contains("@"), F.size(X.api_endpoints(content)) > 0).otherwise(False).alias("endpoints"),
+        *[filled(names).alias(alias) for alias, names in lists.items()],
     )
 
     def count(condition: F.Column, alias: str) -> F.Column:

@@ -1,12 +1,15 @@
 """Facts as rows: the arrays of ``functions.extract`` exploded, combined and de-duplicated.
 
-Files are chosen by path before their content is looked at, so Spark reads the
-text of the few files that matter. Sources that feed one list are handled in
-one pass over the files, not one pass each.
+Every function takes either a file table with its content or the table of
+``file_facts``, which holds the arrays of all extractors. A caller who needs one
+list reads only the files that can hold it; a caller who needs many lists runs
+``file_facts`` once, writes it, and never reads the text again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,53 +19,115 @@ from codestrata.operators.ordering import first_wins
 from codestrata.sources.trees import capped_text, ignore_dirs
 
 JS_LANGUAGES = ["JavaScript", "TypeScript", "TypeScript React", "JavaScript React"]
-
 REQUIREMENTS = ["requirements.txt", "requirements-dev.txt"]
+DEPENDENCY_FILES = ["pyproject.toml", *REQUIREMENTS, "package.json"]
 ENV_FILES = [".env.example", ".env.sample", ".env.template"]
+CI_PATH = r"^(?:\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.yml|Jenkinsfile|\.circleci/config\.yml)$"
+WORKFLOW_PATH = r"^\.github/workflows/[^/]+\.ya?ml$"
+PLATFORMS = ["github-actions", "gitlab-ci", "jenkins", "circleci"]
+
+C, PATH = F.col("content"), F.col("path")
+
+
+def _is_python() -> Column:
+    return P.language("path") == "Python"
+
+
+def _is_code() -> Column:
+    return P.language("path").isin("Python", *JS_LANGUAGES) & (C != "")
+
+
+def _either(name: str) -> list[str]:
+    return [f".github/{name}.yml", f".github/{name}.yaml"]
+
+
+def _dependencies() -> Column:
+    return (
+        F.when(PATH == "pyproject.toml", X.deps_pyproject(C))
+        .when(PATH.isin(REQUIREMENTS), X.deps_requirements(C, PATH))
+        .when(PATH == "package.json", X.deps_package_json(C))
+    )
+
+
+def _is_entry_source() -> Column:
+    return PATH.isin("pyproject.toml", "package.json") | (P.file_name("path") == "__main__.py")
+
+
+def _entry_points() -> Column:
+    return (
+        F.when(PATH == "pyproject.toml", X.entry_points_pyproject(C))
+        .when(PATH == "package.json", X.entry_points_package_json(C))
+        .when(_is_entry_source(), X.entry_points_dunder_main(PATH))
+    )
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """Files that are not ignored, content cut to the analysis limit."""
-    return ignore_dirs(files).select("repo", "path", capped_text(F.col("content")).alias("content"))
+def _scripts() -> Column:
+    return F.when(PATH == "package.json", X.scripts_npm(C)).when(PATH == "Makefile", X.scripts_make(C))
 
 
-def _python(files: DataFrame) -> DataFrame:
-    return read_files(files).filter(P.language("path") == "Python")
+# Each fact: which files can hold it, and its array (or value) for such a file.
+FACTS: dict[str, tuple[Callable[[], Column], Callable[[], Column]]] = {
+    "dependencies": (lambda: PATH.isin(DEPENDENCY_FILES), _dependencies),
+    "env_declared": (lambda: PATH.isin(ENV_FILES), lambda: X.env_defaults(C)),
+    "env_read": (lambda: _is_python() & C.contains("os."), lambda: F.array_distinct(X.env_refs_python(C))),
+    "entry_points": (_is_entry_source, _entry_points),
+    "scripts": (lambda: PATH.isin("package.json", "Makefile"), _scripts),
+    "api_endpoints": (lambda: _is_python() & C.contains("@"), lambda: X.api_endpoints(C)),
+    "workflow": (lambda: PATH.rlike(CI_PATH) & (C != ""), lambda: X.ci_workflow(C, PATH)),
+    "owner_rules": (lambda: PATH == ".github/CODEOWNERS", lambda: X.codeowner_rules(C)),
+    "ecosystems": (lambda: PATH.isin(_either("dependabot")), lambda: X.dependabot_ecosystems(C)),
+    "platforms": (lambda: PATH.isin(_either("FUNDING")), lambda: X.funding_platforms(C)),
+    "label_names": (lambda: PATH.isin(_either("labels")), lambda: X.label_names(C)),
+    "branches": (lambda: PATH.rlike(WORKFLOW_PATH), lambda: X.protected_branches(C)),
+    "callable": (lambda: PATH.rlike(WORKFLOW_PATH), lambda: C.contains("workflow_call:")),
+    "releases": (lambda: PATH.rlike(WORKFLOW_PATH), lambda: X.releases_itself(C, PATH)),
+    "classes": (_is_code, lambda: F.when(_is_python(), X.python_classes(C)).otherwise(X.js_classes(C))),
+    "functions": (_is_code, lambda: F.when(_is_python(), X.python_functions(C)).otherwise(X.js_functions(C))),
+    "interfaces": (lambda: _is_code() & ~_is_python(), lambda: X.js_interfaces(C)),
+    "imports": (_is_code, lambda: F.when(_is_python(), X.python_imports(C)).otherwise(X.js_imports(C))),
+}
 
 
-def explode_facts(df: DataFrame, facts: Column, *keys: str) -> DataFrame:
-    """One row per struct of an array column."""
-    rows = df.select(*(keys or ("repo", "path")), F.explode(facts).alias("fact"))
-    return rows.select(*(keys or ("repo", "path")), "fact.*")
+def file_facts(files: DataFrame) -> DataFrame:
+    """All facts of every file that is not ignored, from one pass over the text. Far smaller than the text."""
+    read = ignore_dirs(files).select("repo", "path", "size_bytes", capped_text(C).alias("content"))
+    facts = [F.when(holds(), value()).alias(name) for name, (holds, value) in FACTS.items()]
+    return read.select("repo", "path", "size_bytes", F.length("content").alias("chars"), *facts)
+
+
+def with_facts(files: DataFrame, *names: str) -> DataFrame:
+    """The named facts per file, taken from a facts table or from the content of the files that can hold them."""
+    if names[0] in files.columns:
+        return files.select("repo", "path", *names)
+    read = ignore_dirs(files).select("repo", "path", capped_text(C).alias("content"))
+    wanted = read.filter(P.any_of([FACTS[name][0]() for name in names]))
+    return wanted.select("repo", "path", *[F.when(FACTS[n][0](), FACTS[n][1]()).alias(n) for n in names])
+
+
+def explode_facts(files: DataFrame, name: str) -> DataFrame:
+    """One row per struct of a fact."""
+    return with_facts(files, name).select("repo", "path", F.inline(name))
 
 
 # --- lists of a repository ------------------------------------------------------------------------------------------
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """Dependencies of the root manifests in one pass; ``source_ord`` and ``pos`` give their order."""
-    content, path = F.col("content"), F.col("path")
-    sources = ["pyproject.toml", *REQUIREMENTS, "package.json"]
-    found = (
-        F.when(path == "pyproject.toml", X.deps_pyproject(content))
-        .when(path.isin(REQUIREMENTS), X.deps_requirements(content, path))
-        .when(path == "package.json", X.deps_package_json(content))
-    )
-    rows = explode_facts(read_files(files).filter(path.isin(sources)), found)
-    order = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int")
-    return rows.drop("path").withColumn("source_ord", order)
+    """Dependencies of the root manifests; ``source_ord`` and ``pos`` give their order."""
+    order = F.array_position(F.array(*[F.lit(s) for s in DEPENDENCY_FILES]), F.col("source")).cast("int")
+    return explode_facts(files, "dependencies").drop("path").withColumn("source_ord", order)
 
 
 def env_file_rows(files: DataFrame) -> DataFrame:
-    rows = explode_facts(read_files(files).filter(F.col("path").isin(ENV_FILES)), X.env_defaults(F.col("content")))
+    rows = explode_facts(files, "env_declared")
     return rows.select("repo", "name", F.col("path").alias("source_file"), "default_value", "pos")
 
 
 def env_code_refs(files: DataFrame) -> DataFrame:
     """Every variable name Python files read, once per file."""
-    names = F.array_distinct(X.env_refs_python(F.col("content")))
-    python = _python(files).filter(F.col("content").contains("os."))
-    return python.select("repo", F.col("path").alias("source_file"), F.posexplode(names).alias("pos", "name"))
+    return with_facts(files, "env_read").select(
+        "repo", F.col("path").alias("source_file"), F.posexplode("env_read").alias("pos", "name")
+    )
 
 
 def env_refs_new(files: DataFrame) -> DataFrame:
@@ -81,37 +146,22 @@ def env_variables(files: DataFrame) -> DataFrame:
 
 def entry_points(files: DataFrame) -> DataFrame:
     """Commands and modules of the manifests and of runnable packages."""
-    content, path = F.col("content"), F.col("path")
-    found = (
-        F.when(path == "pyproject.toml", X.entry_points_pyproject(content))
-        .when(path == "package.json", X.entry_points_package_json(content))
-        .otherwise(X.entry_points_dunder_main(path))
-    )
-    chosen = read_files(files).filter(path.isin("pyproject.toml", "package.json") | (P.file_name("path") == "__main__.py"))
-    order = F.when(path == "pyproject.toml", 1).when(path == "package.json", 2).otherwise(3)
-    return explode_facts(chosen, found).withColumn("source_ord", order)
+    order = F.when(PATH == "pyproject.toml", 1).when(PATH == "package.json", 2).otherwise(3)
+    return explode_facts(files, "entry_points").withColumn("source_ord", order)
 
 
 def scripts(files: DataFrame) -> DataFrame:
-    content, path = F.col("content"), F.col("path")
-    found = F.when(path == "package.json", X.scripts_npm(content)).otherwise(X.scripts_make(content))
-    rows = explode_facts(read_files(files).filter(path.isin("package.json", "Makefile")), found)
-    return rows.withColumn("source_ord", F.when(path == "package.json", 1).otherwise(2)).drop("path")
+    order = F.when(PATH == "package.json", 1).otherwise(2)
+    return explode_facts(files, "scripts").withColumn("source_ord", order).drop("path")
 
 
 def api_endpoints(files: DataFrame) -> DataFrame:
-    python = _python(files).filter(F.col("content").contains("@"))
-    return explode_facts(python, X.api_endpoints(F.col("content")))
-
-
-CI_PATH = r"^(?:\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.yml|Jenkinsfile|\.circleci/config\.yml)$"
-PLATFORMS = ["github-actions", "gitlab-ci", "jenkins", "circleci"]
+    return explode_facts(files, "api_endpoints")
 
 
 def ci_workflows(files: DataFrame) -> DataFrame:
     """One row per workflow file; ``platform_ord`` and ``path`` give their order."""
-    chosen = read_files(files).filter(F.col("path").rlike(CI_PATH) & (F.col("content") != ""))
-    rows = chosen.select("repo", "path", X.ci_workflow(F.col("content"), F.col("path")).alias("w")).select("repo", "path", "w.*")
+    rows = with_facts(files, "workflow").filter(F.col("workflow").isNotNull()).select("repo", "path", "workflow.*")
     order = F.array_position(F.array(*[F.lit(p) for p in PLATFORMS]), F.col("platform")).cast("int")
     return rows.withColumn("platform_ord", order)
 
@@ -121,14 +171,9 @@ def ci_workflows(files: DataFrame) -> DataFrame:
 WORKFLOW_PATH = r"^\.github/workflows/[^/]+\.ya?ml$"
 
 
-def _hosting(files: DataFrame) -> DataFrame:
-    return read_files(files).filter(F.col("path").startswith(".github/"))
-
-
 def codeowners(files: DataFrame) -> DataFrame:
     """Ownership rules in file order: the pattern and its owners."""
-    rules = X.codeowner_rules(F.col("content"))
-    rows = _hosting(files).filter(F.col("path") == ".github/CODEOWNERS").select("repo", F.posexplode(rules).alias("pos", "rule"))
+    rows = with_facts(files, "owner_rules").select("repo", F.posexplode("owner_rules").alias("pos", "rule"))
     words = F.split("rule", r"\s+")
     return rows.select(
         "repo", "pos", "rule", F.get(words, F.lit(0)).alias("pattern"),
@@ -136,55 +181,56 @@ def codeowners(files: DataFrame) -> DataFrame:
     )
 
 
-def _preferred(files: DataFrame, stem: str) -> DataFrame:
-    """The ``.yml`` file of a name, or the ``.yaml`` one when a repository has only that."""
-    both = _hosting(files).filter(F.col("path").isin(f".github/{stem}.yml", f".github/{stem}.yaml"))
-    return both.groupBy("repo").agg(F.max_by("content", "path").alias("content"))
+def _preferred(files: DataFrame, name: str) -> DataFrame:
+    """A fact from the ``.yml`` file of a name, or from the ``.yaml`` one when a repository has only that."""
+    rows = with_facts(files, name).filter(F.col(name).isNotNull())
+    return rows.groupBy("repo").agg(F.max_by(name, "path").alias(name))
 
 
 def dependabot(files: DataFrame) -> DataFrame:
-    return _preferred(files, "dependabot").select("repo", X.dependabot_ecosystems(F.col("content")).alias("ecosystems"))
+    return _preferred(files, "ecosystems")
 
 
 def funding(files: DataFrame) -> DataFrame:
-    platforms = X.funding_platforms(F.col("content"))
-    return _preferred(files, "FUNDING").select("repo", F.posexplode(platforms).alias("pos", "platform"))
+    return _preferred(files, "platforms").select("repo", F.posexplode("platforms").alias("pos", "platform"))
 
 
 def labels(files: DataFrame) -> DataFrame:
-    names = X.label_names(F.col("content"))
-    return _preferred(files, "labels").select("repo", F.posexplode(names).alias("pos", "label"))
+    return _preferred(files, "label_names").select("repo", F.posexplode("label_names").alias("pos", "label"))
 
 
 def issue_templates(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    inside = path.rlike(r"^\.github/ISSUE_TEMPLATE/[^/]+\.(?:md|yml|yaml)$")
-    chosen = ignore_dirs(files).filter(inside | (path == ".github/ISSUE_TEMPLATE.md"))
+    inside = PATH.rlike(r"^\.github/ISSUE_TEMPLATE/[^/]+\.(?:md|yml|yaml)$")
+    chosen = ignore_dirs(files).filter(inside | (PATH == ".github/ISSUE_TEMPLATE.md"))
     return chosen.select("repo", "path", F.when(inside, P.file_stem("path")).otherwise("default").alias("template"))
 
 
 def custom_actions(files: DataFrame) -> DataFrame:
     """Composite actions by folder and workflows that others can call."""
-    path = F.col("path")
-    action = F.regexp_extract(path, r"^\.github/actions/([^/]+)/action\.ya?ml$", 1)
-    callable_ = path.rlike(WORKFLOW_PATH) & F.col("content").contains("workflow_call:")
-    name = F.when(action != "", action).when(callable_, F.concat(F.lit("workflow:"), P.file_stem("path")))
-    return _hosting(files).select("repo", name.alias("action")).filter(F.col("action").isNotNull()).distinct()
+    folder = F.regexp_extract(PATH, r"^\.github/actions/([^/]+)/action\.ya?ml$", 1)
+    composite = ignore_dirs(files).select("repo", folder.alias("action")).filter(F.col("action") != "")
+    reusable = with_facts(files, "callable").filter("callable").select(
+        "repo", F.concat(F.lit("workflow:"), P.file_stem("path")).alias("action")
+    )
+    return composite.unionByName(reusable).distinct()
 
 
 def hosting_flags(files: DataFrame) -> DataFrame:
     """One row per repository with a ``.github`` folder: its yes/no settings and inferred protected branches."""
-    path, content = F.col("path"), F.col("content")
-    workflow = path.rlike(WORKFLOW_PATH)
-    branches = F.flatten(F.collect_set(F.when(workflow, X.protected_branches(content))))
-    return _hosting(files).groupBy("repo").agg(
-        F.max(path.isin(".github/PULL_REQUEST_TEMPLATE.md", ".github/pull_request_template.md")).alias("pr_template"),
-        F.max(path.isin(".github/dependabot.yml", ".github/dependabot.yaml")).alias("dependabot_enabled"),
-        F.max(path.isin(".github/release-drafter.yml", ".github/release-drafter.yaml")).alias("release_drafter"),
-        F.max(workflow & X.releases_itself(content, path)).alias("auto_release"),
+    paths = ignore_dirs(files).filter(PATH.startswith(".github/")).groupBy("repo").agg(
+        F.max(PATH.isin(".github/PULL_REQUEST_TEMPLATE.md", ".github/pull_request_template.md")).alias("pr_template"),
+        F.max(PATH.isin(_either("dependabot"))).alias("dependabot_enabled"),
+        F.max(PATH.isin(_either("release-drafter"))).alias("release_drafter"),
+    )
+    workflows = with_facts(files, "branches", "releases").filter(F.col("releases").isNotNull()).groupBy("repo").agg(
+        F.max("releases").alias("auto_release"),
         # At most 32 different sorted subsets of five fixed names.
-        X.distinct_sorted(branches).alias("protected_branches"),
+        X.distinct_sorted(F.flatten(F.collect_set("branches"))).alias("protected_branches"),
     )
+    return paths.join(workflows, "repo", "left").withColumns({
+        "auto_release": F.coalesce("auto_release", F.lit(False)),
+        "protected_branches": F.coalesce("protected_branches", F.array().cast("array<string>")),
+    })
 
 
 # --- markers --------------------------------------------------------------------------------------------------------
@@ -192,7 +238,7 @@ def hosting_flags(files: DataFrame) -> DataFrame:
 
 def file_markers(files: DataFrame) -> DataFrame:
     """Tools and frameworks each file gives away, one row per file and marker."""
-    path = F.col("path")
+    path = PATH
     platform = F.when(
         path.rlike(CI_PATH) & (F.col("size_bytes") > 0),
         F.when(path.startswith(".github/"), "github-actions")
@@ -221,30 +267,20 @@ def repo_markers(files: DataFrame) -> DataFrame:
 
 def code_structure(files: DataFrame) -> DataFrame:
     """Per code file its class, function and interface structs and its imports."""
-    code = read_files(files).filter(P.language("path").isin("Python", *JS_LANGUAGES) & (F.col("content") != ""))
-    content = F.col("content")
-    python = P.language("path") == "Python"
-    with_classes = code.select(
-        "repo", "path", "content",
-        F.when(python, X.python_classes(content)).otherwise(X.js_classes(content)).alias("classes"),
-        F.when(python, X.python_functions(content)).otherwise(X.js_functions(content)).alias("functions"),
-        F.when(python, X.python_imports(content)).otherwise(X.js_imports(content)).alias("imports"),
-    )
-    names = F.transform("classes", lambda s: s["name"])
-    none = F.slice("classes", 1, 0)
-    return with_classes.select(
-        "repo", "path", "classes", "functions",
-        F.when(python, none).otherwise(X.js_interfaces(content, names)).alias("interfaces"),
-        "imports",
-    )
+    return with_facts(files, "classes", "functions", "interfaces", "imports").filter(F.col("classes").isNotNull())
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """One row per symbol, in file order: classes, functions, interfaces."""
-    rows = code_structure(files).select("repo", "path", F.posexplode(F.concat("classes", "functions", "interfaces")).alias("pos", "s"))
+    everything = F.concat("classes", "functions", F.coalesce("interfaces", F.slice("classes", 1, 0)))
+    rows = code_structure(files).select("repo", "path", F.posexplode(everything).alias("pos", "s"))
     return rows.select("repo", "path", "pos", "s.*", P.directory_key("path").alias("dir_key"))
 
 
+def imports(files: DataFrame) -> DataFrame:
+    return with_facts(files, "imports").select("repo", "path", F.posexplode("imports").alias("pos", "module"))
+
+
 def dependency_inventory(files: DataFrame) -> DataFrame:
     """Across repositories: where each dependency is used and in how many versions.
 

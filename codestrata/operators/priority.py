@@ -95,13 +95,17 @@ def context_budget(
     )
 
 
-def important_files(files: DataFrame, features: DataFrame, max_files: int = MAX_FILES, max_total: int = MAX_TOTAL_CHARS) -> DataFrame:
+def important_files(
+    files: DataFrame, features: DataFrame, max_files: int = MAX_FILES, max_total: int = MAX_TOTAL_CHARS, lengths: DataFrame | None = None
+) -> DataFrame:
     """Rank, path and content of the files that go into a context.
 
-    The choice is made on lengths alone; the text of the chosen files is joined last.
+    The choice is made on lengths alone (``lengths``: repo, path, chars, when
+    they are known already); the text of the chosen files is joined last.
     """
     texts = files.select("repo", "path", capped_text(F.col("content"), MAX_CONTENT_CHARS).alias("content"))
-    lengths = texts.select("repo", "path", F.length("content").alias("chars"))
+    if lengths is None:
+        lengths = texts.select("repo", "path", F.length("content").alias("chars"))
     chosen = priority_files(features, max_files).join(lengths, ["repo", "path"])
     taken = context_budget(chosen, ["repo"], ["tier", "sort_score", "path"], "chars", max_total)
     # Every taken file has a character of the budget, so a repository has at most that many rows here.

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES
 from codestrata.operators import facts
+from codestrata.operators.facts import file_facts
 from codestrata.operators.decisions import doc_needs, infra_score, repo_facts
 from codestrata.operators.features import config_files, existing_docs, file_features
 from codestrata.operators.priority import important_files
+from codestrata.sources.tables import settle
 from codestrata.operators.summaries import counted_map, directory_summaries, symbol_totals, top_symbols
 
 COUNTED = [
@@ -19,41 +20,40 @@ COUNTED = [
 ]
 
 
-def profile_tables(files: DataFrame, keep: bool = True) -> dict[str, DataFrame]:
+def profile_tables(files: DataFrame) -> dict[str, DataFrame]:
     """Every list of the profile as its own table keyed by repository.
 
-    The symbols are the one costly step that several tables need; with ``keep``
-    they are stored at first use, in memory and on disk.
+    The text is read once: the facts of all files are written, and the lists
+    come from there. Only the important files are looked up again at the end.
     """
-    features = file_features(files)
-    symbols = facts.symbols(files)
-    if keep:
-        symbols = symbols.persist(StorageLevel.MEMORY_AND_DISK)
-    facts_per_repo = repo_facts(files)
+    per_file = settle(file_facts(files))
+    features = file_features(per_file)
+    symbols = facts.symbols(per_file)
+    facts_per_repo = repo_facts(per_file)
     return {
         "features": features,
         "symbols": symbols,
         "facts": facts_per_repo,
         "doc_needs": doc_needs(facts_per_repo),
-        "dependencies": facts.dependencies(files),
-        "env_variables": facts.env_variables(files),
-        "entry_points": facts.entry_points(files),
-        "config_files": config_files(files),
-        "scripts": facts.scripts(files),
-        "api_endpoints": facts.api_endpoints(files),
-        "ci_workflows": facts.ci_workflows(files),
-        "existing_docs": existing_docs(files),
-        "markers": facts.repo_markers(files),
-        "codeowners": facts.codeowners(files),
-        "dependabot": facts.dependabot(files),
-        "issue_templates": facts.issue_templates(files),
-        "custom_actions": facts.custom_actions(files),
-        "funding": facts.funding(files),
-        "labels": facts.labels(files),
-        "hosting_flags": facts.hosting_flags(files),
+        "dependencies": facts.dependencies(per_file),
+        "env_variables": facts.env_variables(per_file),
+        "entry_points": facts.entry_points(per_file),
+        "config_files": config_files(per_file),
+        "scripts": facts.scripts(per_file),
+        "api_endpoints": facts.api_endpoints(per_file),
+        "ci_workflows": facts.ci_workflows(per_file),
+        "existing_docs": existing_docs(per_file),
+        "markers": facts.repo_markers(per_file),
+        "codeowners": facts.codeowners(per_file),
+        "dependabot": facts.dependabot(per_file),
+        "issue_templates": facts.issue_templates(per_file),
+        "custom_actions": facts.custom_actions(per_file),
+        "funding": facts.funding(per_file),
+        "labels": facts.labels(per_file),
+        "hosting_flags": facts.hosting_flags(per_file),
         "top_symbols": top_symbols(symbols),
         "directories": directory_summaries(features, symbols),
-        "important_files": important_files(files, features),
+        "important_files": important_files(files, features, lengths=per_file.select("repo", "path", "chars")),
     }
 
 
