@@ -418,12 +418,16 @@ MAX_DOC_CHARS = 200
 MAX_SIGNATURE_CHARS = 100
 
 
-def _symbol(name: Column, kind: str, doc: Column, signature: Column) -> Column:
-    return F.struct(name.alias("name"), F.lit(kind).alias("symbol_type"), doc.alias("docstring"), signature.alias("signature"))
+def _symbol(name: Column, kind: str, doc: Column, bases: Column, signature: Column) -> Column:
+    return F.struct(
+        name.alias("name"), F.lit(kind).alias("symbol_type"), doc.alias("doc"), bases.alias("bases"), signature.alias("signature")
+    )
 
 
-def _or_inferred(doc: Column, name: Column, kind: str, bases: Column) -> Column:
-    return F.when(doc != "", doc).otherwise(humanize_symbol(name, F.lit(kind), bases))
+def symbol_docstring(symbol: Column) -> Column:
+    """First line of the written description, else what the name tells."""
+    inferred = humanize_symbol(symbol["name"], symbol["symbol_type"], symbol["bases"])
+    return F.substring(F.when(symbol["doc"] != "", symbol["doc"]).otherwise(inferred), 1, MAX_DOC_CHARS)
 
 
 def _python_doc(match: Column, regex: str) -> Column:
@@ -434,8 +438,7 @@ def _python_doc(match: Column, regex: str) -> Column:
 def python_classes(content: Column) -> Column:
     def one(m: Column) -> Column:
         name, bases = F.regexp_extract(m, PYTHON_CLASS, 1), F.regexp_extract(m, PYTHON_CLASS, 2)
-        doc = _or_inferred(_python_doc(m, PYTHON_CLASS), name, "class", bases)
-        return _symbol(name, "class", F.substring(doc, 1, MAX_DOC_CHARS), F.substring(bases, 1, MAX_SIGNATURE_CHARS))
+        return _symbol(name, "class", _python_doc(m, PYTHON_CLASS), bases, F.substring(bases, 1, MAX_SIGNATURE_CHARS))
 
     return F.transform(matches(content, PYTHON_CLASS), one)
 
@@ -443,8 +446,7 @@ def python_classes(content: Column) -> Column:
 def python_functions(content: Column) -> Column:
     def one(m: Column) -> Column:
         name, params = F.regexp_extract(m, PYTHON_FUNCTION, 1), F.regexp_extract(m, PYTHON_FUNCTION, 2)
-        doc = _or_inferred(_python_doc(m, PYTHON_FUNCTION), name, "function", F.lit(""))
-        return _symbol(name, "function", F.substring(doc, 1, MAX_DOC_CHARS), simplify_params(params))
+        return _symbol(name, "function", _python_doc(m, PYTHON_FUNCTION), F.lit(""), simplify_params(params))
 
     return F.transform(matches(content, PYTHON_FUNCTION), one)
 
@@ -507,8 +509,8 @@ def js_classes(content: Column) -> Column:
 
     def one(m: Column) -> Column:
         name, base = F.regexp_extract(m, regex, 2), F.regexp_extract(m, regex, 3)
-        doc = _or_inferred(js_doc(F.regexp_extract(m, regex, 1)), name, "class", base)
-        return _symbol(name, "class", doc, F.when(base != "", F.concat(F.lit("extends "), base)).otherwise(""))
+        extends = F.when(base != "", F.concat(F.lit("extends "), base)).otherwise("")
+        return _symbol(name, "class", js_doc(F.regexp_extract(m, regex, 1)), base, extends)
 
     return F.transform(found, one)
 
@@ -518,8 +520,7 @@ def js_functions(content: Column) -> Column:
 
     def one(m: Column) -> Column:
         name = F.concat(F.regexp_extract(m, regex, 2), F.regexp_extract(m, regex, 3))
-        doc = _or_inferred(js_doc(F.regexp_extract(m, regex, 1)), name, "function", F.lit(""))
-        return _symbol(name, "function", doc, F.lit(""))
+        return _symbol(name, "function", js_doc(F.regexp_extract(m, regex, 1)), F.lit(""), F.lit(""))
 
     return _first_of_name(F.transform(found, one))
 
@@ -529,8 +530,7 @@ def js_interfaces(content: Column) -> Column:
 
     def one(m: Column) -> Column:
         name = F.regexp_extract(m, regex, 2)
-        doc = _or_inferred(js_doc(F.regexp_extract(m, regex, 1)), name, "interface", F.lit(""))
-        return _symbol(name, "interface", doc, F.lit(""))
+        return _symbol(name, "interface", js_doc(F.regexp_extract(m, regex, 1)), F.lit(""), F.lit(""))
 
     class_matches, class_regex = _js_definitions(content, JS_CLASS)
     class_names = F.transform(class_matches, lambda m: F.regexp_extract(m, class_regex, 2))

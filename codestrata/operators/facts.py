@@ -274,7 +274,10 @@ def symbols(files: DataFrame) -> DataFrame:
     """One row per symbol, in file order: classes, functions, interfaces."""
     everything = F.concat("classes", "functions", F.coalesce("interfaces", F.slice("classes", 1, 0)))
     rows = code_structure(files).select("repo", "path", F.posexplode(everything).alias("pos", "s"))
-    return rows.select("repo", "path", "pos", "s.*", P.directory_key("path").alias("dir_key"))
+    return rows.select(
+        "repo", "path", "pos", "s.name", "s.symbol_type", X.symbol_docstring(F.col("s")).alias("docstring"), "s.signature",
+        P.directory_key("path").alias("dir_key"),
+    )
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -44,12 +44,13 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
     A window alone would sort a whole group in one task. Here the rows are
     range-partitioned by group and order, so a large group spreads over many
     tasks; each range sums its own rows and starts from the total of the ranges
-    before it. The ranges are written once, as both steps must see the same ones.
+    before it. The rows are written before the ranges are drawn, which takes a
+    sample and would compute them twice, and again with their range, as both
+    steps must see the same ones.
     """
     ranges = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = settle(
-        df.withColumn("_value", value).repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id())
-    )
+    rows = settle(df.withColumn("_value", value))
+    placed = settle(rows.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(*keys, "_range")

@@ -27,39 +27,48 @@ def priority_files(features: DataFrame, max_files: int = MAX_FILES) -> DataFrame
     to ``max_files``; tiers one to four are never cut. ``sort_score`` and path
     order the files of a tier.
     """
-    must = file_name("path").isin(MUST_HAVE)
+    c = F.col
     base = features.select(
         "repo", "path", "score10",
-        must.alias("must"),
-        F.col("is_entry_point").alias("entry"),
-        ((F.col("category") == "examples") & (F.col("language") == "Python")).alias("example"),
-        ((F.col("category") == "application") & (F.col("score10") >= 3)).alias("app"),
+        file_name("path").isin(MUST_HAVE).alias("must"),
+        c("is_entry_point").alias("entry"),
+        ((c("category") == "examples") & (c("language") == "Python")).alias("example"),
+        ((c("category") == "application") & (c("score10") >= 3)).alias("app"),
     )
-    order: list[str | Column] = [F.desc("score10"), "path"]
-    # The limits of tiers three and four count all candidates, also those an earlier tier takes.
-    fixed = base.filter(F.col("must") | F.col("entry")).withColumn("tier", F.when(F.col("must"), 1).otherwise(2))
-    examples = head_per_group(base.filter("example"), ["repo"], order, EXAMPLES).filter(~F.col("must") & ~F.col("entry"))
-    apps = head_per_group(base.filter("app"), ["repo"], order, APPLICATION).filter(~F.col("must") & ~F.col("entry"))
-    # Application files and examples are different categories, so no file is in both tiers.
-    early = (
-        fixed.select("repo", "path", "score10", "tier")
-        .unionByName(examples.select("repo", "path", "score10").withColumn("tier", F.lit(3)))
-        .unionByName(apps.select("repo", "path", "score10").withColumn("tier", F.lit(4)))
+    first = c("must") | c("entry")
+    fixed = base.filter(first).select("repo", "path", "score10", F.when(c("must"), 1).otherwise(2).alias("tier"))
+
+    # A file can be ranked as an example or as application code (both count the files of earlier tiers as well)
+    # and among the rest. Only the best of each list can matter: every task keeps those before the shuffle.
+    roles = F.array_compact(F.array(
+        F.when(c("example"), F.lit("example")), F.when(c("app"), F.lit("app")), F.when(~first, F.lit("rest"))
+    ))
+    ranked = head_per_group(
+        base.select("repo", "path", "score10", first.alias("first"), F.explode(roles).alias("role")),
+        ["repo", "role"], [F.desc("score10"), "path"], max_files + EXAMPLES + APPLICATION, "place",
     )
-    taken = early.groupBy("repo").agg(F.count("*").alias("taken"))
-    # At most ``max_files`` files can follow, and at most fifteen of the best ones can be in tiers three and four.
-    rest = head_per_group(
-        base.filter(~F.col("must") & ~F.col("entry")), ["repo"], order, max_files + EXAMPLES + APPLICATION, "place"
-    ).join(early.select("repo", "path"), ["repo", "path"], "left_anti")
+
+    def within(role: str, n: int) -> Column:
+        return F.max((c("role") == role) & (c("place") <= n))
+
+    tier = F.when(within("example", EXAMPLES), 3).when(within("app", APPLICATION), 4).otherwise(5)
+    others = (
+        ranked.groupBy("repo", "path", "score10", "first")
+        .agg(tier.alias("tier"), F.max(c("role") == "rest").alias("rest"))
+        .filter(~c("first") & (c("rest") | (c("tier") < 5)))
+    )
+    # From here on a repository has a fixed number of rows at most.
+    by_tier = Window.partitionBy("repo").orderBy("tier", F.desc("score10"), "path")
+    taken = fixed.groupBy("repo").agg(F.count("*").alias("taken"))
     filled = (
-        head_per_group(rest, ["repo"], order, max_files, "place")
+        others.withColumn("place", F.row_number().over(by_tier))
         .join(taken, "repo", "left")
-        .filter(F.coalesce("taken", F.lit(0)) + F.col("place") <= max_files)
-        .select("repo", "path", "score10", F.lit(5).alias("tier"))
+        .filter((c("tier") < 5) | (F.coalesce("taken", F.lit(0)) + c("place") <= max_files))
+        .select("repo", "path", "score10", "tier")
     )
     # Must-have files keep the order of the tree: their score does not count.
-    score = F.when(F.col("tier") == 1, 0).otherwise(-F.col("score10"))
-    return early.unionByName(filled).withColumn("sort_score", score)
+    score = F.when(c("tier") == 1, 0).otherwise(-c("score10"))
+    return fixed.unionByName(filled).withColumn("sort_score", score)
 
 
 def priority_rank(features: DataFrame, max_files: int = MAX_FILES) -> DataFrame:

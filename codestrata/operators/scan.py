@@ -126,10 +126,19 @@ def scan_content(
 
 
 def has_blocker(text: Column, level: str = "standard", extra: list[Pattern] | None = None) -> Column:
-    """Whether a text holds a critical or high finding: answered inside the row, without a join."""
+    """Whether a text holds a critical or high finding: answered inside the row, without a join.
+
+    A pattern that matches on a line matches somewhere in the whole text, so
+    the whole text is asked first. Only a text that passes is cut into lines,
+    to rule out matches that run across a line break.
+    """
     patterns = [p for p in active_patterns(level, extra) if p.severity in ("critical", "high")]
-    lines = F.transform(text_lines(text), lambda line: _line_traits(line))
-    return F.exists(lines, lambda s: reduce(lambda a, b: a | b, [_matches(s, p) for p in patterns]))
+
+    def found(s: Column, p: Pattern) -> Column:
+        return _matches(s, p) & F.exists(text_lines(s["line"]), lambda line: line.rlike("(?i)" + p.regex))
+
+    whole = F.array(_line_traits(text))
+    return F.exists(whole, lambda s: reduce(lambda a, b: a | b, [found(s, p) for p in patterns]))
 
 
 def ai_safe_rows(corpus: DataFrame, text: str, level: str = "standard") -> DataFrame:

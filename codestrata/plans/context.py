@@ -68,10 +68,10 @@ def block(df: DataFrame, section: int, body: Column, k1: Column | None = None, k
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Union of tables with the same columns in the same order, paired up so that the plan stays shallow."""
+    while len(parts) > 1:
+        parts = [parts[i].union(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def counted_list(

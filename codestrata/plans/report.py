@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.catalog import SEVERITIES
 from codestrata.operators.ordering import assemble
+from codestrata.plans.context import union_all
 from codestrata.sources.tables import settle
 from codestrata.operators.status import compliance_status, medium_by_category, report_head, scan_totals, severity_counts
 
@@ -81,7 +82,7 @@ def compliance_report_blocks(files: DataFrame, findings: DataFrame) -> DataFrame
     has_critical, has_high = counts.filter(F.col("critical") > 0), counts.filter(F.col("high") > 0)
     has_medium = counts.filter(F.col("medium") > 0)
 
-    blocks = [
+    return union_all([
         _block(summary, 10, head),
         _block(status, 20, state),
         _block(has_critical, 30, F.lit("## Critical findings\n\n| File | Line | Issue | Category | Recommendation |\n|---|---|---|---|---|")),
@@ -93,11 +94,7 @@ def compliance_report_blocks(files: DataFrame, findings: DataFrame) -> DataFrame
         # Largest category first: the order key is the count turned round.
         _block(medium, 51, _text("- ", F.upper("category"), ": ", F.col("findings")), F.lpad((F.lit(10**15) - F.col("findings")).cast("string"), 16, "0"), None, F.col("category")),
         _block(summary, 60, F.lit("\n" + CLOSING)),
-    ]
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
-    return out
+    ])
 
 
 def compliance_report(files: DataFrame, findings: DataFrame) -> DataFrame:
