@@ -26,7 +26,13 @@ CI_PATH = r"^(?:\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.yml|Jenkinsfile|\.c
 WORKFLOW_PATH = r"^\.github/workflows/[^/]+\.ya?ml$"
 PLATFORMS = ["github-actions", "gitlab-ci", "jenkins", "circleci"]
 
-C, PATH = F.col("content"), F.col("path")
+
+def _content() -> Column:
+    return F.col("content")
+
+
+def _path() -> Column:
+    return F.col("path")
 
 
 def _is_python() -> Column:
@@ -34,7 +40,7 @@ def _is_python() -> Column:
 
 
 def _is_code() -> Column:
-    return P.language("path").isin("Python", *JS_LANGUAGES) & (C != "")
+    return P.language("path").isin("Python", *JS_LANGUAGES) & (_content() != "")
 
 
 def _either(name: str) -> list[str]:
@@ -43,54 +49,54 @@ def _either(name: str) -> list[str]:
 
 def _dependencies() -> Column:
     return (
-        F.when(PATH == "pyproject.toml", X.deps_pyproject(C))
-        .when(PATH.isin(REQUIREMENTS), X.deps_requirements(C, PATH))
-        .when(PATH == "package.json", X.deps_package_json(C))
+        F.when(_path() == "pyproject.toml", X.deps_pyproject(_content()))
+        .when(_path().isin(REQUIREMENTS), X.deps_requirements(_content(), _path()))
+        .when(_path() == "package.json", X.deps_package_json(_content()))
     )
 
 
 def _is_entry_source() -> Column:
-    return PATH.isin("pyproject.toml", "package.json") | (P.file_name("path") == "__main__.py")
+    return _path().isin("pyproject.toml", "package.json") | (P.file_name("path") == "__main__.py")
 
 
 def _entry_points() -> Column:
     return (
-        F.when(PATH == "pyproject.toml", X.entry_points_pyproject(C))
-        .when(PATH == "package.json", X.entry_points_package_json(C))
-        .when(_is_entry_source(), X.entry_points_dunder_main(PATH))
+        F.when(_path() == "pyproject.toml", X.entry_points_pyproject(_content()))
+        .when(_path() == "package.json", X.entry_points_package_json(_content()))
+        .when(_is_entry_source(), X.entry_points_dunder_main(_path()))
     )
 
 
 def _scripts() -> Column:
-    return F.when(PATH == "package.json", X.scripts_npm(C)).when(PATH == "Makefile", X.scripts_make(C))
+    return F.when(_path() == "package.json", X.scripts_npm(_content())).when(_path() == "Makefile", X.scripts_make(_content()))
 
 
 # Each fact: which files can hold it, and its array (or value) for such a file.
 FACTS: dict[str, tuple[Callable[[], Column], Callable[[], Column]]] = {
-    "dependencies": (lambda: PATH.isin(DEPENDENCY_FILES), _dependencies),
-    "env_declared": (lambda: PATH.isin(ENV_FILES), lambda: X.env_defaults(C)),
-    "env_read": (lambda: _is_python() & C.contains("os."), lambda: F.array_distinct(X.env_refs_python(C))),
+    "dependencies": (lambda: _path().isin(DEPENDENCY_FILES), _dependencies),
+    "env_declared": (lambda: _path().isin(ENV_FILES), lambda: X.env_defaults(_content())),
+    "env_read": (lambda: _is_python() & _content().contains("os."), lambda: F.array_distinct(X.env_refs_python(_content()))),
     "entry_points": (_is_entry_source, _entry_points),
-    "scripts": (lambda: PATH.isin("package.json", "Makefile"), _scripts),
-    "api_endpoints": (lambda: _is_python() & C.contains("@"), lambda: X.api_endpoints(C)),
-    "workflow": (lambda: PATH.rlike(CI_PATH) & (C != ""), lambda: X.ci_workflow(C, PATH)),
-    "owner_rules": (lambda: PATH == ".github/CODEOWNERS", lambda: X.codeowner_rules(C)),
-    "ecosystems": (lambda: PATH.isin(_either("dependabot")), lambda: X.dependabot_ecosystems(C)),
-    "platforms": (lambda: PATH.isin(_either("FUNDING")), lambda: X.funding_platforms(C)),
-    "label_names": (lambda: PATH.isin(_either("labels")), lambda: X.label_names(C)),
-    "branches": (lambda: PATH.rlike(WORKFLOW_PATH), lambda: X.protected_branches(C)),
-    "callable": (lambda: PATH.rlike(WORKFLOW_PATH), lambda: C.contains("workflow_call:")),
-    "releases": (lambda: PATH.rlike(WORKFLOW_PATH), lambda: X.releases_itself(C, PATH)),
-    "classes": (_is_code, lambda: F.when(_is_python(), X.python_classes(C)).otherwise(X.js_classes(C))),
-    "functions": (_is_code, lambda: F.when(_is_python(), X.python_functions(C)).otherwise(X.js_functions(C))),
-    "interfaces": (lambda: _is_code() & ~_is_python(), lambda: X.js_interfaces(C)),
-    "imports": (_is_code, lambda: F.when(_is_python(), X.python_imports(C)).otherwise(X.js_imports(C))),
+    "scripts": (lambda: _path().isin("package.json", "Makefile"), _scripts),
+    "api_endpoints": (lambda: _is_python() & _content().contains("@"), lambda: X.api_endpoints(_content())),
+    "workflow": (lambda: _path().rlike(CI_PATH) & (_content() != ""), lambda: X.ci_workflow(_content(), _path())),
+    "owner_rules": (lambda: _path() == ".github/CODEOWNERS", lambda: X.codeowner_rules(_content())),
+    "ecosystems": (lambda: _path().isin(_either("dependabot")), lambda: X.dependabot_ecosystems(_content())),
+    "platforms": (lambda: _path().isin(_either("FUNDING")), lambda: X.funding_platforms(_content())),
+    "label_names": (lambda: _path().isin(_either("labels")), lambda: X.label_names(_content())),
+    "branches": (lambda: _path().rlike(WORKFLOW_PATH), lambda: X.protected_branches(_content())),
+    "callable": (lambda: _path().rlike(WORKFLOW_PATH), lambda: _content().contains("workflow_call:")),
+    "releases": (lambda: _path().rlike(WORKFLOW_PATH), lambda: X.releases_itself(_content(), _path())),
+    "classes": (_is_code, lambda: F.when(_is_python(), X.python_classes(_content())).otherwise(X.js_classes(_content()))),
+    "functions": (_is_code, lambda: F.when(_is_python(), X.python_functions(_content())).otherwise(X.js_functions(_content()))),
+    "interfaces": (lambda: _is_code() & ~_is_python(), lambda: X.js_interfaces(_content())),
+    "imports": (_is_code, lambda: F.when(_is_python(), X.python_imports(_content())).otherwise(X.js_imports(_content()))),
 }
 
 
 def file_facts(files: DataFrame) -> DataFrame:
     """All facts of every file that is not ignored, from one pass over the text. Far smaller than the text."""
-    read = ignore_dirs(files).select("repo", "path", "size_bytes", capped_text(C).alias("content"))
+    read = ignore_dirs(files).select("repo", "path", "size_bytes", capped_text(_content()).alias("content"))
     facts = [F.when(holds(), value()).alias(name) for name, (holds, value) in FACTS.items()]
     return read.select("repo", "path", "size_bytes", F.length("content").alias("chars"), *facts)
 
@@ -99,7 +105,7 @@ def with_facts(files: DataFrame, *names: str) -> DataFrame:
     """The named facts per file, taken from a facts table or from the content of the files that can hold them."""
     if names[0] in files.columns:
         return files.select("repo", "path", *names)
-    read = ignore_dirs(files).select("repo", "path", capped_text(C).alias("content"))
+    read = ignore_dirs(files).select("repo", "path", capped_text(_content()).alias("content"))
     wanted = read.filter(P.any_of([FACTS[name][0]() for name in names]))
     return wanted.select("repo", "path", *[F.when(FACTS[n][0](), FACTS[n][1]()).alias(n) for n in names])
 
@@ -146,12 +152,12 @@ def env_variables(files: DataFrame) -> DataFrame:
 
 def entry_points(files: DataFrame) -> DataFrame:
     """Commands and modules of the manifests and of runnable packages."""
-    order = F.when(PATH == "pyproject.toml", 1).when(PATH == "package.json", 2).otherwise(3)
+    order = F.when(_path() == "pyproject.toml", 1).when(_path() == "package.json", 2).otherwise(3)
     return explode_facts(files, "entry_points").withColumn("source_ord", order)
 
 
 def scripts(files: DataFrame) -> DataFrame:
-    order = F.when(PATH == "package.json", 1).otherwise(2)
+    order = F.when(_path() == "package.json", 1).otherwise(2)
     return explode_facts(files, "scripts").withColumn("source_ord", order).drop("path")
 
 
@@ -200,14 +206,14 @@ def labels(files: DataFrame) -> DataFrame:
 
 
 def issue_templates(files: DataFrame) -> DataFrame:
-    inside = PATH.rlike(r"^\.github/ISSUE_TEMPLATE/[^/]+\.(?:md|yml|yaml)$")
-    chosen = ignore_dirs(files).filter(inside | (PATH == ".github/ISSUE_TEMPLATE.md"))
+    inside = _path().rlike(r"^\.github/ISSUE_TEMPLATE/[^/]+\.(?:md|yml|yaml)$")
+    chosen = ignore_dirs(files).filter(inside | (_path() == ".github/ISSUE_TEMPLATE.md"))
     return chosen.select("repo", "path", F.when(inside, P.file_stem("path")).otherwise("default").alias("template"))
 
 
 def custom_actions(files: DataFrame) -> DataFrame:
     """Composite actions by folder and workflows that others can call."""
-    folder = F.regexp_extract(PATH, r"^\.github/actions/([^/]+)/action\.ya?ml$", 1)
+    folder = F.regexp_extract(_path(), r"^\.github/actions/([^/]+)/action\.ya?ml$", 1)
     composite = ignore_dirs(files).select("repo", folder.alias("action")).filter(F.col("action") != "")
     reusable = with_facts(files, "callable").filter("callable").select(
         "repo", F.concat(F.lit("workflow:"), P.file_stem("path")).alias("action")
@@ -217,10 +223,10 @@ def custom_actions(files: DataFrame) -> DataFrame:
 
 def hosting_flags(files: DataFrame) -> DataFrame:
     """One row per repository with a ``.github`` folder: its yes/no settings and inferred protected branches."""
-    paths = ignore_dirs(files).filter(PATH.startswith(".github/")).groupBy("repo").agg(
-        F.max(PATH.isin(".github/PULL_REQUEST_TEMPLATE.md", ".github/pull_request_template.md")).alias("pr_template"),
-        F.max(PATH.isin(_either("dependabot"))).alias("dependabot_enabled"),
-        F.max(PATH.isin(_either("release-drafter"))).alias("release_drafter"),
+    paths = ignore_dirs(files).filter(_path().startswith(".github/")).groupBy("repo").agg(
+        F.max(_path().isin(".github/PULL_REQUEST_TEMPLATE.md", ".github/pull_request_template.md")).alias("pr_template"),
+        F.max(_path().isin(_either("dependabot"))).alias("dependabot_enabled"),
+        F.max(_path().isin(_either("release-drafter"))).alias("release_drafter"),
     )
     workflows = with_facts(files, "branches", "releases").filter(F.col("releases").isNotNull()).groupBy("repo").agg(
         F.max("releases").alias("auto_release"),
@@ -238,7 +244,7 @@ def hosting_flags(files: DataFrame) -> DataFrame:
 
 def file_markers(files: DataFrame) -> DataFrame:
     """Tools and frameworks each file gives away, one row per file and marker."""
-    path = PATH
+    path = _path()
     platform = F.when(
         path.rlike(CI_PATH) & (F.col("size_bytes") > 0),
         F.when(path.startswith(".github/"), "github-actions")

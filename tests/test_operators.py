@@ -1,0 +1,261 @@
+"""Operators against brute force on small inputs."""
+
+from __future__ import annotations
+
+import random
+import re
+from pathlib import PurePosixPath
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks.scan import EXTRA
+from codestrata.functions import cleanup, markdown, naming, paths
+from codestrata.functions.catalog import CATALOG, LEVELS, active_patterns
+from codestrata.operators import ordering, priority
+from codestrata.operators.scan import ai_safe_rows, findings, redact_corpus, scan_content, scan_lines
+from codestrata.plans import context
+from codestrata.plans.profile import assemble_profile, profile_tables
+from codestrata.sources import sinks, trees
+from codestrata.sources.lines import explode_lines
+from codestrata.sources.samples import PATTERN_LINES, sample_view
+
+OVERLAPS = {
+    ("private_key", "encryption_usage"), ("private_key_pkcs8", "private_key"), ("github_oauth", "github_token"),
+    ("anthropic_key", "openai_key"), ("aws_session_token", "secret_assignment"), ("digitalocean_token", "secret_assignment"),
+    ("heroku_api_key", "api_key_value"),
+}
+
+
+@pytest.fixture(scope="module")
+def pattern_lines(spark):
+    rows = [spark.range(1).select(F.lit(p.name).alias("own"), F.expr(line).alias("line")) for p, line in zip(CATALOG, PATTERN_LINES)]
+    return context.union_all(rows).withColumn("line_number", F.lit(1)).cache()
+
+
+def test_each_pattern_fires_on_its_line(pattern_lines):
+    hits = {tuple(r) for r in scan_lines(pattern_lines, ["own"], "thorough", False).select("own", "pattern").collect()}
+    assert hits == {(p.name, p.name) for p in CATALOG} | OVERLAPS
+
+
+def test_needles_never_hide_a_match(pattern_lines):
+    """The same hits come from the regular expressions alone, in Python."""
+    lines = [(r.own, r.line) for r in pattern_lines.collect()]
+    alone = {(own, p.name) for own, line in lines for p in CATALOG if re.search(p.regex, line, re.IGNORECASE)}
+    assert alone == {(p.name, p.name) for p in CATALOG} | OVERLAPS
+
+
+def test_levels_contain_each_other():
+    quick, standard, thorough = ({p.name for p in active_patterns(level)} for level in LEVELS)
+    assert quick < standard < thorough and len(thorough) == 57
+
+
+def test_extra_patterns(spark):
+    df = spark.createDataFrame([(1, "EMP-123456 came\nfriday"), (2, "nothing")], "id int, text string")
+    hits = {tuple(r) for r in scan_content(df, ["id"], "text", "standard", EXTRA).select("id", "line_number", "pattern").collect()}
+    assert hits == {(1, 1, "employee_number")}
+
+
+def test_redacted_text_has_no_hit_of_the_pattern(pattern_lines):
+    clean = redact_corpus(pattern_lines.select("own", F.col("line").alias("text")), "text", "thorough")
+    left = scan_content(clean, ["own"], "text", "thorough").filter("own = pattern").count()
+    assert left == 0
+
+
+def test_sample_never_leaks_across_the_cut(spark):
+    secret = "AKIA" + "Q" * 16
+    df = spark.createDataFrame([(n, "x" * n + " " + secret) for n in range(60, 130)], "id int, text string")
+    lines = explode_lines(df, ["id"], "text")
+    samples = [r.data_sample for r in findings(lines, ["id"], "quick", False).collect()]
+    assert len(samples) == 70 and not any("QQ" in s for s in samples)
+
+
+def test_blocker_needs_one_line(spark):
+    """A pattern that would match only across a line break does not block."""
+    rows = [(1, "postgres://user:\nsecret@host"), (2, "a\npostgres://user:pw@host"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    assert {r.id for r in ai_safe_rows(df, "text").collect()} == {1, 3, 4}
+
+
+def test_comment_suppression(spark):
+    text = '# password = "abcdefgh1"\n  // ssn 123' + '-45-6789\npassword = "abcdefgh1"'
+    df = spark.createDataFrame([("r", "a.py", text, len(text))], "repo string, path string, content string, size_bytes long")
+    lines = explode_lines(df, ["repo", "path"], "content")
+    hits = {(r.line_number, r.pattern) for r in scan_lines(lines, ["repo", "path"], "standard").collect()}
+    assert hits == {(2, "ssn_formatted"), (3, "password_literal")}
+
+
+def test_line_breaks(spark):
+    df = spark.createDataFrame([(1, "a\r\nb\rc d\n\n"), (2, "\n"), (3, ""), (4, None), (5, "x")], "id int, text string")
+    found = {}
+    for r in explode_lines(df, ["id"], "text").orderBy("id", "line_number").collect():
+        found.setdefault(r.id, []).append(r.line)
+    assert found == {i: t.splitlines() for i, t in ((1, "a\r\nb\rc d\n\n"), (2, "\n"), (5, "x"))}
+
+
+PATHS = [
+    ".env", ".env.example", "Makefile", "a.tar.gz", "A/B/C.PY", "docs/x.py", "test_x.py", "src/test/x.py", "x.sh", "infra/a",
+    "my-docker.txt", "node_modules/x.js", "build/x.py", "schema.sql", "api.md", "src", "mydocs/x", "x/.md", "src/app.jsx",
+]
+
+
+def test_path_rules(spark):
+    df = spark.createDataFrame([(p,) for p in PATHS], "path string").select(
+        "path", paths.file_suffix("path").alias("suffix"), paths.file_name("path").alias("name"), paths.category("path").alias("category"))
+    rows = {r.path: r for r in df.collect()}
+    for p in PATHS:
+        assert (rows[p].suffix, rows[p].name) == (PurePosixPath(p).suffix, PurePosixPath(p).name)
+    expected = {
+        "docs/x.py": "documentation", "test_x.py": "tests", "src/test/x.py": "tests", "x.sh": "automation", "infra/a": "infrastructure",
+        "my-docker.txt": "infrastructure", "api.md": "documentation", "src": "application", "mydocs/x": "misc", "x/.md": "misc",
+        "src/app.jsx": "application",
+    }
+    assert {p: rows[p].category for p in expected} == expected
+
+
+def test_ignored_folders_are_whole_segments(spark):
+    rows = [("r", p, "", 0) for p in ("build/a.py", "rebuild/a.py", "a/.git/b", ".github/x", "dist")]
+    df = spark.createDataFrame(rows, "repo string, path string, content string, size_bytes long")
+    assert {r.path for r in trees.ignore_dirs(df).collect()} == {"rebuild/a.py", ".github/x"}
+
+
+def test_scannable_rules(spark):
+    rows = [("r", p, "", n) for p, n in (
+        ("a.py", 1_000_000), ("b.py", 1_000_001), ("x.PNG", 1), ("go.sum", 1), ("Cargo.lock", 1), ("venv/x.py", 1), ("build/x.py", 1), (".bin/x", 1))]
+    df = spark.createDataFrame(rows, "repo string, path string, content string, size_bytes long")
+    assert {r.path for r in trees.scannable_files(df).collect()} == {"a.py", "build/x.py"}
+
+
+def hot_rows(n=3000):
+    rng = random.Random(7)
+    return [("hot" if rng.random() < 0.5 else f"g{rng.randrange(40)}", i, rng.randrange(1, 9)) for i in range(n)]
+
+
+def test_running_total_with_a_hot_group(spark):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "g string, i int, v long")
+    found = {(r.g, r.i): r.before for r in ordering.running_total(df, ["g"], ["i"], F.col("v"), "before").collect()}
+    sums, expected = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        expected[g, i] = sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + v
+    assert found == expected
+
+
+def test_assembled_parts_are_the_whole_text(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "PART_BYTES", 2000)
+    monkeypatch.setattr(ordering, "PART_ROWS", 100)
+    rows = hot_rows()
+    df = spark.createDataFrame([(g, i, f"line {i}") for g, i, _ in rows], "g string, i int, text string")
+    parts = {}
+    for r in ordering.assemble(df, ["g"], ["i"], "text").orderBy("g", "part").collect():
+        parts.setdefault(r.g, []).append(r.body)
+    assert len(parts["hot"]) > 5
+    for group, bodies in parts.items():
+        assert "\n".join(bodies) == "\n".join(f"line {i}" for g, i, _ in rows if g == group)
+
+
+def test_budget_with_a_hot_group(spark):
+    rows = hot_rows() + [("hot", 5000 + i, 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, i int, n long")
+    found = {(r.g, r.i) for r in priority.context_budget(df, ["g"], ["i"], "n", 300).collect()}
+    sums, expected = {}, set()
+    for g, i, n in sorted(rows, key=lambda r: r[1]):
+        if n and sums.get(g, 0) < 300:
+            expected.add((g, i))
+            sums[g] = sums.get(g, 0) + n
+    assert found == expected
+
+
+def test_first_wins_and_head(spark):
+    rows = hot_rows(500)
+    df = spark.createDataFrame(rows, "g string, i int, v long")
+    first = {r.g: r.i for r in ordering.first_wins(df, ["g"], ["i"]).collect()}
+    assert first == {g: min(i for h, i, _ in rows if h == g) for g, _, _ in rows}
+    head = [r.i for r in ordering.head_per_group(df.filter("g = 'hot'"), ["g"], [F.desc("i")], 3).orderBy("rank").collect()]
+    assert head == sorted((i for g, i, _ in rows if g == "hot"), reverse=True)[:3]
+
+
+def test_head_limit_runs_before_the_shuffle(spark):
+    df = spark.range(0, 1000, 1, 8).select((F.col("id") % 2).alias("g"), "id")
+    plan = ordering.head_per_group(df, ["g"], ["id"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_scan_is_one_narrow_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = scan_content(docs, ["doc_id"], "text", "thorough")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_scan_files_and_sinks(spark, tmp_path):
+    root = tmp_path / "trees"
+    for name, data in {"one/src/a.py": b"def go():\n", "one/bad.bin": b"\xff\xfe\x00", "two/README.md": b"# Hi"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    files = trees.scan_files(spark, str(root))
+    rows = {(r.repo, r.path): (r.content, r.size_bytes) for r in files.collect()}
+    assert rows == {("one", "src/a.py"): ("def go():\n", 10), ("one", "bad.bin"): ("", 3), ("two", "README.md"): ("# Hi", 4)}
+
+    tables = profile_tables(files)
+    profile = assemble_profile(tables)
+    sinks.write_profile(tables, profile, str(tmp_path / "out"), ["symbols", "doc_needs"])
+    written = {r.repo: r.total_files for r in spark.read.json(str(tmp_path / "out" / "profile")).collect()}
+    assert written == {"one": 2, "two": 1}
+    assert [r.name for r in spark.read.json(str(tmp_path / "out" / "symbols")).collect()] == ["go"]
+
+    bodies = spark.createDataFrame([("one", "api-reference", "a\nb"), ("two", "usage-patterns", "c")], "repo string, doc_type string, body string")
+    sinks.write_documents(bodies, str(tmp_path / "docs"))
+    assert {(r.repo, r.doc_type, r.body) for r in spark.read.parquet(str(tmp_path / "docs")).collect()} == {
+        ("one", "api-reference", "a\nb\n"), ("two", "usage-patterns", "c\n")}
+    sinks.write_documents(bodies, str(tmp_path / "text"), as_text=True)
+    assert spark.read.text(str(tmp_path / "text" / "doc_type=api-reference"), wholetext=True).first().value == "a\nb\n\n"
+    sinks.write_report(bodies, str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report")).count() == 2
+
+
+def test_symbol_names(spark):
+    cases = [
+        ("get_user_name", "function", "", "Get user name"), ("xylophone", "function", "", "Xylophone"), ("isReady", "function", "", "Check if ready"),
+        ("BaseThing", "class", "", "Abstract base class for thing"), ("Abstract", "class", "", "Abstract base class for functionality"),
+        ("JobRunner", "class", "Task, X", "Runs job (extends Task)"), ("UserModel", "class", "BaseModel", "Data model for user"),
+        ("Money", "class", "Decimal", "Money (extends Decimal)"), ("Plain_Thing", "class", "", "Plain thing"),
+        ("RowShape", "interface", "", "Interface defining row shape"), ("_", "function", "", ""),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "name string, kind string, bases string")
+    found = [r[0] for r in df.select(naming.humanize_symbol(F.col("name"), F.col("kind"), F.col("bases"))).collect()]
+    assert found == [c[3] for c in cases]
+
+
+def test_fences_guard_headings(spark):
+    text = "# KEY FILE CONTENTS\nx\n```\n# not a heading\n```\ny\n# Kept\n| a |\n```\n| no |\n```\n| b |"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    assert df.select(cleanup.clean_text(F.col("text"))).first()[0].startswith("# Kept")
+    tables = [(r.table_no, r.cell) for r in markdown.markdown_table_cells(df, "id", "text").collect()]
+    assert tables == [(1, "a"), (2, "b")]
+
+
+def test_long_blocks_do_not_overflow(spark):
+    """Repeats of many thousand lines are matched without deep recursion."""
+    pipes = "\n".join("| a | b |" for _ in range(40_000))
+    df = spark.createDataFrame([(1, pipes)], "id int, text string")
+    assert markdown.markdown_tables(df, "id", "text").count() == 40_000
+    from codestrata.operators.facts import ci_workflows
+
+    stages = "stages:\n" + "".join(f"  - s{i}\n" for i in range(10_000))
+    files = spark.createDataFrame([("r", ".gitlab-ci.yml", stages, len(stages))], "repo string, path string, content string, size_bytes long")
+    assert len(ci_workflows(files).first().triggers) > 9_000
+
+
+def test_merging_answers(spark):
+    drafts = spark.createDataFrame([("r", "a", "draft a"), ("r", "b", "draft b"), ("r", "c", "draft c")], "repo string, doc_type string, body string")
+    answers = spark.createDataFrame([("r", "a", "new a"), ("r", "b", ""), ("r", "c", None)], "repo string, doc_type string, body string")
+    merged = {r.doc_type: (r.body, r.generated) for r in context.refine_documents(drafts, answers).collect()}
+    assert merged == {"a": ("new a", True), "b": ("draft b", False), "c": ("draft c", False)}
+
+
+def test_sample_views_are_unique(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name in ("files", "host_files"):
+        view = sample_view(documents, name)
+        assert view.select("repo", "path").distinct().count() == view.count() == documents.count()
