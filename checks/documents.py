@@ -233,7 +233,7 @@ def semantic_overview(s, d):
     """The overview with purpose, concepts and architecture from answers about the repository."""
     answers = view(s, d, "responses").filter((F.col("doc_type") == "repository-overview") & (F.col("section_ord") == 2))
     fields = M.parse_labelled_fields(answers, ["repo"], "body")
-    return big()(DO.document_blocks({**tables(s, d), "semantics": fields}, ["repository-overview"]).filter(F.col("section").isin(20, 70, 71, 80)))
+    return big()(DO.document_blocks(tables(s, d).extended(semantics=fields), ["repository-overview"]).filter(F.col("section").isin(20, 70, 71, 80)))
 
 
 add("sections_overview_with_semantics", semantic_overview, f"""

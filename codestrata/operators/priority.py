@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import file_name
 from codestrata.operators.ordering import head_per_group, running_total
+from codestrata.sources.tables import look_up
 from codestrata.sources.trees import MAX_CONTENT_CHARS, capped_text
 
 MAX_FILES = 30
@@ -120,4 +121,4 @@ def important_files(
     # Every taken file has a character of the budget, so a repository has at most that many rows here.
     window = Window.partitionBy("repo").orderBy("tier", "sort_score", "path")
     ranked = taken.select("repo", "path", F.row_number().over(window).alias("rank"))
-    return texts.join(ranked, ["repo", "path"])
+    return look_up(texts, ranked, ["repo", "path"])

@@ -18,9 +18,10 @@ from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_name
 from codestrata.operators.ordering import assemble, head_per_group, joined_head
 from codestrata.operators.summaries import by_count, counted_map, format_counts
 from codestrata.plans.context import text, union_all
+from codestrata.plans.profile import ProfileTables
 
 ORDER = ["section", "k1", "k2"]
-Tables = dict[str, DataFrame]
+Tables = ProfileTables
 
 QUALITY_WORDS = "test|lint|check|validate"
 INSTALL_WORDS = "install|setup|prepare"
@@ -107,7 +108,7 @@ def with_repos(tables: Tables) -> Tables:
         F.coalesce("tools", F.array().cast("array<string>")).alias("tools"),
         F.coalesce("frameworks", F.array().cast("array<string>")).alias("frameworks"),
     )
-    return {**tables, "repos": repos}
+    return tables.extended(repos=repos)
 
 
 def _names_or_none(column: str) -> Column:

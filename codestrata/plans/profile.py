@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,41 +22,56 @@ COUNTED = [
 ]
 
 
-def profile_tables(files: DataFrame) -> dict[str, DataFrame]:
+class ProfileTables(dict):
+    """Tables of a profile by name, each planned at its first use."""
+
+    def __init__(self, builders: dict[str, Callable[[ProfileTables], DataFrame]], known: dict[str, DataFrame]) -> None:
+        super().__init__(known)
+        self._builders = builders
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._builders[name](self)
+        return self[name]
+
+    def extended(self, **more: DataFrame) -> ProfileTables:
+        """The same tables and some more."""
+        return ProfileTables(self._builders, {**self, **more})
+
+
+BUILDERS: dict[str, Callable[[ProfileTables], DataFrame]] = {
+    "features": lambda t: file_features(t["per_file"]),
+    "symbols": lambda t: facts.symbols(t["per_file"]),
+    "facts": lambda t: repo_facts(t["per_file"]),
+    "doc_needs": lambda t: doc_needs(t["facts"]),
+    "dependencies": lambda t: facts.dependencies(t["per_file"]),
+    "env_variables": lambda t: facts.env_variables(t["per_file"]),
+    "entry_points": lambda t: facts.entry_points(t["per_file"]),
+    "config_files": lambda t: config_files(t["per_file"]),
+    "scripts": lambda t: facts.scripts(t["per_file"]),
+    "api_endpoints": lambda t: facts.api_endpoints(t["per_file"]),
+    "ci_workflows": lambda t: facts.ci_workflows(t["per_file"]),
+    "existing_docs": lambda t: existing_docs(t["per_file"]),
+    "markers": lambda t: facts.repo_markers(t["per_file"]),
+    "codeowners": lambda t: facts.codeowners(t["per_file"]),
+    "dependabot": lambda t: facts.dependabot(t["per_file"]),
+    "issue_templates": lambda t: facts.issue_templates(t["per_file"]),
+    "custom_actions": lambda t: facts.custom_actions(t["per_file"]),
+    "funding": lambda t: facts.funding(t["per_file"]),
+    "labels": lambda t: facts.labels(t["per_file"]),
+    "hosting_flags": lambda t: facts.hosting_flags(t["per_file"]),
+    "top_symbols": lambda t: top_symbols(t["symbols"]),
+    "directories": lambda t: directory_summaries(t["features"], t["symbols"]),
+    "important_files": lambda t: important_files(t["files"], t["features"], lengths=t["per_file"].select("repo", "path", "chars")),
+}
+
+
+def profile_tables(files: DataFrame) -> ProfileTables:
     """Every list of the profile as its own table keyed by repository.
 
     The text is read once: the facts of all files are written, and the lists
     come from there. Only the important files are looked up again at the end.
     """
-    per_file = settle(file_facts(files))
-    features = file_features(per_file)
-    symbols = facts.symbols(per_file)
-    facts_per_repo = repo_facts(per_file)
-    return {
-        "features": features,
-        "symbols": symbols,
-        "facts": facts_per_repo,
-        "doc_needs": doc_needs(facts_per_repo),
-        "dependencies": facts.dependencies(per_file),
-        "env_variables": facts.env_variables(per_file),
-        "entry_points": facts.entry_points(per_file),
-        "config_files": config_files(per_file),
-        "scripts": facts.scripts(per_file),
-        "api_endpoints": facts.api_endpoints(per_file),
-        "ci_workflows": facts.ci_workflows(per_file),
-        "existing_docs": existing_docs(per_file),
-        "markers": facts.repo_markers(per_file),
-        "codeowners": facts.codeowners(per_file),
-        "dependabot": facts.dependabot(per_file),
-        "issue_templates": facts.issue_templates(per_file),
-        "custom_actions": facts.custom_actions(per_file),
-        "funding": facts.funding(per_file),
-        "labels": facts.labels(per_file),
-        "hosting_flags": facts.hosting_flags(per_file),
-        "top_symbols": top_symbols(symbols),
-        "directories": directory_summaries(features, symbols),
-        "important_files": important_files(files, features, lengths=per_file.select("repo", "path", "chars")),
-    }
+    return ProfileTables(BUILDERS, {"files": files, "per_file": settle(file_facts(files))})
 
 
 def assemble_profile(tables: dict[str, DataFrame]) -> DataFrame:

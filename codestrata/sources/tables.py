@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -42,3 +43,13 @@ def settle(df: DataFrame) -> DataFrame:
             configured = os.path.join(tempfile.gettempdir(), "codestrata-checkpoints")
         context.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def look_up(big: DataFrame, small: DataFrame, keys: list[str], limit_rows: int = 2_000_000) -> DataFrame:
+    """Joins the few rows of a large table that ``small`` names, without moving the large table if possible.
+
+    ``small`` is written and counted first. Up to ``limit_rows`` narrow rows it
+    is sent to every task; beyond that both sides are shuffled on the keys.
+    """
+    written = settle(small)
+    return big.join(F.broadcast(written) if written.count() <= limit_rows else written, keys)
