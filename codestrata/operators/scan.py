@@ -134,11 +134,13 @@ def has_blocker(text: Column, level: str = "standard", extra: list[Pattern] | No
     """
     patterns = [p for p in active_patterns(level, extra) if p.severity in ("critical", "high")]
 
-    def found(s: Column, p: Pattern) -> Column:
-        return _matches(s, p) & F.exists(text_lines(s["line"]), lambda line: line.rlike("(?i)" + p.regex))
+    def any_match(s: Column) -> Column:
+        return reduce(lambda a, b: a | b, [_matches(s, p) for p in patterns])
 
-    whole = F.array(_line_traits(text))
-    return F.exists(whole, lambda s: reduce(lambda a, b: a | b, [found(s, p) for p in patterns]))
+    def on_a_line(s: Column) -> Column:
+        return F.exists(F.transform(text_lines(s["line"]), lambda line: _line_traits(line)), any_match)
+
+    return F.exists(F.array(_line_traits(text)), lambda s: any_match(s) & on_a_line(s))
 
 
 def ai_safe_rows(corpus: DataFrame, text: str, level: str = "standard") -> DataFrame:
