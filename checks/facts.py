@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    FEATURES, KEPT, MANIFEST_LINES, Registry, feature_sql, in_list, joined, strip, text_list, tree, tree_sql, view, view_sql,
+    KEPT, MANIFEST_LINES, Registry, docs, in_list, joined, strip, tree, tree_sql,
 )
 from checks.scan import quoted
 from codestrata.functions import extract as X
@@ -417,8 +417,6 @@ FROM (SELECT doc_id, split_part('{VOCABULARY}', ' ', CAST(doc_id % {len(VOCABULA
 
 
 def names(s, d):
-    from checks.base import docs
-
     docs(s, d).createOrReplaceTempView("_naming_documents")
     return s.sql(NAMES.replace("FROM documents", "FROM _naming_documents"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    FEATURES, KEPT, Registry, conversations, docs, feature_sql, hit_case, in_list, pages, text_list, tree, tree_sql, view,
+    KEPT, Registry, conversations, docs, feature_sql, hit_case, in_list, pages, text_list, tree, tree_sql, view,
     view_sql,
 )
 from codestrata.functions import naming as N
