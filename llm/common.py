@@ -40,12 +40,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out evenly when the scan has fewer tasks than the session has cores, as with one small file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character left alone.
 

@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm import decontaminate as DC
-from llm.common import read
+from llm import language, mixing, packing, quality, token_counts
+from llm.common import read, remainder
 from llm.sql import ORACLES
 
+MIX_WEIGHTS = [3, 1, 2]
+
+
+def held_out(divisor: int, rest: int) -> Column:
+    return F.coalesce(remainder(F.col("doc_id"), divisor) == rest, F.lit(False))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.learn(docs, F.when(remainder(F.col("doc_id"), 3) != 1, F.col("lang")))
+    return language.identify(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.learn(docs, read(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 4) != 2)
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return quality.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", predicted)
+
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DC.digest(DC.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.load_pieces())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,4 +33,26 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 OP9 = leaks("documents")
 
-ORACLES = {"op9_decontamination": OP9}
+OP3 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x{20}\x{09}-\x{0D}]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size) AS total, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, total, [3, 1, 2][(k - 1) % 3 + 1] AS weight FROM s),
+steps AS (
+  SELECT *, row_number() OVER (ORDER BY total / weight, source NULLS LAST) AS step, CAST(1.5 * sum(total) OVER () - 2 * coalesce(sum(total) OVER before, 0) AS DOUBLE)
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS unit
+  FROM w WINDOW before AS (ORDER BY total / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+goal AS (
+  SELECT source, total, least(2.0 * total, (SELECT arg_min(unit, step) FROM steps WHERE unit * weight <= 2 * total) * weight) AS target FROM w
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id) AS rank FROM d),
+j AS (
+  SELECT r.doc_id, r.size, goal.total, goal.target, r.rank, CASE WHEN total > 0 THEN target / total ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('mix:' || coalesce(r.source, '')), 1, 8) AS BIGINT) / 4294967296.0 AS shift
+  FROM r JOIN goal ON r.source IS NOT DISTINCT FROM goal.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+  CAST((floor(rate * rank + shift) - floor(rate * (rank - 1) + shift)) * size AS BIGINT) AS taken
+FROM j"""
+
+ORACLES = {"op3_mixing": OP3, "op9_decontamination": OP9}
