@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MOST_ROWS = 1 << 15  # of a slice of texts
 _local_folder: list[str] = []
 
 
@@ -69,7 +70,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iter
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + MOST_ROWS)
             yield batch.slice(start, stop - start), pa.concat_arrays([text.slice(start, stop - start)])
             start = stop
 

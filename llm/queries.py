@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontaminate as DC
-from llm import language, mixing, packing, quality, token_counts, toxicity
+from llm import language, mixing, ngram_join, packing, quality, token_counts, toxicity
 from llm.common import read, remainder
 from llm.sql import ORACLES
 
@@ -42,6 +42,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", predicted)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"), "toxic", remainder(F.col("doc_id"), 3) != 1)

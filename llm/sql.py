@@ -55,4 +55,23 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_siz
   CAST((floor(rate * rank + shift) - floor(rate * (rank - 1) + shift)) * size AS BIGINT) AS taken
 FROM j"""
 
-ORACLES = {"op3_mixing": OP3, "op9_decontamination": OP9}
+GRAM_WORDS = rf"regexp_extract_all({LOWERED}, '[^\x{{20}}\x{{09}}-\x{{0D}}]+')"
+
+
+def near(documents: str) -> str:
+    """Contract of op7 over the rows of ``documents``."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {GRAM_WORDS} AS w FROM {documents}),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON reach.r = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
+
+
+ORACLES = {"op3_mixing": OP3, "op7_ngram_join": near("documents"), "op9_decontamination": OP9}
