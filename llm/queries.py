@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontaminate as DC
-from llm import language, mixing, ngram_join, packing, quality, token_counts, toxicity
+from llm import language, mixing, neighbours, ngram_join, packing, quality, token_counts, toxicity
 from llm.common import read, remainder
 from llm.sql import ORACLES
 
@@ -26,6 +26,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
