@@ -140,6 +140,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     return result.select("d.doc_id", "d.row_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` that no window of the benchmark occurs in."""
+    hit = written(decontaminate(docs, benchmark, size).filter("n_hit > 0").select("doc_id", "row_key").distinct(), "contaminated").alias("h")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key"))
+    same = (F.col("key") == F.col("h.row_key")) & F.col("row.doc_id").eqNullSafe(F.col("h.doc_id"))
+    return keyed.join(hit, same, "left_anti").select("row.*")
+
+
 def digest(result: DataFrame) -> DataFrame:
     """The columns that stand for a document in a report: counts, and a hash of the item ids."""
     return result.select(

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from llm import decontaminate as DC
-from llm import language, mixing, neighbours, ngram_join, packing, quality, token_counts, toxicity
+from llm import language, line_templates, mixing, neighbours, ngram_join, packing, quality, token_counts, toxicity
 from llm.common import read, remainder
 from llm.sql import ORACLES
 
@@ -39,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.learn(docs, read(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 4) != 2)
@@ -66,8 +71,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

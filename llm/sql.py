@@ -74,4 +74,31 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
 
 
-ORACLES = {"op3_mixing": OP3, "op7_ngram_join": near("documents"), "op9_decontamination": OP9}
+LINE_WORDS = r"list_filter(regexp_split_to_array(line, '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> '')"
+MASKED = "list_transform({}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)"
+
+OP5 = f"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (SELECT doc_id, text, line, w, len(w) AS n, {MASKED.format("w[1:3]")} AS head FROM (
+  SELECT doc_id, text, line, {LINE_WORDS} AS w FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d)
+) WHERE len(w) >= 5),
+rows AS (SELECT DISTINCT doc_id, text, n, head, line FROM l),
+held AS (SELECT n, head, line, any_value(w) AS w, count(DISTINCT (doc_id, text)) AS docs FROM l GROUP BY ALL),
+places AS (SELECT n, head, line, docs, unnest({MASKED.format("w")}) AS word, generate_subscripts(w, 1) AS pos FROM held),
+common AS (SELECT n, head, pos, word FROM places WHERE word <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+named AS (
+  SELECT n, head, line, string_agg(CASE WHEN c.word IS NULL THEN '<*>' ELSE p.word END, ' ' ORDER BY p.pos) AS template
+  FROM places p LEFT JOIN common c USING (n, head, pos, word) GROUP BY n, head, line HAVING count(c.word) >= 0.6 * n
+),
+shared AS (SELECT n, head, template FROM rows JOIN named USING (n, head, line) GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= 3),
+gone AS (SELECT DISTINCT doc_id, text, line FROM rows JOIN named USING (n, head, line) JOIN shared USING (n, head, template)),
+cut AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
+SELECT documents.doc_id, k.text, k.n_lines, k.n_dropped
+FROM documents JOIN (
+  SELECT cut.doc_id, cut.text AS whole, coalesce(string_agg(cut.line, chr(10) ORDER BY i) FILTER (WHERE gone.line IS NULL), '') AS text,
+    count(*) AS n_lines, count(gone.line) AS n_dropped
+  FROM cut LEFT JOIN gone USING (doc_id, text, line) GROUP BY cut.doc_id, cut.text
+) k ON documents.doc_id = k.doc_id AND documents.text = k.whole"""
+
+
+ORACLES = {"op3_mixing": OP3, "op5_line_templates": OP5, "op7_ngram_join": near("documents"), "op9_decontamination": OP9}
