@@ -1,0 +1,49 @@
+"""The pipeline and the registered queries of the operators."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from tests.llm.test_operators import brute_components, brute_leaks
+
+import corpus_pipeline
+from llm.common import read, written
+from llm.queries import oracle_sql, queries
+
+TABLES = ["documents", "embeddings", "labels", "benchmark"]
+SMALL = ["op3_mixing", "op5_line_templates", "op7_ngram_join", "op9_decontamination"]
+
+
+def test_stages_filter_what_they_are_for(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    bench = [(r.item_id, r.text) for r in read(spark, sf_dir, "benchmark").collect()]
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        after = written(stage(spark, docs, sf_dir), f"test-{name}")
+        if name == "packing":
+            assert {d for r in after.collect() for d in r.doc_ids} == set(before)
+            break
+        assert after.columns == docs.columns
+        now = {r.doc_id: r.text for r in after.collect()}
+        assert all(before[k] == t for k, t in now.items())
+        if name == "near_duplicates":
+            assert set(now) == {n for n, _, c in brute_components([*before.items()]) if n == c}
+        if name == "decontamination":
+            assert set(now) == {n for n, _, h, _ in brute_leaks([*before.items()], bench) if h == 0}
+        docs, before = after, now
+
+
+@pytest.mark.parametrize("name", SMALL if not os.environ.get("CHECK_ALL") else sorted(oracle_sql()))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    for table in ("embeddings",):
+        duck.sql(f"CREATE VIEW IF NOT EXISTS {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    found, expected = queries()[name](spark, sf_dir), duck.sql(oracle_sql()[name])
+    assert sorted(found.columns) == sorted(expected.columns)
+    columns = sorted(found.columns)
+    rows = lambda data, names: sorted(repr([v for _, v in sorted(zip(names, row, strict=True))]) for row in data)
+    assert rows([tuple(r) for r in found.collect()], found.columns) == rows(expected.fetchall(), expected.columns), columns
+
+
+def test_every_operator_is_registered():
+    assert {int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries()
