@@ -14,7 +14,8 @@
 4. Clusters over a size bound are dealt out in blocks, each with the cluster's first set. If that connects the cluster,
    nothing is left to find; otherwise the sets outside its component are probed against every block.
 
-Links are exact up to collisions of 64-bit hashes inside one pair of documents. No list of pairs is made: what leaves
+Links are exact up to collisions of hashes (40 bits and the bucket's number) inside one pair of documents, about one in
+a thousand million pairs of long texts. No list of pairs is made: what leaves
 a cluster is at most one link for each set and block.
 """
 
@@ -35,7 +36,7 @@ from llm.common import components, mix64, ragged, text_chunks, written
 N = 5
 THRESHOLD = (3, 4)  # numerator and denominator, so that the test is in whole numbers
 BLOCK_ELEMENTS = 400_000  # of the sets of one trie
-SHARED = np.uint16(0xFFFF)  # in place of a document: more than one of the slice has it
+KEPT_BITS = 40  # of a hash that are sent; the others are what the bucket stands for
 PARTS = "slice long, bucket long, hashes binary, docs binary, meta binary"
 
 
@@ -86,6 +87,37 @@ def gram_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], grams_owner[new]
 
 
+def gram_ids(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and kept bits of each hash in one number: what n-grams are told apart by from here on."""
+    bits = np.uint64(KEPT_BITS)
+    return ((grams >> bits) % np.uint64(buckets) << bits | grams & np.uint64((1 << KEPT_BITS) - 1)).view(np.int64)
+
+
+def low_bytes(ids: np.ndarray) -> bytes:
+    return ids.view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8].tobytes()
+
+
+def from_low_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // KEPT_BITS, 8), dtype=np.uint8)
+    out[:, : KEPT_BITS // 8] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEPT_BITS // 8)
+    return out.reshape(-1).view(np.int64)
+
+
+def counts_of(docs: np.ndarray, n: int) -> bytes:
+    """How many entries each of ``n`` documents has, in as few bytes as the largest count needs (the first byte)."""
+    counts = np.bincount(docs, minlength=n + 1)[:n]
+    width = next(w for w in (1, 2, 4) if counts.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def from_counts(raw: bytes, entries: int) -> np.ndarray:
+    """The document of each entry; entries that several documents of the slice have come last and have -1."""
+    counts = np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
+    docs = np.full(entries, -1, dtype=np.int64)
+    docs[: int(counts.sum())] = np.repeat(np.arange(len(counts)), counts)
+    return docs
+
+
 def send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """Rows for each slice of texts: its n-grams by bucket, and (bucket below 0) what the slice keeps about its documents."""
 
@@ -94,76 +126,79 @@ def send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         for number, (rows, text) in enumerate(text_chunks(batches)):
             here = (task << 24) + number
             grams, owner = gram_sets(text, n)
-            owner = owner.astype(np.uint16)
             order = np.argsort(grams, kind="stable")
-            grams, owner = grams[order], owner[order]
-            edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]])) if len(grams) else np.zeros(1, np.int64)
+            sorted_grams = grams[order]
+            edge = np.flatnonzero(np.concatenate([[True], sorted_grams[1:] != sorted_grams[:-1], [True]])) if len(grams) else np.zeros(1, np.int64)
             times = np.diff(edge)
-            many = np.repeat(times > 1, times)
-            out = grams[edge[:-1]]
-            who = np.where(times > 1, SHARED, owner[edge[:-1]] if len(grams) else owner)
-            bucket = (out % np.uint64(buckets)).astype(np.int64)
+            many = np.zeros(len(grams), dtype=bool)
+            many[order] = np.repeat(times > 1, times)
+            # One entry for each n-gram, in the order of documents; those that several have come last.
+            first = np.sort(order[edge[:-1]]) if len(grams) else order
+            first = np.concatenate([first[~many[first]], first[many[first]]])
+            whole, who = gram_ids(grams, buckets), np.where(many, len(text), owner)
+            out, bucket = whole[first], (whole[first] >> KEPT_BITS)
             by = np.argsort(bucket, kind="stable")
-            out, who, bucket = out[by], who[by], bucket[by]
+            out, docs_of, bucket = out[by], who[first][by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(out) else np.zeros(1, np.int64)
-            parts = [(here, int(bucket[a]), out[a:b].tobytes(), who[a:b].tobytes(), None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            parts = [(here, int(bucket[a]), low_bytes(out[a:b]), counts_of(docs_of[a:b], len(text)), None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             ids = rows.column("doc_id").cast(pa.int64())
-            size = np.bincount(np.concatenate([owner]), minlength=len(text)).astype(np.int64)
-            first, second = np.zeros(len(text), dtype=np.uint64), np.zeros(len(text), dtype=np.uint64)
-            np.add.at(first, owner, mix64(grams))
-            np.add.at(second, owner, mix64(grams ^ np.uint64(0xD6E8FEB86659FD93)))
-            meta = np.stack([np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_null(ids)).astype(np.int64), size, first.view(np.int64), second.view(np.int64)])
-            parts.append((here, -1 - here, grams[many].tobytes(), owner[many].tobytes(), meta.tobytes()))
+            size = np.bincount(owner, minlength=len(text)).astype(np.int64)
+            prints = np.zeros((2, len(text)), dtype=np.uint64)
+            np.add.at(prints[0], owner, mix64(grams))
+            np.add.at(prints[1], owner, mix64(grams ^ np.uint64(0xD6E8FEB86659FD93)))
+            meta = np.stack([np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_null(ids)).astype(np.int64), size, *prints.view(np.int64)])
+            parts.append((here, -1 - here, whole[many].tobytes(), owner[many].astype(np.uint16).tobytes(), meta.tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], ["slice", "bucket", "hashes", "docs", "meta"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PARTS)
 
 
-def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all binaries of a column, and the row of each."""
-    parts = [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, kind), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-
-
 def answer(table: pa.Table) -> pa.Table:
     """Of one bucket: the n-grams that more than one slice or document has, back to the slices that named a document."""
-    if table.column("bucket")[0].as_py() < 0:
+    bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
         return table
-    grams, row = joined(table.column("hashes"), "u8")
-    docs, _ = joined(table.column("docs"), "u2")
+    slices = table.column("slice").to_pylist()
+    parts = [from_low_bytes(x) for x in table.column("hashes").to_pylist()]
+    docs = np.concatenate([from_counts(x, len(p)) for x, p in zip(table.column("docs").to_pylist(), parts, strict=True)])
+    bounds = np.cumsum([0, *map(len, parts)])
+    grams = np.concatenate(parts)
     order = np.argsort(grams, kind="stable")
     same = grams[order][1:] == grams[order][:-1]
     again = np.zeros(len(grams), dtype=bool)
     again[order[1:]] |= same
     again[order[:-1]] |= same
-    again &= docs != SHARED
-    slices = table.column("slice").to_pylist()
-    bounds = np.searchsorted(row, np.arange(len(slices) + 1))
-    parts = []
-    for k, here in enumerate(slices):
-        own = slice(bounds[k], bounds[k + 1])
-        if again[own].any():
-            parts.append((here, grams[own][again[own]].tobytes(), docs[own][again[own]].tobytes()))
-    columns = list(zip(*parts, strict=True)) or [(), (), ()]
+    again &= docs >= 0
+    found = []
+    for here, a, b in zip(slices, bounds[:-1], bounds[1:], strict=True):
+        if again[a:b].any():
+            found.append((here, low_bytes(grams[a:b][again[a:b]]), docs[a:b][again[a:b]].astype(np.uint16).tobytes()))
+    columns = list(zip(*found, strict=True)) or [(), (), ()]
     return pa.table({
-        "slice": pa.array(columns[0], pa.int64()), "bucket": pa.array([0] * len(parts), pa.int64()), "hashes": pa.array(columns[1], pa.binary()),
-        "docs": pa.array(columns[2], pa.binary()), "meta": pa.array([None] * len(parts), pa.binary()),
+        "slice": pa.array(columns[0], pa.int64()), "bucket": pa.array([bucket] * len(found), pa.int64()), "hashes": pa.array(columns[1], pa.binary()),
+        "docs": pa.array(columns[2], pa.binary()), "meta": pa.array([None] * len(found), pa.binary()),
     })
 
 
 def gather(table: pa.Table) -> pa.Table:
     """Of one slice: each document with the size of its set, and its n-grams that others have where enough of them do."""
-    meta = next(np.frombuffer(x, dtype=np.int64).reshape(5, -1) for x in table.column("meta").to_pylist() if x is not None)
-    grams, _ = joined(table.column("hashes"), "u8")
-    docs, _ = joined(table.column("docs"), "u2")
+    grams, docs, meta = [], [], None
+    for row in table.to_pylist():
+        if row["bucket"] < 0:
+            meta = np.frombuffer(row["meta"], dtype=np.int64).reshape(5, -1)
+            grams.append(np.frombuffer(row["hashes"], dtype=np.int64))
+        else:
+            grams.append(from_low_bytes(row["hashes"]) | row["bucket"] << KEPT_BITS)
+        docs.append(np.frombuffer(row["docs"], dtype=np.uint16))
+    grams, docs = np.concatenate(grams), np.concatenate(docs)
     ids, no_id, size, first, second = meta
     held = np.bincount(docs, minlength=len(ids))
     kept = (held >= need(size)) & (size > 0) & (no_id == 0)
     order = np.argsort(docs, kind="stable")
     order = order[kept[docs[order]]]
     ends = np.concatenate([[0], np.cumsum(np.where(kept, held, 0))]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[order].view(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[order]))
     return pa.table({
         "doc_id": pa.array(ids, mask=no_id > 0), "n": pa.array(size), "fa": pa.array(first), "fb": pa.array(second), "kept": pa.array(kept), "grams": lists,
     })
@@ -340,11 +375,10 @@ def sets_with_partners(docs: DataFrame, n: int) -> DataFrame:
     return written(answered.groupBy("slice").applyInArrow(gather, schema), "ngram-sets")
 
 
-def clustered(classes: DataFrame) -> DataFrame:
-    """c, n, grams, cluster of the classes (c, n, grams) that share an element of their prefixes with another one."""
-    elements = written(classes.select("c", "n", F.explode("grams").alias("g")), "ngram-elements")
+def clustered(elements: DataFrame) -> DataFrame:
+    """c, n, grams, cluster of the classes of ``elements`` (c, fa, n, g) that share an element of their prefixes with another one."""
     often = elements.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
-    items = elements.join(often, "g").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("items"))
+    items = elements.join(often, "g").groupBy("c", "fa", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("items"))
     top, bottom = THRESHOLD
     least = F.ceil(F.col("n") * top / bottom).cast("int")
     able = written(items.filter(F.size("items") >= least).select("c", "n", "items", (F.size("items") - least + 1).alias("prefix")), "ngram-items")
@@ -393,10 +427,14 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     rows are documents with equal sets. An empty table gives an empty result.
     """
     rows = sets_with_partners(docs, n)
-    classes = rows.filter("kept").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("c"), F.first("grams").alias("grams"))
-    classes = written(classes, "ngram-classes")
-    labels = components(links(clustered(classes.select("c", "n", "grams"))), "ngram-components")
-    named = classes.select("fa", "fb", "n", "c").join(labels, classes.c == labels.node, "left").select("fa", "fb", "n", F.least("c", "label").alias("class"))
+    prints = ["fa", "fb", "n"]
+    classes = written(rows.filter("kept").groupBy(prints).agg(F.min("doc_id").alias("c")), "ngram-classes")
+    # The set of a class is that of the row with the smallest id; the classes know which rows need to move.
+    first = rows.filter("kept").join(classes.withColumnRenamed("c", "doc_id"), [*prints, "doc_id"], "left_semi")
+    sets = first.dropDuplicates([*prints, "doc_id"])
+    elements = written(sets.select(F.col("doc_id").alias("c"), "fa", "n", F.explode("grams").alias("g")), "ngram-elements")
+    labels = components(links(clustered(elements)), "ngram-components")
+    named = classes.join(labels, classes.c == labels.node, "left").select(*prints, F.least("c", "label").alias("class"))
     named = written(named, "ngram-names").alias("k")
     d = rows.select("doc_id", "n", "fa", "fb", "kept").alias("d")
     same = F.col("d.kept") & (F.col("d.fa") == F.col("k.fa")) & (F.col("d.fb") == F.col("k.fb")) & (F.col("d.n") == F.col("k.n"))
