@@ -36,7 +36,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations", "conv_id")
+    return read_table(spark, sf_dir, "conversations", "conv_id", "turn")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ TREE = f"files AS ({sample_sql('files')} UNION ALL {sample_sql('host_files')})"
 
 KEPT = f"""
 kept AS (
-  SELECT repo, path, substring(content, 1, 100000) AS content, size_bytes, string_split(path, '/') AS seg,
+  SELECT repo, path, coalesce(content, '') AS content, size_bytes, string_split(path, '/') AS seg,
     string_split(lower(path), '/') AS lseg, len(string_split(path, '/')) AS depth,
     regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '[^/]*$')) AS lname, lower(path) AS lpath,
     regexp_extract(regexp_extract(path, '[^/]*$'), '^.+([.][^.]+)$', 1) AS suffix,

@@ -189,6 +189,6 @@ def clean_chain(source: str) -> tuple[list[str], str]:
 CHAIN, LAST = clean_chain("put")
 PUT = f"put AS (SELECT repo, doc_type, '# ' || any_value({TITLE_SQL}) || chr(10) || chr(10) || string_agg(body, chr(10) || chr(10) ORDER BY section_ord) AS body FROM merged GROUP BY repo, doc_type)"
 add("combine_sections",
-    lambda s, d: G.combine_sections(merged(s, d).filter(F.col("doc_type").isin("repository-overview", "quality-and-validation"))),
+    lambda s, d: G.combine_sections(merged(s, d)),
     feature_sql(f"SELECT split_part(doc_id, ' ', 1) AS repo, split_part(doc_id, ' ', 2) AS doc_type, body FROM {LAST}",
-                *ALL, PLAN, RESPONSES, MERGED.replace("FROM plan_rows p", "FROM (SELECT * FROM plan_rows WHERE doc_type IN ('repository-overview', 'quality-and-validation')) p"), PUT, *CHAIN))
+                *ALL, PLAN, RESPONSES, MERGED, PUT, *CHAIN))

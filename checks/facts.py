@@ -10,7 +10,7 @@ from checks.base import (
 from checks.scan import quoted
 from codestrata.functions import extract as X
 from codestrata.functions import naming as N
-from codestrata.functions.words import CLASS_WORDS, FUNCTION_WORDS, PLAIN_BASES, phrases
+from codestrata.functions.words import CLASS_WORDS, FUNCTION_WORDS, PLAIN_BASES
 from codestrata.operators import facts as FA
 from codestrata.operators.ordering import first_wins, head_per_group
 
@@ -33,15 +33,16 @@ PYPROJECT_DEPS = f"""
 pp AS (SELECT repo, ln, line, {strip('line')} AS st FROM ml WHERE path = 'pyproject.toml'),
 pp_marks AS (SELECT *, CASE
     WHEN st IN ('[project.dependencies]', '[tool.poetry.dependencies]') THEN 'run'
-    WHEN starts_with(st, 'dependencies = [') THEN CASE WHEN contains(st, ']') THEN 'none' ELSE 'run' END
+    WHEN starts_with(st, 'dependencies = [') THEN CASE WHEN contains(st, ']') THEN 'run closed' ELSE 'run' END
     WHEN contains(st, '[tool.poetry.group.dev') THEN 'dev'
-    WHEN contains(lower(st), 'dev') AND contains(lower(st), 'dependencies') THEN CASE WHEN NOT starts_with(st, '[') AND contains(st, ']') THEN 'none' ELSE 'dev' END
+    WHEN contains(lower(st), 'dev') AND contains(lower(st), 'dependencies') THEN CASE WHEN NOT starts_with(st, '[') AND contains(st, ']') THEN 'dev closed' ELSE 'dev' END
     WHEN starts_with(st, '[') OR starts_with(st, ']') THEN 'none' END AS mark FROM pp),
 pp_state AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY repo ORDER BY ln) AS state FROM pp_marks),
-pp_names AS (SELECT repo, ln, state, regexp_extract(st, '^["'']?([A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS name FROM pp_state
-  WHERE mark IS NULL AND state IN ('run', 'dev') AND NOT starts_with(st, '#') AND (contains(st, '=') OR starts_with(st, '"'))),
+pp_names AS (SELECT repo, ln, 0 AS i, state, regexp_extract(st, '^["'']?([A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS name FROM pp_state
+  WHERE mark IS NULL AND state IN ('run', 'dev') AND NOT starts_with(st, '#') AND (contains(st, '=') OR starts_with(st, '"'))
+  UNION ALL SELECT repo, ln, generate_subscripts(ns, 1), split_part(mark, ' ', 1), unnest(ns) FROM (SELECT repo, ln, mark, regexp_extract_all(st, '["'']([A-Za-z0-9][A-Za-z0-9._-]*)[^"'']*["'']', 1) AS ns FROM pp_marks WHERE mark LIKE '% closed')),
 deps_py AS (SELECT repo, name, NULL::VARCHAR AS version, state = 'dev' AS dev_only, 'pyproject.toml' AS source,
-    row_number() OVER (PARTITION BY repo ORDER BY ln) - 1 AS pos, 1 AS source_ord FROM pp_names WHERE name NOT IN ('', 'python'))"""
+    row_number() OVER (PARTITION BY repo ORDER BY ln, i) - 1 AS pos, 1 AS source_ord FROM pp_names WHERE name NOT IN ('', 'python'))"""
 
 REQUIREMENTS_DEPS = f"""
 rq AS (SELECT repo, path, ln, {strip("regexp_extract(st, '^([^>=<\\[!]*)', 1)")} AS name FROM (
@@ -63,7 +64,7 @@ def json_entries(name: str, key: str) -> str:
 
 PACKAGE_DEPS = json_entries("pj_run", "dependencies") + "," + json_entries("pj_dev", "devDependencies") + """,
 deps_pj AS (SELECT repo, k AS name, v AS version, false AS dev_only, 'package.json' AS source, pos, 4 AS source_ord FROM pj_run
-  UNION ALL SELECT repo, k, v, true, 'package.json', pos + 1000000, 4 FROM pj_dev)"""
+  UNION ALL SELECT repo, k, v, true, 'package.json', pos + (SELECT count(*) FROM pj_run WHERE pj_run.repo = pj_dev.repo), 4 FROM pj_dev)"""
 DEPS = "deps AS (SELECT * FROM deps_py UNION ALL SELECT * FROM deps_rq UNION ALL SELECT * FROM deps_pj)"
 DEPS_CTES = [MANIFEST_LINES, PYPROJECT_DEPS, REQUIREMENTS_DEPS, PACKAGE_DEPS, DEPS]
 DEP_COLUMNS = ["repo", "name", "version", "dev_only", "source", "pos"]
@@ -301,7 +302,7 @@ add("repo_markers", query(FA.repo_markers, "repo", "kind", "marker", "files"), t
 
 
 def phrase_map(table: str, key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in phrases(table).items()) + " END"
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
 def humanize_sql(source: str, out: str) -> str:
@@ -407,7 +408,7 @@ for name, condition in (("python_imports", "lower(path) LIKE '%.py'"), ("js_impo
         tree_sql(f"SELECT repo, path, pos, module FROM imports WHERE {condition}", KEPT, IMPORTS))
 
 # Names with every known word in first and last place, so that the whole vocabulary is compared.
-VOCABULARY = " ".join([*phrases(FUNCTION_WORDS), *phrases(CLASS_WORDS), "xylo", "base", "abstract"])
+VOCABULARY = " ".join([*FUNCTION_WORDS, *CLASS_WORDS, "xylo", "base", "abstract"])
 NAMES = f"""
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(w, '_', 'user_', CAST(doc_id % 7 AS STRING)) WHEN 1 THEN concat('HTTPUser', upper(substring(w, 1, 1)), substring(w, 2, 100))
     WHEN 2 THEN concat(w, 'Http_', w) ELSE w END AS name,

@@ -35,13 +35,14 @@ SCANNABLE_SQL = f"""
 scannable AS (
   SELECT repo, path, content, size_bytes FROM (
     SELECT *, regexp_extract(path, '[^/]*$') AS name FROM files)
-  WHERE size_bytes <= 1000000
-    AND NOT list_has_any(string_split(path, '/'), {text_list(T.SCAN_SKIPPED)})
+  WHERE NOT list_has_any(string_split(path, '/'), {text_list(T.SCAN_SKIPPED)})
     AND lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) NOT IN {in_list(T.SCAN_SKIPPED)}
     AND name NOT IN {in_list(T.LOCK_FILES)}
 )"""
 add("scannable_files", lambda s, d: T.scannable_files(tree(s, d)).select("repo", "path", "size_bytes"),
     tree_sql("SELECT repo, path, size_bytes FROM scannable", SCANNABLE_SQL))
+add("scannable_small_files", lambda s, d: T.scannable_files(tree(s, d), 1000).select("repo", "path", "size_bytes"),
+    tree_sql("SELECT repo, path, size_bytes FROM scannable WHERE size_bytes <= 1000", SCANNABLE_SQL))
 
 add("capped_content",
     lambda s, d: docs(s, d).select("doc_id", T.capped_text(F.col("text"), 1000).alias("content")),

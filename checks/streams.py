@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from checks.base import Registry
 from checks.scan import corpus_sql
+from codestrata.sources.tables import shared_folder
 from codestrata.streaming import gate as ST
 
 registry = Registry()
@@ -16,9 +16,8 @@ add = registry.add
 
 
 def scratch(spark) -> str:
-    """A folder of its own below the checkpoint folder of the session, or a temporary one in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A folder of its own below the shared folder of the session."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def arriving(spark, sf_dir):

@@ -15,6 +15,7 @@ from codestrata.operators import features as FT
 from codestrata.operators import priority as PR
 from codestrata.operators import summaries as SU
 from codestrata.operators.ordering import head_per_group
+from codestrata.plans.context import route_by_size
 
 registry = Registry()
 add = registry.add
@@ -81,7 +82,7 @@ dir_cat AS (SELECT repo, dir_key, string_agg(category || ' (' || n || ')', ', '
 dir_keys AS (SELECT repo, dir_key, string_agg(path, ', ' ORDER BY path) AS key_files FROM (
     SELECT *, row_number() OVER (PARTITION BY repo, dir_key ORDER BY path) AS rk FROM feat WHERE score10 >= 3 OR is_entry_point) WHERE rk <= 10 GROUP BY ALL),
 {names_sql('classes', "symbol_type <> 'function'")}, {names_sql('functions', "symbol_type = 'function'")},
-dir_sym AS (SELECT repo, dir_key, least(50, count(*)) AS symbols FROM symbols GROUP BY ALL),
+dir_sym AS (SELECT repo, dir_key, count(*) AS symbols FROM symbols GROUP BY ALL),
 directories AS (
   SELECT repo, dir_key, file_count, languages, categories, coalesce(key_files, '') AS key_files, coalesce(classes, '') AS classes, coalesce(functions, '') AS functions,
     coalesce(symbols, 0) AS symbols, coalesce({hit_case('lower(dir_key)', P.DIRECTORY_PURPOSES)}, upper(substring(majority, 1, 1)) || substring(majority, 2) || ' files') AS description
@@ -164,7 +165,5 @@ add("context_budget_documents",
       coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WHERE text <> '')
     WHERE before < 20000""")
 add("route_by_size",
-    lambda s, d: docs(s, d).groupBy("source").agg(F.sum(F.length("text")).alias("chars")).select(
-        "source", F.floor(F.col("chars") / 4).cast("bigint").alias("tokens"),
-        F.when(F.floor(F.col("chars") / 4) > 25000, "chunked").otherwise("whole").alias("route")),
+    lambda s, d: route_by_size(docs(s, d).groupBy("source").agg(F.sum(F.length("text")).alias("chars")), "chars", 25000).select("source", "tokens", "route"),
     "SELECT source, sum(length(text)) // 4 AS tokens, CASE WHEN sum(length(text)) // 4 > 25000 THEN 'chunked' ELSE 'whole' END AS route FROM documents GROUP BY source")

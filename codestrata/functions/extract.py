@@ -63,7 +63,7 @@ def _dependency(name: Column, version: Column, dev: Column, source: str, pos: Co
 
 
 def deps_pyproject(content: Column) -> Column:
-    """Names under the dependency tables and lists of a pyproject file; a list ends at its bracket."""
+    """Names under the dependency tables and lists of a pyproject file; a list ends at its bracket, on one line or later."""
     header = (
         r"[ \t]*[\[\]]|[ \t]*dependencies = \[|[^\n]*\[tool\.poetry\.group\.dev"
         r"|[^\n]*(?i:dev)[^\n]*(?i:dependencies)|[^\n]*(?i:dependencies)[^\n]*(?i:dev)"
@@ -86,7 +86,9 @@ def deps_pyproject(content: Column) -> Column:
             ),
         )
         kept = F.filter(found, lambda f: ~f["name"].isin("", "python"))
-        return F.when((runtime | dev) & ~closed, kept).otherwise(F.slice(kept, 1, 0))
+        quoted = F.regexp_extract_all(head, F.lit(r"""["']([A-Za-z0-9][A-Za-z0-9._-]*)[^"']*["']"""), F.lit(1))
+        inline = F.transform(F.filter(quoted, lambda n: n != "python"), lambda n: F.struct(n.alias("name"), (~runtime & dev).alias("dev")))
+        return F.when((runtime | dev) & ~closed, kept).when(runtime | dev, inline).otherwise(F.slice(kept, 1, 0))
 
     flat = F.flatten(F.transform(blocks(content, header), names))
     return F.transform(
@@ -120,7 +122,7 @@ def deps_package_json(content: Column) -> Column:
     """Runtime, then development dependencies with their versions."""
 
     def entries(key: str, dev: bool) -> Column:
-        first = 1_000_000 if dev else 0
+        first = F.size(json_map(content, "dependencies")) if dev else F.lit(0)
         return F.transform(
             json_map(content, key), lambda e, i: _dependency(e["key"], e["value"], F.lit(dev), "package.json", i + first)
         )
@@ -494,14 +496,15 @@ def _js_definitions(content: Column, definition: str) -> tuple[Column, str]:
 
 
 def _first_of_name(symbols: Column) -> Column:
-    """Keeps the first symbol of each name."""
-    bound = F.array(F.struct(symbols.alias("all"), F.transform(symbols, lambda s: s["name"]).alias("names")))
-    return F.flatten(
-        F.transform(
-            bound,
-            lambda b: F.filter(b["all"], lambda s, i: F.array_position(b["names"], s["name"]) == i + 1),
-        )
-    )
+    """Keeps the first symbol of each name: sorted by name and place, a name's first place stands after another name."""
+    places = F.array_sort(F.transform(symbols, lambda s, i: F.struct(s["name"].alias("name"), i.alias("at"))))
+    bound = F.array(F.struct(symbols.alias("all"), places.alias("places")))
+
+    def firsts(b: Column) -> Column:
+        new = F.filter(b["places"], lambda p, i: ~F.get(b["places"], i - 1)["name"].eqNullSafe(p["name"]))
+        return F.transform(F.array_sort(F.transform(new, lambda p: p["at"])), lambda at: F.get(b["all"], at))
+
+    return F.flatten(F.transform(bound, firsts))
 
 
 def js_classes(content: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import lookup
-from codestrata.functions.words import CLASS_WORDS, FUNCTION_WORDS, PLAIN_BASES, phrases
+from codestrata.functions.words import CLASS_WORDS, FUNCTION_WORDS, PLAIN_BASES
 
 BLANKS = " \t\r\n\f\u000b"
 
@@ -34,7 +34,7 @@ def strip_quotes(text: Column) -> Column:
 
 
 def sentence_case(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
 def name_words(name: Column) -> Column:
@@ -58,10 +58,10 @@ def humanize_symbol(name: Column, kind: Column, bases: Column) -> Column:
     after_first = F.array_join(F.slice(words, F.lit(2), F.greatest(count - 1, F.lit(0))), " ")
     before_last = F.array_join(F.slice(words, F.lit(1), F.greatest(count - 1, F.lit(0))), " ")
 
-    verb = lookup(phrases(FUNCTION_WORDS), first)
+    verb = lookup(FUNCTION_WORDS, first)
     as_function = F.coalesce(strip(F.concat(verb, F.lit(" "), after_first)), sentence_case(all_words))
 
-    role = lookup(phrases(CLASS_WORDS), last)
+    role = lookup(CLASS_WORDS, last)
     as_class = F.when(
         first.isin("base", "abstract"),
         F.concat(F.lit("Abstract base class for "), F.when(count > 1, after_first).otherwise("functionality")),

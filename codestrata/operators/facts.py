@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import extract as X
 from codestrata.functions import paths as P
 from codestrata.operators.ordering import first_wins
-from codestrata.sources.trees import capped_text, ignore_dirs
+from codestrata.sources.trees import ignore_dirs, readable_text
 
 JS_LANGUAGES = ["JavaScript", "TypeScript", "TypeScript React", "JavaScript React"]
 REQUIREMENTS = ["requirements.txt", "requirements-dev.txt"]
@@ -96,7 +96,7 @@ FACTS: dict[str, tuple[Callable[[], Column], Callable[[], Column]]] = {
 
 def file_facts(files: DataFrame) -> DataFrame:
     """All facts of every file that is not ignored, from one pass over the text. Far smaller than the text."""
-    read = ignore_dirs(files).select("repo", "path", "size_bytes", capped_text(_content()).alias("content"))
+    read = ignore_dirs(files).select("repo", "path", "size_bytes", readable_text(_content()).alias("content"))
     facts = [F.when(holds(), value()).alias(name) for name, (holds, value) in FACTS.items()]
     return read.select("repo", "path", "size_bytes", F.length("content").alias("chars"), *facts)
 
@@ -105,7 +105,7 @@ def with_facts(files: DataFrame, *names: str) -> DataFrame:
     """The named facts per file, taken from a facts table or from the content of the files that can hold them."""
     if names[0] in files.columns:
         return files.select("repo", "path", *names)
-    read = ignore_dirs(files).select("repo", "path", capped_text(_content()).alias("content"))
+    read = ignore_dirs(files).select("repo", "path", readable_text(_content()).alias("content"))
     wanted = read.filter(P.any_of([FACTS[name][0]() for name in names]))
     return wanted.select("repo", "path", *[F.when(FACTS[n][0](), FACTS[n][1]()).alias(n) for n in names])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.paths import file_name
 from codestrata.operators.ordering import head_per_group, running_total
 from codestrata.sources.tables import look_up
-from codestrata.sources.trees import MAX_CONTENT_CHARS, capped_text
+from codestrata.sources.trees import readable_text
 
 MAX_FILES = 30
 MAX_TOTAL_CHARS = 500_000
@@ -113,7 +113,7 @@ def important_files(
     The choice is made on lengths alone (``lengths``: repo, path, chars, when
     they are known already); the text of the chosen files is joined last.
     """
-    texts = files.select("repo", "path", capped_text(F.col("content"), MAX_CONTENT_CHARS).alias("content"))
+    texts = files.select("repo", "path", readable_text(F.col("content")).alias("content"))
     if lengths is None:
         lengths = texts.select("repo", "path", F.length("content").alias("chars"))
     chosen = priority_files(features, max_files).join(lengths, ["repo", "path"])

@@ -105,7 +105,7 @@ def directory_summaries(features: DataFrame, symbols: DataFrame) -> DataFrame:
         majority_category().alias("majority_category"),
     )
     key_files = joined_head(is_key_file(features), keys, ["path"], F.col("path"), 10, "key_files")
-    symbol_count = top_symbols(symbols).groupBy(*keys).agg(F.count("*").alias("symbols"))
+    symbol_count = symbols.groupBy(*keys).agg(F.count("*").alias("symbols"))
     return (
         base.withColumn("description", directory_purpose(F.col("dir_key"), F.col("majority_category")))
         .join(key_files, keys, "left")

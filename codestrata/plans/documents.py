@@ -84,7 +84,7 @@ def title_case(name: Column) -> Column:
     """Every run of letters capitalized, dashes and underscores as spaces."""
     runs = F.regexp_extract_all(F.translate(name, "-_", "  "), F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
     return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), ""
+        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), ""
     )
 
 

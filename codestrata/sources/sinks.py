@@ -14,14 +14,25 @@ def write_profile(tables: dict[str, DataFrame], profile: DataFrame, path: str, l
 
 
 def write_documents(documents: DataFrame, path: str, as_text: bool = False) -> None:
-    """Bodies by document type: as Parquet rows, or as text that ends in a line break."""
+    """Bodies by document type as Parquet rows; or as text, one file in a folder of its own for each document.
+
+    The text of a document is below ``repo=…/filename=…`` and ends in one line
+    break; its parts (``part``, where there is such a column) follow in order.
+    """
     if as_text:
-        lines = documents.select("doc_type", F.concat("body", F.lit("\n")).alias("value"))
-        lines.write.mode("overwrite").partitionBy("doc_type").option("lineSep", "\n").text(path)
+        keys = ["repo", "filename"]
+        order = [*keys, "part"] if "part" in documents.columns else keys
+        rows = documents.repartition(*keys).sortWithinPartitions(*order).select(*keys, F.col("body").alias("value"))
+        rows.write.mode("overwrite").partitionBy(*keys).option("lineSep", "\n").text(path)
     else:
         documents.withColumn("body", F.concat("body", F.lit("\n"))).write.mode("overwrite").partitionBy("doc_type").parquet(path)
 
 
+def read_documents(spark, path: str) -> DataFrame:
+    """(repo, filename, body) of what ``write_documents`` wrote as text."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "body").select("repo", "filename", "body")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Sensitive-data reports, one row per repository and part."""
     report.write.mode("overwrite").parquet(path)

@@ -4,52 +4,55 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on a unique key when its scan has fewer tasks than the session has cores.
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition ``df`` on unique keys when its scan is a single task.
 
-    A table kept in one small file is read by one task, which would leave the
-    regular expressions that follow on a single core. A large table already
-    has many splits and is returned untouched, so its text is never shuffled.
+    A table of one small file is read by one task, which would leave the
+    regular expressions that follow on a single core. A table of two splits or
+    more is returned untouched, so that no more than one split's text moves.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() > 1:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """``name`` under ``sf_dir``; with ``key``, spread over the cores when the scan is too narrow."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """``name`` under ``sf_dir``; with ``keys`` (unique together), spread over the cores when the scan is one task."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, key) if key else df
+    return spread(df, list(keys)) if keys else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session that names none gets a folder of its own."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return os.path.join(tempfile.gettempdir(), "codestrata-checkpoints")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, so later steps see fixed rows.
+    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that
-    names none (local tests) gets one of its own.
+    Later steps see fixed rows, read only the columns they need, and the
+    planner knows the size of what was written.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            configured = os.path.join(tempfile.gettempdir(), "codestrata-checkpoints")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
-
-
-def look_up(big: DataFrame, small: DataFrame, keys: list[str], limit_rows: int = 2_000_000) -> DataFrame:
-    """Joins the few rows of a large table that ``small`` names, without moving the large table if possible.
-
-    ``small`` is written and counted first. Up to ``limit_rows`` narrow rows it
-    is sent to every task; beyond that both sides are shuffled on the keys.
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def look_up(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins the few rows of a large table that ``small`` names.
+
+    ``small`` is written first, so its size is measured: the planner sends it
+    to every task while it is small and otherwise shuffles both sides, with a
+    filter on the keys of ``small`` before the large one moves.
     """
-    written = settle(small)
-    return big.join(F.broadcast(written) if written.count() <= limit_rows else written, keys)
+    return big.join(settle(small), keys)

@@ -21,27 +21,25 @@ SCAN_SKIPPED = [
 # Lock files, whose hashes look like secrets.
 LOCK_FILES = ["package-lock.json", "yarn.lock", "poetry.lock", "go.sum", "Cargo.lock"]
 
-MAX_SCAN_BYTES = 1_000_000
-MAX_CONTENT_CHARS = 100_000
-
 
 def scan_files(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
     """Every regular file below ``root``, where each direct subfolder of ``root`` is one repository.
 
-    Content that is not UTF-8 becomes an empty string. ``name_glob`` is applied
-    by the file listing, before anything is read.
+    Bytes that are not UTF-8 become replacement characters, so that the rest
+    of such a file is still read. ``name_glob`` is applied by the file listing,
+    before anything is read. A folder below that has the name of ``root`` is a
+    folder like any other: the path is cut where ``root`` itself ends.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     base = "/" + root.split("://")[-1].strip("/") + "/"
-    below = F.substring_index(F.col("path"), base, -1)
-    text = F.col("content").cast("string")
-    valid = F.encode(text, "UTF-8") == F.col("content")
+    start = F.locate(base, F.col("path")) + len(base)
+    below = F.substring(F.col("path"), start, F.length("path"))
     return reader.load(root).select(
         F.substring_index(below, "/", 1).alias("repo"),
         F.regexp_extract(below, r"^[^/]+/(.*)$", 1).alias("path"),
-        F.when(valid, text).otherwise("").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size_bytes"),
     ).filter(F.col("path") != "")
 
@@ -51,24 +49,25 @@ def ignore_dirs(files: DataFrame) -> DataFrame:
     return files.filter(~under("path", IGNORED_FOLDERS))
 
 
-def is_scannable(path: str = "path", size: str = "size_bytes") -> Column:
-    return (
-        (F.col(size) <= MAX_SCAN_BYTES)
-        & ~under(path, SCAN_SKIPPED)
-        & ~F.lower(file_suffix(path)).isin(SCAN_SKIPPED)
-        & ~file_name(path).isin(LOCK_FILES)
-    )
+def is_scannable(path: str = "path") -> Column:
+    return ~under(path, SCAN_SKIPPED) & ~F.lower(file_suffix(path)).isin(SCAN_SKIPPED) & ~file_name(path).isin(LOCK_FILES)
+
+
+def scannable_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files the sensitive-data scan reads: no skipped folder, suffix or lock file; with ``max_bytes``, none larger."""
+    kept = files.filter(is_scannable())
+    return kept if max_bytes is None else kept.filter(F.col("size_bytes") <= max_bytes)
 
 
-def scannable_files(files: DataFrame) -> DataFrame:
-    """Files the sensitive-data scan reads: no skipped folder, suffix or lock file, at most 1,000,000 bytes."""
-    return files.filter(is_scannable())
+def readable_text(text: Column) -> Column:
+    """The whole text; unreadable content is empty."""
+    return F.coalesce(text, F.lit(""))
 
 
-def capped_text(text: Column, limit: int = MAX_CONTENT_CHARS) -> Column:
-    """At most ``limit`` leading characters; unreadable content is empty."""
-    return F.coalesce(F.substring(text, 1, limit), F.lit(""))
+def capped_text(text: Column, limit: int) -> Column:
+    """At most ``limit`` leading characters; unreadable content is empty. For a caller who asks for it: nothing here does."""
+    return F.substring(readable_text(text), 1, limit)
 
 
-def capped_content(files: DataFrame, limit: int = MAX_CONTENT_CHARS) -> DataFrame:
+def capped_content(files: DataFrame, limit: int) -> DataFrame:
     return files.withColumn("content", capped_text(F.col("content"), limit))
