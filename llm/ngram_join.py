@@ -35,7 +35,7 @@ from llm.common import components, mix64, ragged, text_chunks, written
 
 N = 5
 THRESHOLD = (3, 4)  # numerator and denominator, so that the test is in whole numbers
-BLOCK_ELEMENTS = 400_000  # of the sets of one trie
+BLOCK_ELEMENTS = 150_000  # of the sets of one trie
 KEPT_BITS = 40  # of a hash that are sent; the others are what the bucket stands for
 PARTS = "slice long, bucket long, hashes binary, docs binary, meta binary"
 
@@ -123,7 +123,7 @@ def send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, (rows, text) in enumerate(text_chunks(batches)):
+        for number, (rows, text) in enumerate(text_chunks(batches, 2 << 20)):
             here = (task << 24) + number
             grams, owner = gram_sets(text, n)
             order = np.argsort(grams, kind="stable")
