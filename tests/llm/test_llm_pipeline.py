@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from tests.llm.test_operators import brute_components, brute_leaks
+from test_llm_operators import brute_components, brute_leaks
 
 import corpus_pipeline
 from llm.common import read, written
