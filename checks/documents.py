@@ -213,7 +213,7 @@ CTES = [*ALL, RP, START_CMD]
 
 
 def tables(s, d):
-    return DO.with_repos(profile_tables(tree(s, d)))
+    return DO.with_repos(profile_tables(tree(s, d)).kept())
 
 
 for doc_type in DO.SECTION_BUILDERS:

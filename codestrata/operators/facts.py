@@ -144,10 +144,21 @@ def env_refs_new(files: DataFrame) -> DataFrame:
 
 
 def env_variables(files: DataFrame) -> DataFrame:
-    """Declared variables, then those only read in code."""
-    declared = env_file_rows(files).withColumn("source_ord", F.lit(1))
-    read = env_refs_new(files).withColumn("default_value", F.lit(None).cast("string")).withColumn("source_ord", F.lit(2))
-    return declared.unionByName(read).withColumn("required", F.lit(True))
+    """Declared variables, then those only read in code at their first place of use, from one read of the facts."""
+    none = F.lit(None).cast("string")
+    declared = F.transform("env_declared", lambda d: F.struct(
+        d["name"].alias("name"), d["default_value"].alias("default_value"), d["pos"].alias("pos"), F.lit(1).alias("source_ord")))
+    read = F.transform("env_read", lambda n, i: F.struct(
+        n.alias("name"), none.alias("default_value"), i.alias("pos"), F.lit(2).alias("source_ord")))
+    both = F.concat(F.coalesce(declared, F.array()), F.coalesce(read, F.array()))
+    rows = with_facts(files, "env_declared", "env_read").select("repo", F.col("path").alias("source_file"), F.inline(both))
+    place = F.struct("source_file", "default_value", "pos", "source_ord")
+    # A name has as many declarations as the three example files of a repository have lines with it.
+    named = rows.groupBy("repo", "name").agg(
+        F.collect_list(F.when(F.col("source_ord") == 1, place)).alias("declared"), F.min(F.when(F.col("source_ord") == 2, place)).alias("read"),
+    )
+    kept = F.when(F.size("declared") > 0, F.col("declared")).otherwise(F.array("read"))
+    return named.select("repo", "name", F.inline(kept)).withColumn("required", F.lit(True))
 
 
 def entry_points(files: DataFrame) -> DataFrame:
@@ -293,16 +304,13 @@ def imports(files: DataFrame) -> DataFrame:
 def dependency_inventory(files: DataFrame) -> DataFrame:
     """Across repositories: where each dependency is used and in how many versions.
 
-    One row per repository and name first, so a name used everywhere meets the
-    final step already counted by each task.
+    One row per repository, name and version first, so a name used everywhere
+    meets the final step already counted by each task.
     """
-    per_version = dependencies(files).groupBy("name", "version").agg(F.count("*").alias("n"))
-    versions = per_version.groupBy("name").agg(F.count("version").alias("versions"))
-    per_repo = dependencies(files).groupBy("name", "repo").agg(
-        F.max(F.when(~F.col("dev_only"), 1).otherwise(0)).alias("runtime"),
-        F.max(F.when(F.col("dev_only"), 1).otherwise(0)).alias("dev"),
+    used = dependencies(files).groupBy("name", "repo", "version").agg(
+        F.max(~F.col("dev_only")).alias("runtime"), F.max("dev_only").alias("dev")
     )
-    repos = per_repo.groupBy("name").agg(
-        F.count("*").alias("repos"), F.sum("runtime").alias("runtime_repos"), F.sum("dev").alias("dev_repos")
+    return used.groupBy("name").agg(
+        F.count_distinct("repo").alias("repos"), F.count_distinct(F.when(F.col("runtime"), F.col("repo"))).alias("runtime_repos"),
+        F.count_distinct(F.when(F.col("dev"), F.col("repo"))).alias("dev_repos"), F.count_distinct("version").alias("versions"),
     )
-    return repos.join(versions, "name")

@@ -7,7 +7,7 @@ no group is collected whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.cleanup import clean_text
@@ -16,6 +16,7 @@ from codestrata.functions.naming import document_title
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_suffix
 from codestrata.operators.ordering import assemble, joined_head
 from codestrata.operators.summaries import counted_map, files_by_extension, format_counts
+from codestrata.plans.profile import ProfileTables
 
 CHUNK_TOKENS = 50_000
 MAX_INPUT_FILES = 25
@@ -145,7 +146,7 @@ def workflow_text() -> Column:
 
 def repo_context_blocks(profile: dict[str, DataFrame]) -> DataFrame:
     """Blocks of the evidence text of every repository, from the tables of ``plans.profile.profile_tables``."""
-    c = F.col
+    c, profile = F.col, profile.kept() if isinstance(profile, ProfileTables) else profile
     head = head_block(profile["features"], profile["markers"])
     deps = counted_list(
         profile["dependencies"], ["source_ord", "pos"],
@@ -257,10 +258,10 @@ def section_requests(documents: DataFrame, contexts: DataFrame, answers: DataFra
         return requests.withColumn("earlier", F.lit("")).withColumnRenamed("context", "evidence")
     headed = answers.select("repo", "doc_type", F.col("section_ord").alias("_ord"), first_header(F.col("body")).alias("_header"))
     keys = ["repo", "doc_type", "section_ord"]
-    # At most seven sections precede a section.
-    before = plan.select(*keys).join(headed.filter("_header IS NOT NULL"), ["repo", "doc_type"]).filter(F.col("_ord") < F.col("section_ord"))
-    earlier = before.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_ord", "_header"))).alias("_all")).select(
-        *keys, F.array_join(F.transform("_all", lambda s: s["_header"]), ", ").alias("earlier"))
+    # A plan has at most seven sections, so a document is at most seven rows of the window.
+    before = Window.partitionBy("repo", "doc_type").orderBy("section_ord").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = plan.select(*keys).join(headed.withColumnRenamed("_ord", "section_ord"), keys, "left").select(
+        *keys, F.array_join(F.collect_list("_header").over(before), ", ").alias("earlier"))
     return requests.join(earlier, keys, "left").na.fill("", ["earlier"]).withColumnRenamed("context", "evidence")
 
 

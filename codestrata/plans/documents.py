@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.naming import DOCUMENT_TITLES, control_id, document_filename, document_title
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_name, lookup, parent_folder
+from codestrata.sources.tables import settle
 from codestrata.operators.ordering import assemble, head_per_group, joined_head
 from codestrata.operators.summaries import by_count, counted_map, format_counts
 from codestrata.plans.context import text, union_all
 from codestrata.plans.profile import ProfileTables
+from codestrata.sources.tables import settle
 
 ORDER = ["section", "k1", "k2"]
 Tables = ProfileTables
@@ -108,7 +110,7 @@ def with_repos(tables: Tables) -> Tables:
         F.coalesce("tools", F.array().cast("array<string>")).alias("tools"),
         F.coalesce("frameworks", F.array().cast("array<string>")).alias("frameworks"),
     )
-    return tables.extended(repos=repos)
+    return tables.extended(repos=settle(repos))
 
 
 def _names_or_none(column: str) -> Column:
@@ -376,7 +378,7 @@ SECTION_BUILDERS: dict[str, Callable[[Tables], list[DataFrame]]] = {
 
 def document_blocks(tables: Tables, doc_types: list[str] | None = None) -> DataFrame:
     """Blocks of the chosen document types for every repository, title first."""
-    t = tables if "repos" in tables else with_repos(tables)
+    t = tables if "repos" in tables else with_repos(tables.kept())
     parts: list[DataFrame] = []
     for doc_type in doc_types or list(SECTION_BUILDERS):
         title = text("# ", document_title(c("repo"), F.lit(doc_type)), "\n")
@@ -386,7 +388,8 @@ def document_blocks(tables: Tables, doc_types: list[str] | None = None) -> DataF
 
 def repo_documents(tables: Tables, needs: DataFrame | None = None, doc_types: list[str] | None = None) -> DataFrame:
     """One row per needed document of each repository; a very long document continues in further parts."""
-    wanted = (tables["doc_needs"] if needs is None else needs).select("repo", "doc_type")
+    tables = tables.kept() if "repos" not in tables else tables
+    wanted = settle((tables["doc_needs"] if needs is None else needs).select("repo", "doc_type"))
     blocks = document_blocks(tables, doc_types).join(wanted, ["repo", "doc_type"], "left_semi")
     bodies = assemble(blocks, ["repo", "doc_type"], ORDER, "text")
     return bodies.select(

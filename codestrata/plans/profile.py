@@ -23,19 +23,32 @@ COUNTED = [
 
 
 class ProfileTables(dict):
-    """Tables of a profile by name, each planned at its first use."""
+    """Tables of a profile by name, each planned at its first use.
 
-    def __init__(self, builders: dict[str, Callable[[ProfileTables], DataFrame]], known: dict[str, DataFrame]) -> None:
+    With ``keep``, each list is also written at its first use: plans that read
+    a list in many places then read a small table, whose size the planner
+    knows, instead of taking it from the facts again.
+    """
+
+    def __init__(self, builders: dict[str, Callable[[ProfileTables], DataFrame]], known: dict[str, DataFrame], keep: bool = False) -> None:
         super().__init__(known)
-        self._builders = builders
+        self._builders, self._keep = builders, keep
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = self._builders[name](self)
+        table = self._builders[name](self)
+        self[name] = settle(table) if self._keep and name not in WITH_TEXT else table
         return self[name]
 
     def extended(self, **more: DataFrame) -> ProfileTables:
         """The same tables and some more."""
-        return ProfileTables(self._builders, {**self, **more})
+        return ProfileTables(self._builders, {**self, **more}, self._keep)
+
+    def kept(self) -> ProfileTables:
+        """The same tables, each written at its first use from here on."""
+        return self if self._keep else ProfileTables(self._builders, {name: self[name] for name in ("files", "per_file")}, True)
+
+
+WITH_TEXT = ["important_files"]  # read once, and too large to be written again
 
 
 BUILDERS: dict[str, Callable[[ProfileTables], DataFrame]] = {
