@@ -2,7 +2,7 @@
 
 Each word is scored under every language by its letter trigrams. The scripts of its letters first narrow the candidates
 to the languages that use them. A Viterbi pass over the words of a text, in which a change of language costs a penalty,
-labels spans; the document's language is the one with most letters.
+labels spans; the document's language is the one with most letters, insertions counting less.
 
 A word whose best language leads every other by more than two penalties has that label on any best path. The pass is
 therefore cut at such words into short independent runs, which all advance together as rows of one array.
@@ -173,11 +173,12 @@ def viterbi(scores: np.ndarray, at: np.ndarray, offsets: np.ndarray, penalty: fl
 SCHEMA = "doc_id {kind}, lang_pred string, score double, spans array<struct<lang: string, words: int, letters: long>>"
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 4.0, least_share: float = 0.02) -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 4.0, least_share: float = 0.02, enclosed: float = 0.25) -> DataFrame:
     """doc_id, lang_pred, score, spans for each row of ``docs``; only the text is looked at.
 
-    ``spans`` are the labelled stretches in order, with their words (those with letters) and letters; ``lang_pred``
-    has most letters, the first by name on ties; ``score`` is its share of them. Null texts and texts without letters,
+    ``spans`` are the labelled stretches in order, with their words (those with letters) and letters. A stretch between
+    two of one other language is an insertion, whose letters count ``enclosed`` each; ``lang_pred`` has most letters so
+    counted, the first by name on ties, and ``score`` is its share of them. Null texts and texts without letters,
     or without any learned language, give ``und``, score 0 and no spans. Other columns of ``docs`` are ignored and
     repeated rows are labelled each. Tasks get the model: languages times 2^16 numbers.
     """
@@ -193,18 +194,20 @@ def identify(docs: DataFrame, model: Model, penalty: float = 4.0, least_share: f
             offsets = np.concatenate([[0], np.cumsum(spoken)])[offsets]
             text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             label = viterbi(scores, at, offsets, penalty)
-            share = np.bincount(text_of * len(names) + label, weights=letters[at], minlength=len(text) * len(names)).reshape(len(text), -1)
-            total = share.sum(axis=1)
-            winner = np.where(total > 0, share.argmax(axis=1), len(langs))
-            score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0)
             turn = np.ones(len(at), dtype=bool)
             turn[1:] = (label[1:] != label[:-1]) | (text_of[1:] != text_of[:-1])
             edge = np.append(np.flatnonzero(turn), len(at))
+            own, lang, held = text_of[edge[:-1]], label[edge[:-1]], segment_sum(letters[at], edge)
+            weight = np.ones(len(own))
+            weight[1:-1][(own[2:] == own[:-2]) & (lang[2:] == lang[:-2])] = enclosed
+            share = np.bincount(own * len(names) + lang, weights=weight * held, minlength=len(text) * len(names)).reshape(len(text), -1)
+            total = share.sum(axis=1)
+            winner = np.where(total > 0, share.argmax(axis=1), len(langs))
+            score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1e-9), 0.0)
             spans = pa.StructArray.from_arrays(
-                [names.take(pa.array(label[edge[:-1]])), pa.array(np.diff(edge).astype(np.int32)), pa.array(segment_sum(letters[at], edge).astype(np.int64))],
-                ["lang", "words", "letters"],
+                [names.take(pa.array(lang)), pa.array(np.diff(edge).astype(np.int32)), pa.array(held.astype(np.int64))], ["lang", "words", "letters"],
             )
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text_of[edge[:-1]], minlength=len(text)))]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(text)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), names.take(pa.array(winner)), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), spans)],
                 ["doc_id", "lang_pred", "score", "spans"],
