@@ -65,13 +65,14 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iter
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-        ends = np.cumsum(np.asarray(pc.binary_length(text), dtype=np.int64))
+        text = batch.column("text")
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + MOST_ROWS)
-            yield batch.slice(start, stop - start), pa.concat_arrays([text.slice(start, stop - start)])
+            part = pc.fill_null(text.slice(start, stop - start).cast(pa.large_string()), "")
+            yield batch.slice(start, stop - start), pa.concat_arrays([part])
             start = stop
 
 
