@@ -79,8 +79,8 @@ def symbol_part(kind: str, signature: str) -> str:
 
 ENTRY_KEY = ("source_ord || ' ' || target", "pos")
 RUN, DEV = "NOT dev_only", "dev_only"
-QUALITY = f"regexp_matches(lower(name), '{DO.QUALITY_WORDS}')"
-INSTALL = f"regexp_matches(lower(name), '{DO.INSTALL_WORDS}')"
+QUALITY = f"regexp_matches(lower(name), '{DO.facts.QUALITY_WORDS}')"
+INSTALL = f"regexp_matches(lower(name), '{DO.facts.INSTALL_WORDS}')"
 OPS_FILES = "doc_signal IN ('workflow', 'operational')"
 ARCH = ("(SELECT repo, path, name, CASE WHEN depth > 1 THEN array_to_string(seg[:depth - 1], '/') ELSE '.' END AS folder FROM "
         + head("feat", "path", 15, "doc_signal = 'architecture'") + ")")

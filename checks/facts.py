@@ -78,9 +78,16 @@ for name, source, table in (
     add(name,
         lambda s, d, source=source: big()(FA.dependencies(tree(s, d)).filter(F.col("source").isin(source)).select(*DEP_COLUMNS)),
         tree_sql(f"SELECT {', '.join(DEP_COLUMNS)} FROM {table}", KEPT, *DEPS_CTES))
+
+
+def runtime_vs_dev(rows):
+    """Both kinds counted per repository, each as the library tells it apart."""
+    kinds = FA.runtime_dependencies(rows).withColumn("kind", F.lit("runtime")).unionByName(FA.dev_dependencies(rows).withColumn("kind", F.lit("dev")))
+    return kinds.groupBy("repo").agg(F.count(F.when(F.col("kind") == "runtime", 1)).alias("runtime"), F.count(F.when(F.col("kind") == "dev", 1)).alias("dev"))
+
+
 add("runtime_vs_dev",
-    lambda s, d: FA.dependencies(tree(s, d)).groupBy("repo").agg(
-        F.count(F.when(~F.col("dev_only"), 1)).alias("runtime"), F.count(F.when(F.col("dev_only"), 1)).alias("dev")),
+    lambda s, d: runtime_vs_dev(FA.dependencies(tree(s, d))),
     tree_sql("SELECT repo, count(*) FILTER (NOT dev_only) AS runtime, count(*) FILTER (dev_only) AS dev FROM deps GROUP BY repo", KEPT, *DEPS_CTES))
 add("dependency_inventory", query(FA.dependency_inventory, "name", "repos", "runtime_repos", "dev_repos", "versions"),
     tree_sql("""SELECT name, count(DISTINCT repo) AS repos, count(DISTINCT repo) FILTER (NOT dev_only) AS runtime_repos,
@@ -157,10 +164,10 @@ for name, ord_ in (("scripts_npm", [1]), ("scripts_make", [2]), ("scripts", [1,
     add(name, lambda s, d, ord_=ord_: big()(FA.scripts(tree(s, d)).filter(F.col("source_ord").isin(ord_)).select(*SCRIPT_COLUMNS)),
         tree_sql(f"SELECT {', '.join(SCRIPT_COLUMNS)} FROM scripts WHERE source_ord IN ({', '.join(map(str, ord_))})", KEPT, *SCRIPT_CTES))
 add("quality_commands",
-    lambda s, d: FA.scripts(tree(s, d)).filter(F.lower("name").rlike("test|lint|check|validate")).select("repo", "name", "command"),
+    lambda s, d: FA.quality_commands(FA.scripts(tree(s, d))).select("repo", "name", "command"),
     tree_sql("SELECT repo, name, command FROM scripts WHERE regexp_matches(lower(name), 'test|lint|check|validate')", KEPT, *SCRIPT_CTES))
 add("install_commands",
-    lambda s, d: big()(head_per_group(FA.scripts(tree(s, d)).filter(F.lower("name").rlike("install|setup|prepare")), ["repo"], ["source_ord", "pos"], 3)
+    lambda s, d: big()(head_per_group(FA.install_commands(FA.scripts(tree(s, d))), ["repo"], ["source_ord", "pos"], 3)
     .select("repo", "name", "command", "rank")),
     tree_sql("""SELECT repo, name, command, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY source_ord, pos) AS rank
       FROM scripts WHERE regexp_matches(lower(name), 'install|setup|prepare')) WHERE rank <= 3""", KEPT, *SCRIPT_CTES))

@@ -172,6 +172,29 @@ def scripts(files: DataFrame) -> DataFrame:
     return explode_facts(files, "scripts").withColumn("source_ord", order).drop("path")
 
 
+# Words in the name of a script that checks the code, and of one that prepares it.
+QUALITY_WORDS = "test|lint|check|validate"
+INSTALL_WORDS = "install|setup|prepare"
+
+
+def quality_commands(rows: DataFrame) -> DataFrame:
+    """The scripts that check the code."""
+    return rows.filter(F.lower("name").rlike(QUALITY_WORDS))
+
+
+def install_commands(rows: DataFrame) -> DataFrame:
+    """The scripts that prepare the code for use."""
+    return rows.filter(F.lower("name").rlike(INSTALL_WORDS))
+
+
+def runtime_dependencies(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("dev_only"))
+
+
+def dev_dependencies(rows: DataFrame) -> DataFrame:
+    return rows.filter("dev_only")
+
+
 def api_endpoints(files: DataFrame) -> DataFrame:
     return explode_facts(files, "api_endpoints")
 

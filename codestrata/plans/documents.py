@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.naming import DOCUMENT_TITLES, control_id, document_filename, document_title
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_name, lookup, parent_folder
 from codestrata.sources.tables import settle
+from codestrata.operators import facts
 from codestrata.operators.ordering import assemble, head_per_group, joined_head
 from codestrata.operators.summaries import by_count, counted_map, format_counts
 from codestrata.plans.context import text, union_all
@@ -25,8 +26,6 @@ from codestrata.sources.tables import settle
 ORDER = ["section", "k1", "k2"]
 Tables = ProfileTables
 
-QUALITY_WORDS = "test|lint|check|validate"
-INSTALL_WORDS = "install|setup|prepare"
 START_NAMES = ["start", "serve", "run", "dev"]
 
 EXTENDING = "\n".join([
@@ -129,8 +128,8 @@ def sections_overview(t: Tables) -> list[DataFrame]:
     doc = "repository-overview"
     deps, entries, repos = t["dependencies"], t["entry_points"], t["repos"]
     order = ["source_ord", "pos"]
-    runtime = joined_head(deps.filter(~c("dev_only")), ["repo"], order, _ticked("name"), 15, "items")
-    dev = joined_head(deps.filter("dev_only"), ["repo"], order, _ticked("name"), 10, "items")
+    runtime = joined_head(facts.runtime_dependencies(deps), ["repo"], order, _ticked("name"), 15, "items")
+    dev = joined_head(facts.dev_dependencies(deps), ["repo"], order, _ticked("name"), 10, "items")
     command = F.coalesce(_ticked("command"), F.lit("-"))
     blocks = [
         put(repos, doc, 30, text(
@@ -235,7 +234,7 @@ def sections_quality(t: Tables) -> list[DataFrame]:
         "### ", c("name"), "\n\n- **Platform**: ", c("platform"), "\n- **File**: `", c("path"), "`",
         listed("Triggers", "triggers"), listed("Jobs", "jobs"), listed("Environments", "environments"), listed("Required Secrets", "secrets_used"),
     )
-    quality = t["scripts"].filter(F.lower("name").rlike(QUALITY_WORDS))
+    quality = facts.quality_commands(t["scripts"])
     return [
         put(t["repos"], doc, 20, "## Purpose\n\nHow changes are checked before they are merged or released.\n\n## Tests\n"),
         put(tests, doc, 21, text("- `", c("path"), "` (", c("language"), ")"), None, c("rank")),
@@ -257,7 +256,7 @@ def sections_getting_started(t: Tables) -> list[DataFrame]:
         F.when(F.array_contains("tools", "make"), F.lit("- Make (for build commands)")),
     ))
     install = joined_head(
-        t["scripts"].filter(F.lower("name").rlike(INSTALL_WORDS)), ["repo"], ["source_ord", "pos"], c("command"), 3, "commands", "\n")
+        facts.install_commands(t["scripts"]), ["repo"], ["source_ord", "pos"], c("command"), 3, "commands", "\n")
     default = F.when(language == "Python", "pip install -e .").when(language.isin("JavaScript", "TypeScript"), "npm install")
     first = head_per_group(t["entry_points"], ["repo"], ["source_ord", "target", "pos"], 1).filter(c("command").isNotNull())
     commands = F.coalesce("commands", default)
@@ -306,7 +305,7 @@ def sections_configuration(t: Tables) -> list[DataFrame]:
 
 def sections_deployment(t: Tables) -> list[DataFrame]:
     doc = "deployment-runbook"
-    runtime = head_per_group(t["dependencies"].filter(~c("dev_only")), ["repo"], ["source_ord", "pos"], 20)
+    runtime = head_per_group(facts.runtime_dependencies(t["dependencies"]), ["repo"], ["source_ord", "pos"], 20)
     envs = head_per_group(t["env_variables"].filter("required"), ["repo"], ["source_ord", "source_file", "pos"], 15)
     entries = t["entry_points"]
     docker = t["repos"].filter(F.array_contains("tools", "docker"))
