@@ -5,6 +5,11 @@ variable field. In a leaf, a token is constant at its position if enough documen
 otherwise; a line with its variable fields left open is its template. A template that enough documents share, and that
 is mostly constant, is boilerplate.
 
+How many documents are enough is judged on several levels: a fixed number, and shares of the leaf's documents. On the
+first, a field of few values is read as constants; on the others, a value that recurs only because there are many
+documents is left open, so that what happens to a line does not depend on the size of the corpus. A line goes if its
+template on any level recurs.
+
 Everything is sums and joins over leaves, positions and templates, so no leaf is ever held in one place. Only hashes of
 lines are shuffled to find the leaves that several documents reach; the words of a line are looked at in those alone.
 """
@@ -21,6 +26,7 @@ DEPTH = 3  # leading tokens that lead to a leaf
 LEAST_TOKENS = 5  # shorter lines are never boilerplate
 LEAST_DOCUMENTS = 3
 LEAST_CONSTANT = 0.6  # share of a template's tokens
+DIVISORS = (50, 10, 2)  # levels: a constant is in one of so many documents of its leaf, and in LEAST_DOCUMENTS
 FIELD = "<*>"
 
 
@@ -41,25 +47,29 @@ def lines(docs: DataFrame, least_tokens: int) -> DataFrame:
 
 
 def recurring(docs: DataFrame, least_tokens: int = LEAST_TOKENS, least_documents: int = LEAST_DOCUMENTS, least_constant: float = LEAST_CONSTANT) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, line) to be dropped, and the templates they have: (line, template, documents)."""
+    """Rows (doc_id, row_key, line) to be dropped, and the templates they have, one or more a line: (line, template, documents)."""
     docs = docs.select("doc_id", "text")
     rows = written(lines(docs, least_tokens).select("doc_id", "row_key", "leaf", "line").distinct(), "line-rows")
     counts = written(rows.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-counts")
-    leaves = written(counts.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_documents).select("leaf"), "line-leaves")
-    seen = lines(docs, least_tokens).select("leaf", "line", "words").join(leaves, "leaf").groupBy("leaf", "line").agg(F.first("words").alias("words"))
-    held = written(seen.join(counts, ["leaf", "line"]).select("leaf", "line", "docs", masked(F.col("words")).alias("words")), "line-words")
-    places = held.select("leaf", "line", "docs", F.posexplode("words").alias("pos", "word"))
-    common = places.filter(F.col("word") != FIELD).groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_documents)
-    # Constants of each line; what is not among them is a variable field.
-    fixed = places.join(common.select("leaf", "pos", "word"), ["leaf", "pos", "word"]).groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("fixed"))
-    known = held.join(fixed, ["leaf", "line"]).filter(F.size("fixed") >= F.lit(least_constant) * F.size("words"))
+    leaves = written(counts.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_documents), "line-leaves")
+    seen = lines(docs, least_tokens).select("leaf", "line", "words").join(leaves.select("leaf"), "leaf").groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    held = written(seen.join(counts, ["leaf", "line"]).join(leaves, "leaf").select("leaf", "line", "docs", F.col("n").alias("total"), masked(F.col("words")).alias("words")), "line-words")
+    places = held.select("leaf", "line", "docs", "total", F.posexplode("words").alias("pos", "word"))
+    common = places.filter(F.col("word") != FIELD).groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("n"), F.first("total").alias("total")).filter(F.col("n") >= least_documents)
+    level = sum((F.col("n") * d >= F.col("total")).cast("int") for d in DIVISORS)
+    # Constants of each line, and up to which level they are; what is not among them is a variable field.
+    fixed = places.join(common.select("leaf", "pos", "word", level.alias("level")), ["leaf", "pos", "word"]).groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "level"))).alias("fixed"))
+    enough = lambda at: F.size(at) >= F.lit(least_constant) * F.size("words")
+    known = held.join(fixed, ["leaf", "line"]).filter(enough(F.col("fixed")))
+    levels = F.array(*(F.filter("fixed", lambda x: x["level"] >= k)["pos"] for k in range(len(DIVISORS) + 1)))
+    known = known.select("leaf", "line", "words", F.explode(F.array_distinct(F.filter(levels, enough))).alias("at"))
     word = lambda w, i: F.when(F.array_contains("at", i), w).otherwise(F.lit(FIELD))
-    named = known.withColumn("at", F.col("fixed.pos")).select("leaf", "line", F.array_join(F.transform("words", word), " ").alias("template"))
+    named = known.select("leaf", "line", F.array_join(F.transform("words", word), " ").alias("template"))
     named = written(named, "line-templates")
     pairs = rows.join(named, ["leaf", "line"])
     shared = pairs.select("leaf", "template", "doc_id", "row_key").distinct().groupBy("leaf", "template").agg(F.count("*").alias("documents"))
     shared = written(shared.filter(F.col("documents") >= least_documents), "line-shared")
-    gone = pairs.join(shared, ["leaf", "template"]).select("doc_id", "row_key", "line")
+    gone = pairs.join(shared, ["leaf", "template"]).select("doc_id", "row_key", "line").distinct()
     return gone, named.join(shared, ["leaf", "template"]).select("line", "template", "documents")
 
 

@@ -235,6 +235,23 @@ def test_line_templates(spark, docs, nothing):
     assert line_templates.drop_recurring(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("documents", "values"), [(100, 100), (10_000, 100)])
+def test_templates_of_word_fields_do_not_depend_on_size(spark, documents, values):
+    word = lambda i: "abcdefghij"[i // 10 % 10] + "klmnopqrst"[i % 10]
+    lines = [f"Report filed by {word(i)} in {word(i // values + i)} office today" for i in range(documents)]
+    table = spark.createDataFrame([(i, f"{line}\n{'own' * (i % 7)}{word(i)} text") for i, line in enumerate(lines)], "doc_id long, text string")
+    assert len(set(lines)) == documents
+    found = line_templates.drop_recurring(table).groupBy("n_dropped").count().collect()
+    assert [(r.n_dropped, r["count"]) for r in found] == [(1, documents)]
+
+
+def test_templates_of_several_forms_in_one_leaf(spark):
+    word = lambda i: "abcdefghij"[i // 10 % 10] + "klmnopqrst"[i % 10]
+    forms = ["Report filed by {} in {} office today", "Report filed by {} for {} branch yesterday", "Report filed by {} about {} matters again"]
+    table = spark.createDataFrame([(i, forms[i % 3].format(word(i // 3), word(i // 300 + i // 3))) for i in range(9_000)], "doc_id long, text string")
+    assert line_templates.drop_recurring(table).filter("n_dropped = 1").count() == 9_000
+
+
 # --- 6 quality ---
 
 
