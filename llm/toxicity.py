@@ -9,6 +9,7 @@ numbers about a document's worst words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ SLOTS = 1 << 16  # of the character model
 GRAM_SLOTS = 1 << 20  # of the 5-grams
 STRIPE = 1 << 16
 ORDER = 3
-LONGEST = 40  # characters of a word that can be a disguise; longer runs are data, not words, and count as they are
+LONGEST = 40  # characters of a disguise; a longer word is decoded in windows, each such stretch whole in one of them
 KEPT = 4  # restorations of a word
 SAMPLE_ROWS = 40_000
 THRESHOLD = 0.7
@@ -60,14 +61,14 @@ def spaced(words: list[str], at: np.ndarray, offsets: np.ndarray) -> list[tuple[
             text = int(np.searchsorted(offsets, a, side="right")) - 1
             end = min(b, int(offsets[text + 1]))
             if end - a >= 4 and len(set(at[a:end].tolist())) > 2:
-                found.append((text, "".join(words[i] for i in at[a : min(end, a + LONGEST)])))
+                found.append((text, "".join(words[i] for i in at[a:end])))
             a = end if end > a else b
     return found
 
 
 def suspicious(word: str) -> bool:
     """Whether a word without its edges can be a disguise: it has letters, and signs among them or a letter three times over."""
-    if not 3 <= len(word) <= LONGEST:
+    if len(re.sub(r"(?s)(.)\1{2,}", r"\1\1", word)) < 3:
         return False
     letters = sum(map(str.isalpha, word))
     if letters == len(word):
@@ -76,6 +77,12 @@ def suspicious(word: str) -> bool:
     return letters >= 1 and 2 * letters >= len(others) and all(c in CHANNEL or c in JOINTS for c in others)
 
 
+def windows(word: str) -> list[str]:
+    """The word with runs of one character cut to three, which read the same, in stretches of at most twice LONGEST that overlap by LONGEST."""
+    word = re.sub(r"(?s)(.)\1{3,}", r"\1\1\1", word)
+    return [word[k : k + 2 * LONGEST] for k in range(0, max(len(word) - LONGEST, 1), LONGEST)]
+
+
 # --- character model ------------------------------------------------------------------------------------------------
 
 
@@ -148,17 +155,25 @@ class Characters:
         return sorted(ends, key=lambda read: (-ends[read], read))[:KEPT]
 
 
+def decoded(model: Characters, word: str, memory: dict[str, list[str]]) -> list[str]:
+    """Readings of a word, window by window, each different window once; none if the word is not suspicious."""
+    found = []
+    for part in windows(word) if suspicious(word) else []:
+        if part not in memory:
+            if len(memory) > 200_000:
+                memory.clear()
+            memory[part] = model.restore(part)
+        found += memory[part]
+    return found
+
+
 def restored(model: Characters, words: list[str], memory: dict[str, list[str]]) -> tuple[list[str], np.ndarray]:
     """All readings of all words, and the word of each; a word that is not suspicious is its own reading."""
     readings, owner = list(words), list(range(len(words)))
     for number, word in enumerate(words):
-        if suspicious(word):
-            if word not in memory:
-                if len(memory) > 200_000:
-                    memory.clear()
-                memory[word] = model.restore(word)
-            readings += memory[word]
-            owner += [number] * len(memory[word])
+        found = decoded(model, word, memory)
+        readings += found
+        owner += [number] * len(found)
     return readings, np.array(owner, dtype=np.int64)
 
 
@@ -358,7 +373,7 @@ def deobfuscate(words: DataFrame, characters: Characters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = stripped(pc.fill_null(batch.column("word"), ""))
-            readings = [characters.restore(w) or [w] if suspicious(w) else [w] for w in own]
+            readings = [decoded(characters, w, {}) or [w] for w in own]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(readings, pa.list_(pa.string()))], ["word", "readings"])
 
     return words.select("word").mapInArrow(run, "word string, readings array<string>")

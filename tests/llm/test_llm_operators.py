@@ -368,6 +368,32 @@ def test_disguised_words_are_restored(spark):
     assert {r.word: r.readings[0] for r in toxicity.deobfuscate(asked, model).collect()} == {"1d10t": "idiot", "house": "house", None: ""}
 
 
+def channel_model(spark):
+    plain = spark.createDataFrame([(i, "you are an idiot and full of shit said the moron in the house " * 20) for i in range(20)], "doc_id long, text string")
+    return toxicity.learn_characters(plain)
+
+
+def read_in(text, model):
+    """Letters of all readings of all words of one text."""
+    seen = []
+    own = toxicity.restored
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "restored", lambda *a: seen.append(own(*a)) or seen[-1])
+        toxicity.Words(pa.array([text], pa.large_string()), model, {})
+    return seen[0][0]
+
+
+def test_long_runs_and_words_are_read_whole(spark):
+    model = channel_model(spark)
+    run = " ".join("youarethehouse" * 5 + "1d10t" + "youarethehouse" * 5)
+    assert any("idiot" in r for r in read_in(run, model))
+    assert any("idiot" in r for r in read_in(".".join("youarethehouse" * 3 + "idiot" + "saidthehouse" * 3), model))
+    assert any(r == "idiot" for r in read_in("i" * 40 + "diot", model))
+    word = "".join(chr(ord("a") + i * 7 % 26) for i in range(313))
+    parts = toxicity.windows(word)
+    assert all(any(word[k : k + toxicity.LONGEST] in p for p in parts) for k in range(len(word)))
+
+
 def test_toxicity_of_disguised_texts(spark, docs, nothing):
     rng = random.Random(9)
     clean = ["river", "house", "garden", "window", "people", "summer", "letter", "market", "morning", "evening"]
