@@ -49,6 +49,11 @@ def stripped(words: pa.Array) -> list[str]:
     return [w.strip(EDGE) for w in pc.utf8_lower(words).to_pylist()]
 
 
+def unstripped(words: pa.Array) -> list[str]:
+    """Words in lower case without signs at their ends, save those that can stand for letters."""
+    return [w.strip("".join(set(EDGE) - set(CHANNEL))) for w in pc.utf8_lower(words).to_pylist()]
+
+
 def spaced(words: list[str], at: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     """(text, joined letters) of every run of at least four one-character words, none of them the one before it."""
     one = np.fromiter((len(w) == 1 for w in words), dtype=bool, count=len(words))[at]
@@ -124,7 +129,8 @@ class Characters:
         """The likeliest readings of a word, best first: Viterbi over its lattice, keeping a few paths for each state.
 
         A state is the last two letters. A letter may be read once or twice where it is repeated; a sign between
-        letters is a letter it can stand for, or nothing where it can join letters.
+        letters is a letter it can stand for, or nothing where it can join letters; so is a sign at an end that need not
+        belong to the word.
         """
         states: dict[str, list[tuple[float, str]]] = {"\0": [(0.0, "")]}
         runs: list[tuple[str, int]] = []
@@ -133,13 +139,15 @@ class Characters:
                 runs[-1] = (c, runs[-1][1] + 1)
             else:
                 runs.append((c, 1))
-        for c, times in runs:
+        first, last = (next((i for i, (c, _) in enumerate(r) if c not in EDGE), len(r)) for r in (runs, runs[::-1]))
+        for number, (c, times) in enumerate(runs):
+            edge = number < first or number >= len(runs) - last
             options = [(c, 0.0)] if c.isalpha() else [(x, -0.7) for x in CHANNEL.get(c, "")]
             if times == 2:
                 options = [(x * 2, cost) for x, cost in options] + [(x, cost - 1.0) for x, cost in options]
             elif times > 2:
                 options = [(x * k, cost - 0.5 * k) for x, cost in options for k in (1, 2)]
-            if not c.isalpha() and (c in JOINTS or not options):
+            if not c.isalpha() and (edge or c in JOINTS or not options):
                 options.append(("", -0.5))
             following: dict[str, list[tuple[float, str]]] = {}
             for paths in states.values():
@@ -167,11 +175,17 @@ def decoded(model: Characters, word: str, memory: dict[str, list[str]]) -> list[
     return found
 
 
-def restored(model: Characters, words: list[str], memory: dict[str, list[str]]) -> tuple[list[str], np.ndarray]:
-    """All readings of all words, and the word of each; a word that is not suspicious is its own reading."""
+def both(model: Characters, word: str, whole: str, memory: dict[str, list[str]]) -> list[str]:
+    """Readings of a word without signs at its ends, and with those that can stand for letters."""
+    found = decoded(model, word, memory)
+    return found + [r for r in decoded(model, whole, memory) if r not in found] if whole != word else found
+
+
+def restored(model: Characters, words: list[str], wholes: list[str], memory: dict[str, list[str]]) -> tuple[list[str], np.ndarray]:
+    """All readings of all words, and the word of each; every word is a reading of its own as well."""
     readings, owner = list(words), list(range(len(words)))
-    for number, word in enumerate(words):
-        found = decoded(model, word, memory)
+    for number, (word, whole) in enumerate(zip(words, wholes, strict=True)):
+        found = both(model, word, whole, memory)
         readings += found
         owner += [number] * len(found)
     return readings, np.array(owner, dtype=np.int64)
@@ -256,14 +270,16 @@ class Words:
         cut, offsets = ragged(pc.ascii_split_whitespace(text))
         kinds = cut.dictionary_encode()
         at = np.asarray(kinds.indices).astype(np.int64)
-        words = stripped(kinds.dictionary)
-        joined = spaced(words, at, offsets)
+        words, wholes = stripped(kinds.dictionary), unstripped(kinds.dictionary)
+        # A sign by itself that can stand for a letter is a letter of a run.
+        joined = spaced([w or (x if x in CHANNEL else "") for w, x in zip(words, wholes, strict=True)], at, offsets)
         self.owner = np.concatenate([np.repeat(np.arange(len(text)), np.diff(offsets)), np.array([t for t, _ in joined], dtype=np.int64)])
         self.at = np.concatenate([at, len(words) + np.arange(len(joined))]).astype(np.int64)
         self.size = len(words) + len(joined)
-        # A dollar sign at the end of a word is an edge or an s: the word is read both ways.
-        words += [w for _, w in joined]
-        readings, self.word = restored(model, words, memory)
+        # An exclamation mark at the end of a word is an edge or an i: the word is read both ways.
+        words += [w.strip(EDGE) for _, w in joined]
+        wholes += [w for _, w in joined]
+        readings, self.word = restored(model, words, wholes, memory)
         points, ends = code_points(pa.array(readings, pa.large_string()))
         letter = LETTER[points]
         ends = np.concatenate([[0], np.cumsum(segment_sum(letter, ends).astype(np.int64))])
@@ -372,8 +388,8 @@ def deobfuscate(words: DataFrame, characters: Characters) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = stripped(pc.fill_null(batch.column("word"), ""))
-            readings = [decoded(characters, w, {}) or [w] for w in own]
+            given = pc.fill_null(batch.column("word"), "")
+            readings = [both(characters, w, x, {}) or [w] for w, x in zip(stripped(given), unstripped(given), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(readings, pa.list_(pa.string()))], ["word", "readings"])
 
     return words.select("word").mapInArrow(run, "word string, readings array<string>")

@@ -394,6 +394,14 @@ def test_long_runs_and_words_are_read_whole(spark):
     assert all(any(word[k : k + toxicity.LONGEST] in p for p in parts) for k in range(len(word)))
 
 
+def test_signs_at_the_ends_are_read_both_ways(spark):
+    model = channel_model(spark)
+    for disguise, word in [("sh!+", "shit"), ("!d!0t", "idiot"), ('"sh!+!".', "shit"), ("s h ! t", "shit"), ("! d i 0 t", "idiot"), ("m0ron!", "moron")]:
+        assert word in read_in(f"the {disguise} house", model), disguise
+    asked = spark.createDataFrame([("sh!+",)], "word string")
+    assert "shit" in toxicity.deobfuscate(asked, model).first().readings
+
+
 def test_toxicity_of_disguised_texts(spark, docs, nothing):
     rng = random.Random(9)
     clean = ["river", "house", "garden", "window", "people", "summer", "letter", "market", "morning", "evening"]
