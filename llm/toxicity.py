@@ -72,14 +72,17 @@ def spaced(words: list[str], at: np.ndarray, offsets: np.ndarray) -> list[tuple[
 
 
 def suspicious(word: str) -> bool:
-    """Whether a word without its edges can be a disguise: it has letters, and signs among them or a letter three times over."""
+    """Whether a word without its edges can be a disguise: signs that can stand for letters or join them, or a letter twice over.
+
+    Without a letter, it has a sign that is no digit: numbers are read as they are.
+    """
     if len(re.sub(r"(?s)(.)\1{2,}", r"\1\1", word)) < 3:
         return False
     letters = sum(map(str.isalpha, word))
     if letters == len(word):
-        return any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
+        return any(x == y for x, y in zip(word, word[1:], strict=False))
     others = [c for c in word if not c.isalpha()]
-    return letters >= 1 and 2 * letters >= len(others) and all(c in CHANNEL or c in JOINTS for c in others)
+    return (letters >= 1 or any(c in CHANNEL and not c.isdigit() for c in others)) and all(c in CHANNEL or c in JOINTS for c in others)
 
 
 def windows(word: str) -> list[str]:

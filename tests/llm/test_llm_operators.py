@@ -402,6 +402,14 @@ def test_signs_at_the_ends_are_read_both_ways(spark):
     assert "shit" in toxicity.deobfuscate(asked, model).first().readings
 
 
+def test_words_of_few_or_doubled_letters_are_decoded(spark):
+    model = channel_model(spark)
+    for disguise, word in [("5h17", "shit"), ("1d107", "idiot"), ("5#17", None), ("4$$", None), ("iiddiioott", "idiot"), ("mm0r0nn", "moron")]:
+        assert toxicity.suspicious(disguise) and (word is None or word in read_in(f"the {disguise} house", model)), disguise
+    assert not toxicity.suspicious("1234567") and not toxicity.suspicious("3.14")
+    assert {"4$$", "ass"} <= set(read_in("4$$", model)) and "house" in read_in("house", model)
+
+
 def test_toxicity_of_disguised_texts(spark, docs, nothing):
     rng = random.Random(9)
     clean = ["river", "house", "garden", "window", "people", "summer", "letter", "market", "morning", "evening"]
