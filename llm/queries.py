@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm import decontaminate as DC
-from llm import language, line_templates, mixing, neighbours, ngram_join, packing, quality, token_counts, toxicity
-from llm.common import read, remainder
+from llm import language, lexical_search, line_templates, mixing, neighbours, ngram_join, packing, quality, token_counts, toxicity, warc, whitening
+from llm.common import read, remainder, shared_folder
 from llm.sql import ORACLES
 
 MIX_WEIGHTS = [3, 1, 2]
@@ -70,6 +71,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.load_pieces())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = read(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    return warc.pages_of(warc.read_archives(spark, path, payloads=False), pages.schema["page_id"].dataType.simpleString())
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)} | {"pipeline": corpus_pipeline.run}
 

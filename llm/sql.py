@@ -101,4 +101,33 @@ FROM documents JOIN (
 ) k ON documents.doc_id = k.doc_id AND documents.text = k.whole"""
 
 
-ORACLES = {"op3_mixing": OP3, "op5_line_templates": OP5, "op7_ngram_join": near("documents"), "op9_decontamination": OP9}
+# Twenty bits are four letters of base 32.
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, strlen(payload) AS bytes, sha1(payload) AS sha FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY sha, bytes ORDER BY page_id NULLS LAST) AS place, first_value(page_id) OVER (PARTITION BY sha, bytes ORDER BY page_id NULLS LAST) AS first FROM h)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(sha, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN place > 1 THEN first END AS refers_to
+FROM f"""
+
+SEARCH_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {SEARCH_TERMS} AS w FROM documents),
+n AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, i, term, CAST(count(*) AS BIGINT) AS times FROM (
+  SELECT item_id, i, unnest(w) AS term FROM (SELECT item_id, row_number() OVER () AS i, {SEARCH_TERMS} AS w FROM benchmark)
+) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+s AS (
+  SELECT item_id, i, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (r), total GROUP BY ALL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10"""
+
+ORACLES = {"op3_mixing": OP3, "op5_line_templates": OP5, "op7_ngram_join": near("documents"), "op9_decontamination": OP9, "op11_warc": OP11, "op12_lexical_search": OP12}
