@@ -84,10 +84,11 @@ def ragged(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All characters of an array of strings as numbers, and the offset of each string in them."""
-    strings = texts.to_pylist()
-    lengths = np.fromiter((len(s) for s in strings), dtype=np.int64, count=len(strings))
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return points, np.concatenate([[0], np.cumsum(lengths)])
+    texts = texts.cast(pa.large_string())
+    raw, bounds = texts.buffers()[2], np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    data = raw.slice(bounds[0], bounds[-1] - bounds[0]).to_pybytes() if raw is not None else b""
+    points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    return points, np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(texts), dtype=np.int64))])
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -37,6 +37,8 @@ STRIPE = 1 << 16
 ORDER = 3
 LONGEST = 40  # characters of a disguise; a longer word is decoded in windows, each such stretch whole in one of them
 KEPT = 4  # restorations of a word
+TOGETHER = 8192  # words decoded in step
+MEMORY = 200_000  # decoded words that a task remembers
 SAMPLE_ROWS = 40_000
 THRESHOLD = 0.7
 
@@ -44,31 +46,49 @@ THRESHOLD = 0.7
 # --- words ----------------------------------------------------------------------------------------------------------
 
 
-def stripped(words: pa.Array) -> list[str]:
-    """Words in lower case without signs at their ends."""
-    return [w.strip(EDGE) for w in pc.utf8_lower(words).to_pylist()]
+INNER = "".join(c for c in EDGE if c not in CHANNEL)  # signs that cannot stand for letters either
 
 
-def unstripped(words: pa.Array) -> list[str]:
-    """Words in lower case without signs at their ends, save those that can stand for letters."""
-    return [w.strip("".join(set(EDGE) - set(CHANNEL))) for w in pc.utf8_lower(words).to_pylist()]
+def whole_words(words: pa.Array) -> pa.Array:
+    """Words in lower case without the signs at their ends that cannot stand for letters."""
+    return pc.utf8_trim(pc.utf8_lower(words), INNER)
 
 
-def spaced(words: list[str], at: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
-    """(text, joined letters) of every run of at least four one-character words, none of them the one before it."""
-    one = np.fromiter((len(w) == 1 for w in words), dtype=bool, count=len(words))[at]
-    one = np.concatenate([[False], one, [False]])
-    start = np.flatnonzero(one[1:-1] & ~one[:-2])
-    stop = np.flatnonzero(one[1:-1] & ~one[2:]) + 1
-    found = []
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        while b - a >= 4:
-            text = int(np.searchsorted(offsets, a, side="right")) - 1
-            end = min(b, int(offsets[text + 1]))
-            if end - a >= 4 and len(set(at[a:end].tolist())) > 2:
-                found.append((text, "".join(words[i] for i in at[a:end])))
-            a = end if end > a else b
-    return found
+def runs(single: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginning and end of each stretch of more than one ``single`` entry; a stretch ends with its segment."""
+    edges = np.zeros(len(single) + 1, dtype=bool)
+    edges[offsets] = True
+    start = np.flatnonzero(single & (edges[:-1] | ~np.concatenate([[False], single])[:-1]))
+    stop = np.flatnonzero(single & (edges[1:] | ~np.concatenate([single, [False]])[1:])) + 1
+    long = stop - start > 1
+    return start[long], stop[long]
+
+
+class Words:
+    """The different words of some texts, with the joined runs of one-character words, and which texts have them."""
+
+    def __init__(self, text: pa.Array):
+        cut, offsets = ragged(pc.ascii_split_whitespace(text))
+        first = cut.dictionary_encode()
+        kinds = whole_words(first.dictionary).dictionary_encode()
+        at = np.asarray(kinds.indices).astype(np.int64)[np.asarray(first.indices)]
+        # A letter with signs around it is a letter of a run, and so is a sign by itself that can stand for one.
+        bare = pc.utf8_trim(kinds.dictionary, EDGE)
+        letter = pc.if_else(pc.equal(pc.utf8_length(bare), 0), kinds.dictionary, bare)
+        single = np.asarray(pc.equal(pc.utf8_length(letter), 1)).astype(bool)
+        name = dict(zip(np.flatnonzero(single).tolist(), letter.filter(pa.array(single)).to_pylist(), strict=True))
+        joined = [(a, "".join(name[i] for i in at[a:b].tolist())) for a, b in zip(*(x.tolist() for x in runs(single[at], offsets)), strict=True)]
+        joined = [(a, run) for a, run in joined if len(set(run)) > 1]
+        where = np.searchsorted(offsets, np.array([a for a, _ in joined], dtype=np.int64), side="right") - 1
+        self.owner = np.concatenate([np.repeat(np.arange(len(text)), np.diff(offsets)), where])
+        self.at = np.concatenate([at, len(kinds.dictionary) + np.arange(len(joined))]).astype(np.int64)
+        self.kinds = pa.concat_arrays([kinds.dictionary, pa.array([run for _, run in joined], kinds.dictionary.type)])
+
+
+# A word that is nothing but different letters in a row needs no further test.
+UNUSUAL = re.compile(r"(?s)(.)\1|[\W\d_]")
+REPEATED = re.compile(r"(?s)(.)\1{2,}")
+MORE_THAN_THREE = re.compile(r"(?s)(.)\1{3,}")
 
 
 def suspicious(word: str) -> bool:
@@ -76,18 +96,17 @@ def suspicious(word: str) -> bool:
 
     Without a letter, it has a sign that is no digit: numbers are read as they are.
     """
-    if len(re.sub(r"(?s)(.)\1{2,}", r"\1\1", word)) < 3:
+    if not UNUSUAL.search(word) or len(REPEATED.sub(r"\1\1", word)) < 3:
         return False
-    letters = sum(map(str.isalpha, word))
-    if letters == len(word):
-        return any(x == y for x, y in zip(word, word[1:], strict=False))
+    if word.isalpha():
+        return True
     others = [c for c in word if not c.isalpha()]
-    return (letters >= 1 or any(c in CHANNEL and not c.isdigit() for c in others)) and all(c in CHANNEL or c in JOINTS for c in others)
+    return all(c in CHANNEL or c in JOINTS for c in others) and (len(others) < len(word) or any(c in CHANNEL and not c.isdigit() for c in others))
 
 
 def windows(word: str) -> list[str]:
     """The word with runs of one character cut to three, which read the same, in stretches of at most twice LONGEST that overlap by LONGEST."""
-    word = re.sub(r"(?s)(.)\1{3,}", r"\1\1\1", word)
+    word = MORE_THAN_THREE.sub(r"\1\1\1", word)
     return [word[k : k + 2 * LONGEST] for k in range(0, max(len(word) - LONGEST, 1), LONGEST)]
 
 
@@ -112,86 +131,177 @@ class Characters:
     """Interpolated trigram model over hashed slots: how likely a letter is after the two before it."""
 
     def __init__(self, pairs: np.ndarray, triples: np.ndarray):
-        self.pairs, self.triples = pairs.astype(np.float64), triples.astype(np.float64)
-        self.memory: dict[str, float] = {}
-
-    def log(self, gram: str) -> float:
-        """Of the last of the three characters of ``gram``; the mark is a null character."""
-        if gram not in self.memory:
-            points = np.array([*map(ord, gram)], dtype=np.uint64)
-            code3 = code2 = np.zeros(1, dtype=np.uint64)
-            for c in points:
-                code3 = mix64(code3 * np.uint64(31) + c + np.uint64(1))
-            for c in points[:2]:
-                code2 = mix64(code2 * np.uint64(31) + c + np.uint64(1))
-            pair, triple = self.pairs[int(code2[0] % np.uint64(SLOTS))], self.triples[int(code3[0] % np.uint64(SLOTS))]
-            self.memory[gram] = float(np.log((triple + 0.05) / (pair + 2.0)))
-        return self.memory[gram]
-
-    def restore(self, word: str) -> list[str]:
-        """The likeliest readings of a word, best first: Viterbi over its lattice, keeping a few paths for each state.
-
-        A state is the last two letters. A letter may be read once or twice where it is repeated; a sign between
-        letters is a letter it can stand for, or nothing where it can join letters; so is a sign at an end that need not
-        belong to the word.
-        """
-        states: dict[str, list[tuple[float, str]]] = {"\0": [(0.0, "")]}
-        runs: list[tuple[str, int]] = []
-        for c in word:
-            if runs and runs[-1][0] == c:
-                runs[-1] = (c, runs[-1][1] + 1)
-            else:
-                runs.append((c, 1))
-        first, last = (next((i for i, (c, _) in enumerate(r) if c not in EDGE), len(r)) for r in (runs, runs[::-1]))
-        for number, (c, times) in enumerate(runs):
-            edge = number < first or number >= len(runs) - last
-            options = [(c, 0.0)] if c.isalpha() else [(x, -0.7) for x in CHANNEL.get(c, "")]
-            if times == 2:
-                options = [(x * 2, cost) for x, cost in options] + [(x, cost - 1.0) for x, cost in options]
-            elif times > 2:
-                options = [(x * k, cost - 0.5 * k) for x, cost in options for k in (1, 2)]
-            if not c.isalpha() and (edge or c in JOINTS or not options):
-                options.append(("", -0.5))
-            following: dict[str, list[tuple[float, str]]] = {}
-            for paths in states.values():
-                for score, text in paths:
-                    for letters, cost in options:
-                        value, read = score + cost, text
-                        for x in letters:
-                            value += self.log(("\0\0" + read)[-2:] + x)
-                            read += x
-                        following.setdefault(read[-2:], []).append((value, read))
-            states = {state: sorted(set(paths), reverse=True)[:2] for state, paths in following.items()}
-        ends = {read: score + self.log(("\0\0" + read)[-2:] + "\0") for paths in states.values() for score, read in paths if len(read) >= 3}
-        return sorted(ends, key=lambda read: (-ends[read], read))[:KEPT]
-
-
-def decoded(model: Characters, word: str, memory: dict[str, list[str]]) -> list[str]:
-    """Readings of a word, window by window, each different window once; none if the word is not suspicious."""
-    found = []
-    for part in windows(word) if suspicious(word) else []:
-        if part not in memory:
-            if len(memory) > 200_000:
-                memory.clear()
-            memory[part] = model.restore(part)
-        found += memory[part]
+        self.pairs, self.triples = np.log(pairs + 2.0), np.log(triples + 0.05)
+
+    def log(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of each ``c`` after ``a`` and ``b``; the mark at both ends of a word is a zero."""
+        code = np.zeros(len(a), dtype=np.uint64)
+        for x in (a, b):
+            code = mix64(code * np.uint64(31) + x.astype(np.uint64) + np.uint64(1))
+        pair = self.pairs[code % np.uint64(SLOTS)]
+        code = mix64(code * np.uint64(31) + c.astype(np.uint64) + np.uint64(1))
+        return self.triples[code % np.uint64(SLOTS)] - pair
+
+
+def lattice(word: str) -> list[tuple[str, int, bool]]:
+    """The steps of a word: (character, how often in a row, three for more, whether signs alone lie between it and an end)."""
+    runs: list[list] = []
+    for c in word:
+        if runs and runs[-1][0] == c:
+            runs[-1][1] = min(runs[-1][1] + 1, 3)
+        else:
+            runs.append([c, 1, False])
+    if runs[0][0] in EDGE or runs[-1][0] in EDGE:
+        for side in (runs, runs[::-1]):
+            for run in side:
+                if run[0] not in EDGE:
+                    break
+                run[2] = True
+    return [(*run,) for run in runs]
+
+
+def readings_of(c: str, times: int, edge: bool) -> list[tuple[str, float]]:
+    """What a step of a lattice can be read as, and what that costs.
+
+    A letter may be read once or twice where it is repeated; a sign between letters is a letter it can stand for, or
+    nothing where it can join letters; so is a sign at an end that need not belong to the word.
+    """
+    options = [(c, 0.0)] if c.isalpha() else [(x, -0.7) for x in CHANNEL.get(c, "")]
+    if times == 2:
+        options = [(x * 2, cost) for x, cost in options] + [(x, cost - 1.0) for x, cost in options]
+    elif times > 2:
+        options = [(x * k, cost - 0.5 * k) for x, cost in options for k in (1, 2)]
+    if not c.isalpha() and (edge or c in JOINTS or not options):
+        options.append(("", -0.5))
+    return options
+
+
+def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``keys`` (the last is the main one), and the place in the order where each entry's run of equal main keys begins."""
+    order = np.lexsort(keys)
+    own = keys[-1][order]
+    new = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, dtype=bool)
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+
+
+def restore(model: Characters, words: list[str]) -> list[list[str]]:
+    """The likeliest readings of each word, best first: Viterbi over all their lattices at once, step by step.
+
+    A state is a word, the last two letters read of it and whether there were three yet; each keeps its two best different
+    readings. Of a word's last states the best ``KEPT`` readings of three letters or more are returned.
+    """
+    found: list[list[str]] = [[] for _ in words]
+    for start in range(0, len(words), TOGETHER):
+        restore_block(model, words[start : start + TOGETHER], found, start)
     return found
 
 
-def both(model: Characters, word: str, whole: str, memory: dict[str, list[str]]) -> list[str]:
-    """Readings of a word without signs at its ends, and with those that can stand for letters."""
-    found = decoded(model, word, memory)
-    return found + [r for r in decoded(model, whole, memory) if r not in found] if whole != word else found
+def restore_block(model: Characters, words: list[str], found: list[list[str]], base: int) -> None:
+    """``restore`` for some of the words, into ``found`` from ``base`` on."""
+    numbers: dict[tuple[str, int, bool], int] = {}
+    steps = [[numbers.setdefault(step, len(numbers)) for step in lattice(word)] for word in words]
+    options = [readings_of(*step) for step in numbers]
+    first = np.concatenate([[0], np.cumsum([*map(len, options)])])
+    flat = [x for own in options for x in own]
+    one, two = (np.array([ord(x[k]) if len(x) > k else 0 for x, _ in flat], dtype=np.int64) for k in (0, 1))
+    cost = np.array([c for _, c in flat])
+    length = np.array([*map(len, steps)])
+    place = np.concatenate([[0], np.cumsum(length)])
+    step = np.array([x for own in steps for x in own])
+
+    zero = np.zeros(len(words), dtype=np.int64)
+    word, a, b, score, text, letters = np.arange(len(words)), zero, zero, np.zeros(len(words)), zero.astype(np.uint64), zero
+    trail, ends = [], []
+    for k in range(int(length.max(initial=0))):
+        # Every path goes on by every reading of its word's next step.
+        own = step[place[word] + k]
+        count = first[own + 1] - first[own]
+        parent = np.repeat(np.arange(len(word)), count)
+        option = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(len(parent))
+        word, a, b, score, text, letters = (x[parent] for x in (word, a, b, score, text, letters))
+        score = score + cost[option]
+        for letter in (one[option], two[option]):
+            some = letter > 0
+            score[some] += model.log(a[some], b[some], letter[some])
+            a, b = np.where(some, b, a), np.where(some, letter, b)
+            text = np.where(some, mix64(text * np.uint64(31) + letter.astype(np.uint64) + np.uint64(1)), text)
+            letters = letters + some
+        # Where paths branched: of equal readings the cheapest stays, then the two best of each state.
+        branched = count[parent] > 1
+        at = np.flatnonzero(branched)
+        key = mix64(text[at] + mix64(word[at].astype(np.uint64)))
+        order, begin = first_of(-score[at], key)
+        at = at[order[begin == np.arange(len(order))]]
+        state = mix64(word[at].astype(np.uint64) * np.uint64(4) + np.minimum(letters[at], 3).astype(np.uint64))
+        state = mix64(mix64(state + a[at].astype(np.uint64)) + b[at].astype(np.uint64))
+        order, begin = first_of(text[at], -score[at], state)
+        kept = np.sort(np.concatenate([np.flatnonzero(~branched), at[order[np.arange(len(order)) - begin < 2]]]))
+        word, a, b, score, text, letters = (x[kept] for x in (word, a, b, score, text, letters))
+        trail.append((parent[kept], one[option[kept]], two[option[kept]]))
+        done = length[word] == k + 1
+        closed = np.flatnonzero(done & (letters >= 3))
+        ends.append((np.full(len(closed), k), closed, word[closed], score[closed] + model.log(a[closed], b[closed], np.zeros(len(closed), dtype=np.int64)), text[closed]))
+        going = np.flatnonzero(~done)
+        word, a, b, score, text, letters = (x[going] for x in (word, a, b, score, text, letters))
+        trail[-1] = (*trail[-1], going)
+    if not ends:
+        return
+    last, at, owner, value, text = (np.concatenate(x) for x in zip(*ends, strict=True))
+    order, begin = first_of(text, -value, owner)
+    best = order[np.arange(len(order)) - begin < KEPT]
+    last, at, owner = last[best], at[best], owner[best]
+    spelled = np.zeros((len(best), 2 * len(trail)), dtype=np.uint32)
+    for k in range(len(trail) - 1, -1, -1):
+        parent, first_letter, second_letter, going = trail[k]
+        before = last > k
+        at[before] = going[at[before]]  # where the path was before the ended ones were set aside
+        there = last >= k
+        spelled[there, 2 * k], spelled[there, 2 * k + 1] = first_letter[at[there]], second_letter[at[there]]
+        at[there] = parent[at[there]]
+    size = np.count_nonzero(spelled, axis=1)
+    whole = spelled[spelled > 0].tobytes().decode("utf-32-le", "surrogatepass")
+    stop = np.cumsum(size)
+    for number, x, y in zip(owner.tolist(), (stop - size).tolist(), stop.tolist(), strict=True):
+        found[base + number].append(whole[x:y])
+
+
+def restored(model: Characters, wholes: pa.Array, memory: dict[str, list[str]]) -> tuple[list[str], np.ndarray]:
+    """All readings of disguised words, and the word of each.
+
+    A word is decoded without the signs at its ends, and with those that can stand for letters, window by window. What was
+    decoded before is taken from ``memory``, which is emptied when it is full.
+    """
+    unusual = np.flatnonzero(np.asarray(pc.match_substring_regex(wholes, r"[^\p{L}]")).astype(bool) | doubled(wholes))
+    chosen = wholes.take(pa.array(unusual))
+    asked = zip(unusual.tolist(), pc.utf8_trim(chosen, EDGE).to_pylist(), chosen.to_pylist(), strict=True)
+    parts = [(n, part) for n, word, whole in asked for w in ((word,) if word == whole else (word, whole)) if suspicious(w) for part in windows(w)]
+    if len(memory) > MEMORY:
+        memory.clear()
+    new = [*dict.fromkeys(part for _, part in parts if part not in memory)]
+    memory |= zip(new, restore(model, new), strict=True)
+    pairs = dict.fromkeys((number, reading) for number, part in parts for reading in memory[part])
+    return [reading for _, reading in pairs], np.array([number for number, _ in pairs], dtype=np.int64)
+
+
+def doubled(words: pa.Array) -> np.ndarray:
+    """Whether a word has one character twice in a row."""
+    points, offsets = code_points(words)
+    same = np.flatnonzero(points[1:] == points[:-1]) + 1
+    owner = np.searchsorted(offsets, same, side="right") - 1
+    found = np.zeros(len(words), dtype=bool)
+    found[owner[same > offsets[owner]]] = True
+    return found
 
 
-def restored(model: Characters, words: list[str], wholes: list[str], memory: dict[str, list[str]]) -> tuple[list[str], np.ndarray]:
-    """All readings of all words, and the word of each; every word is a reading of its own as well."""
-    readings, owner = list(words), list(range(len(words)))
-    for number, (word, whole) in enumerate(zip(words, wholes, strict=True)):
-        found = both(model, word, whole, memory)
-        readings += found
-        owner += [number] * len(found)
-    return readings, np.array(owner, dtype=np.int64)
+def grams_of(model: Characters, wholes: pa.Array, memory: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the 5-grams of all readings of some words, each word as it is among them, and the word of each gram."""
+    readings, owner = restored(model, wholes, memory)
+    texts = pa.concat_arrays([pc.utf8_trim(wholes, EDGE).cast(pa.large_string()), pa.array(readings, pa.large_string())])
+    points, ends = code_points(texts)
+    letter = LETTER[points]
+    ends = np.concatenate([[0], np.cumsum(segment_sum(letter, ends).astype(np.int64))])
+    grams, reading = gram_slots(points[letter], ends, 5, GRAM_SLOTS)
+    return grams, np.concatenate([np.arange(len(wholes)), owner])[reading]
 
 
 def add_up(counts: DataFrame) -> dict[int, np.ndarray]:
@@ -266,29 +376,6 @@ def learn_characters(docs: DataFrame) -> Characters:
 # --- documents ------------------------------------------------------------------------------------------------------
 
 
-class Words:
-    """The different words of some texts with all their readings, and which texts have them."""
-
-    def __init__(self, text: pa.Array, model: Characters, memory: dict[str, list[str]]):
-        cut, offsets = ragged(pc.ascii_split_whitespace(text))
-        kinds = cut.dictionary_encode()
-        at = np.asarray(kinds.indices).astype(np.int64)
-        words, wholes = stripped(kinds.dictionary), unstripped(kinds.dictionary)
-        # A sign by itself that can stand for a letter is a letter of a run.
-        joined = spaced([w or (x if x in CHANNEL else "") for w, x in zip(words, wholes, strict=True)], at, offsets)
-        self.owner = np.concatenate([np.repeat(np.arange(len(text)), np.diff(offsets)), np.array([t for t, _ in joined], dtype=np.int64)])
-        self.at = np.concatenate([at, len(words) + np.arange(len(joined))]).astype(np.int64)
-        self.size = len(words) + len(joined)
-        # An exclamation mark at the end of a word is an edge or an i: the word is read both ways.
-        words += [w.strip(EDGE) for _, w in joined]
-        wholes += [w for _, w in joined]
-        readings, self.word = restored(model, words, wholes, memory)
-        points, ends = code_points(pa.array(readings, pa.large_string()))
-        letter = LETTER[points]
-        ends = np.concatenate([[0], np.cumsum(segment_sum(letter, ends).astype(np.int64))])
-        self.grams, self.reading = gram_slots(points[letter], ends, 5, GRAM_SLOTS)
-
-
 class Evidence:
     """Cautious log-odds of each 5-gram slot, from the numbers of toxic and other documents that have it.
 
@@ -305,27 +392,58 @@ class Evidence:
         self.weight = weight(other, toxic)
         self.without = [weight(np.maximum(other - 1, 0), toxic), weight(other, np.maximum(toxic - 1, 0))]
 
-    def statistics(self, words: Words, texts: int, weight: np.ndarray | None = None) -> np.ndarray:
-        """Numbers about the worst words of each text."""
-        reading = np.zeros(len(words.word), dtype=np.float32)
-        np.maximum.at(reading, words.reading, (self.weight if weight is None else weight)[words.grams])
-        word = np.zeros(words.size, dtype=np.float32)
-        np.maximum.at(word, words.word, reading)
-        score = word[words.at]
-        total = np.maximum(np.bincount(words.owner, minlength=texts), 1)
-        columns = [np.log1p(total)]
-        for least in (0.5, 1.0, 2.0, 3.0):
-            n = np.bincount(words.owner, weights=score > least, minlength=texts)
-            columns += [np.log1p(n), n / total]
-        order = np.lexsort((-score, words.owner))
-        first = np.searchsorted(words.owner[order], np.arange(texts))
-        for k in range(4):
-            at = first + k
-            inside = at < len(order)
-            at = np.minimum(at, max(len(order) - 1, 0))
-            own = inside & (words.owner[order][at] == np.arange(texts)) if len(order) else np.zeros(texts, dtype=bool)
-            columns.append(np.where(own, score[order][at], 0) if len(order) else np.zeros(texts))
-        return np.stack(columns, axis=1)
+
+
+class Scores:
+    """How toxic words are, under each of some weights; a word's score is kept for the texts to come."""
+
+    def __init__(self, model: Characters, *weights: np.ndarray):
+        self.model, self.weights = model, weights
+        self.decoded: dict[str, list[str]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.weights)), dtype=np.float32)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """A row for each word: the largest weight among the 5-grams of its readings."""
+        if len(self.known) > MEMORY:
+            self.clear()
+        names = words.to_pylist()
+        new = [i for i, name in enumerate(names) if name not in self.known]
+        if new:
+            grams, owner = grams_of(self.model, words.take(pa.array(new)), self.decoded)
+            order = np.argsort(owner, kind="stable")
+            first = np.searchsorted(owner[order], np.arange(len(new) + 1))
+            some = np.flatnonzero(np.diff(first))
+            rows = np.zeros((len(new), len(self.weights)), dtype=np.float32)
+            for k, weight in enumerate(self.weights):
+                rows[some, k] = np.maximum.reduceat(weight[grams[order]], first[some]) if len(some) else 0
+            self.known |= {names[i]: len(self.table) + k for k, i in enumerate(new)}
+            self.table = np.concatenate([self.table, rows])
+        return self.table[[self.known[name] for name in names]]
+
+
+def statistics(words: Words, score: np.ndarray, texts: int) -> np.ndarray:
+    """Numbers about the worst words of each text, from a score for each different word."""
+    total = np.maximum(np.bincount(words.owner, minlength=texts), 1)
+    of = score[words.at]
+    columns = [np.log1p(total)]
+    for least in (0.5, 1.0, 2.0, 3.0):
+        n = np.bincount(words.owner[of > least], minlength=texts)
+        columns += [np.log1p(n), n / total]
+    owner, of = words.owner[of > 0], of[of > 0]
+    order = np.lexsort((-of, owner))
+    owner, of = owner[order], of[order]
+    first = np.searchsorted(owner, np.arange(texts + 1))
+    for k in range(4):
+        at = first[:-1] + k
+        own = at < first[1:]
+        worst = np.zeros(texts)
+        worst[own] = of[at[own]]
+        columns.append(worst)
+    return np.stack(columns, axis=1)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS) -> tuple[Characters, Evidence, Trees]:
@@ -337,15 +455,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, memory = np.zeros((2, GRAM_SLOTS), dtype=np.int64), {}
         for batch, text in text_chunks(batches):
-            words = Words(text, characters, memory)
-            toxic = np.asarray(batch.column("label")) > 0
+            words, toxic = Words(text), np.asarray(batch.column("label")) > 0
+            grams, owner = grams_of(characters, words.kinds, memory)
+            grams = grams[np.argsort(owner, kind="stable")]
+            size = np.bincount(owner, minlength=len(words.kinds))
+            first = np.cumsum(size) - size
             # Each text has each gram once, however many words and readings it is in.
-            incidence = np.unique(words.owner * words.size + words.at)
-            first = np.searchsorted(words.word[words.reading][order := np.argsort(words.word[words.reading], kind="stable")], np.arange(words.size + 1))
-            grams = words.grams[order]
-            length = np.diff(first)[incidence % words.size] if words.size else np.zeros(0, np.int64)
-            where = np.repeat(first[incidence % words.size] - (np.cumsum(length) - length), length) + np.arange(length.sum()) if words.size else np.zeros(0, np.int64)
-            pair = np.unique(np.repeat(incidence // max(words.size, 1), length) * GRAM_SLOTS + grams[where])
+            text_word = np.unique(words.owner * max(len(words.kinds), 1) + words.at)
+            word = text_word % max(len(words.kinds), 1)
+            length = size[word] if len(word) else np.zeros(0, dtype=np.int64)
+            where = np.repeat(first[word] - (np.cumsum(length) - length), length) + np.arange(length.sum()) if len(word) else length
+            pair = np.unique(np.repeat(text_word // max(len(words.kinds), 1), length) * GRAM_SLOTS + grams[where])
             for k in (0, 1):
                 sums[k] += np.bincount(pair[toxic[pair // GRAM_SLOTS] == bool(k)] % GRAM_SLOTS, minlength=GRAM_SLOTS)
         yield sent(sums)
@@ -355,10 +475,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     evidence = Evidence(np.concatenate([counted.get(s, none) for s in range(GRAM_SLOTS // STRIPE)], axis=1), (documents.get(0, 0), documents.get(1, 0)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, list[str]] = {}
+        scores = Scores(characters, *evidence.without)
         for batch, text in text_chunks(batches):
-            words, toxic = Words(text, characters, memory), np.asarray(batch.column("label")) > 0
-            found = np.where(toxic[:, None], *(evidence.statistics(words, len(text), evidence.without[k]) for k in (1, 0)))
+            words, toxic = Words(text), np.asarray(batch.column("label")) > 0
+            score = scores.of(words.kinds)
+            found = np.where(toxic[:, None], *(statistics(words, score[:, k], len(text)) for k in (1, 0)))
             raw = pa.array([row.tobytes() for row in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), raw], ["doc_id", "label", "x"])
 
@@ -377,9 +498,10 @@ def score(docs: DataFrame, model: tuple[Characters, Evidence, Trees]) -> DataFra
     characters, evidence, trees = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, list[str]] = {}
+        scores = Scores(characters, evidence.weight)
         for rows, text in text_chunks(batches):
-            found = evidence.statistics(Words(text, characters, memory), len(text))
+            words = Words(text)
+            found = statistics(words, scores.of(words.kinds)[:, 0], len(text))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(trees.predict(found[:, : len(trees.edges)]))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -391,8 +513,13 @@ def deobfuscate(words: DataFrame, characters: Characters) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = pc.fill_null(batch.column("word"), "")
-            readings = [both(characters, w, x, {}) or [w] for w, x in zip(stripped(given), unstripped(given), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(readings, pa.list_(pa.string()))], ["word", "readings"])
+            wholes = whole_words(pc.fill_null(batch.column("word"), ""))
+            texts, owner = restored(characters, wholes, {})
+            plain = pc.utf8_trim(wholes, EDGE).to_pylist()
+            readings: list[list[str]] = [[] for _ in plain]
+            for number, reading in zip(owner.tolist(), texts, strict=True):
+                readings[number].append(reading)
+            found = [own or [word] for own, word in zip(readings, plain, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.string()))], ["word", "readings"])
 
     return words.select("word").mapInArrow(run, "word string, readings array<string>")

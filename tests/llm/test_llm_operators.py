@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,7 +365,7 @@ def test_disguised_words_are_restored(spark):
     plain = spark.createDataFrame([(i, "the idiot said stupid things about the moron and other people in the house " * 20) for i in range(20)], "doc_id long, text string")
     model = toxicity.learn_characters(plain)
     for disguise, word in [("1d10t", "idiot"), ("idiooot", "idiot"), ("st.u.p.i.d", "stupid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("i-d-i-o-t", "idiot")]:
-        assert toxicity.suspicious(disguise) and word in model.restore(disguise)
+        assert toxicity.suspicious(disguise) and word in toxicity.restore(model, [disguise])[0]
     assert not toxicity.suspicious("house") and not toxicity.suspicious("2024") and not toxicity.suspicious("x" * 500)
     asked = spark.createDataFrame([("1d10t",), ("house",), (None,)], "word string")
     assert {r.word: r.readings[0] for r in toxicity.deobfuscate(asked, model).collect()} == {"1d10t": "idiot", "house": "house", None: ""}
@@ -374,13 +377,44 @@ def channel_model(spark):
 
 
 def read_in(text, model):
-    """Letters of all readings of all words of one text."""
-    seen = []
-    own = toxicity.restored
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(toxicity, "restored", lambda *a: seen.append(own(*a)) or seen[-1])
-        toxicity.Words(pa.array([text], pa.large_string()), model, {})
-    return seen[0][0]
+    """All readings of all words of one text, the words as they are among them."""
+    words = toxicity.Words(pa.array([text], pa.large_string()))
+    return toxicity.restored(model, words.kinds, {})[0] + pc.utf8_trim(words.kinds, toxicity.EDGE).to_pylist()
+
+
+def every_reading(model, word):
+    """The cost of every path through a word's lattice, by its reading; the cheapest of equal readings."""
+    log = lambda *x: float(model.log(*(np.array([ord(c)]) for c in x))[0])
+    found = {}
+    for path in itertools.product(*(toxicity.readings_of(*step) for step in toxicity.lattice(word))):
+        text, value = "", 0.0
+        for letters, cost in path:
+            value += cost
+            for x in letters:
+                value, text = value + log(*("\0\0" + text)[-2:], x), text + x
+        if len(text) >= 3:
+            found[text] = max(found.get(text, -math.inf), value + log(*("\0\0" + text)[-2:], "\0"))
+    return found
+
+
+def test_decoder_finds_the_best_paths_of_all(spark):
+    rng = random.Random(4)
+    model = channel_model(spark)
+    signs = "aeioustmdhl" * 3 + "".join(toxicity.CHANNEL) + toxicity.JOINTS
+    words = ["".join(rng.choice(signs) * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(2, 7)))[:8] for _ in range(400)]
+    for word, own in zip(words, toxicity.restore(model, words), strict=True):
+        every = every_reading(model, word)
+        assert len(own) == len(set(own)) and len(own) >= min(2, len(every))
+        best = sorted(every.values(), reverse=True)
+        assert all(abs(every[reading] - value) < 1e-9 for reading, value in zip(own[:2], best, strict=False)), word
+        assert sorted((every[r] for r in own), reverse=True) == [every[r] for r in own]
+
+
+def test_short_runs_of_letters_are_read(spark):
+    model = channel_model(spark)
+    assert "ass" in toxicity.Words(pa.array(["you a s s there", "a", "s s"])).kinds.to_pylist()
+    assert "hit" in read_in("s h i t h i t", model) or "shithit" in read_in("s h i t h i t", model)
+    assert toxicity.Words(pa.array(["x x x", "a", "b"])).kinds.to_pylist() == ["x", "a", "b"]  # one letter only, and runs end with their text
 
 
 def test_long_runs_and_words_are_read_whole(spark):
