@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,56 +26,104 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_TEXT = 50256
 BLOCK_BYTES = 4 << 20
+KEPT_CUTS = 400_000
 
 SCHEMA = "pack_id string, ids array<int>, n_tokens int, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind}>, piece_starts array<long>"
 
-_encoders: dict = {}
 
 
 def encoder(ranks: bytes):
-    """The encoder of a vocabulary file's bytes, built once for each worker."""
+    """The encoder of a vocabulary file's bytes."""
     import tiktoken
 
-    key = hash(ranks)
-    if key not in _encoders:
-        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
-        _encoders[key] = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
-    return _encoders[key]
+    table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
 
 
-def encode(texts: pa.Array, ranks: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each ended by ``end``, and the offset of each text in them.
+SPACE, NEWLINE, APOSTROPHE = b" \n'"
+# Classes of bytes: 1 for ASCII letters and digits, 2 for other visible ASCII, 4 for the lead byte of U+00C0 to U+07FF (no blank among them).
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[0x21:0x7F] = 2
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+KIND[0xC3:0xE0] = 4
 
-    A text can be cut before a single space between two other ASCII characters without changing any token. The cuts
-    repeat a lot, so each different one is encoded once and the ids are gathered.
+
+def breaks(body: np.ndarray) -> np.ndarray:
+    """Where a text may be cut without changing a token: true at each byte that can begin a cut, and one entry for the end.
+
+    That is before a single space between visible characters, before and after a single line break between such, and
+    between a letter or digit and the sign after it, unless that is an apostrophe.
     """
-    texts = texts.cast(pa.large_string())
-    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
-    body = data[bounds[0] : bounds[-1]]
-    plain = (body > 0x20) & (body < 0x7F)
-    cut = np.zeros(len(body), dtype=bool)
-    cut[1:-1] = (body[1:-1] == 0x20) & plain[:-2] & plain[2:]
-    starts = np.unique(np.concatenate([np.flatnonzero(cut), bounds[:-1] - bounds[0]]))
-    starts = starts[starts < len(body)]
-    edges = np.append(starts, len(body)).astype(np.int64)
-    cuts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(body)).dictionary_encode()
-    coded = [*map(encoder(ranks).encode_ordinary, cuts.dictionary.to_pylist())]
-    size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-    first = np.concatenate([[0], np.cumsum(size)])
-    flat = np.fromiter((i for ids in coded for i in ids), dtype=np.int32, count=int(first[-1]))
-    at = np.asarray(cuts.indices)
-    owner = np.searchsorted(bounds - bounds[0], starts, side="right") - 1
-    lengths = np.bincount(owner, weights=size[at], minlength=len(texts)).astype(np.int64) + 1
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    ids = np.full(int(offsets[-1]), end, dtype=np.int32)
-    where = np.ones(len(ids), dtype=bool)
-    where[offsets[1:] - 1] = False
-    before = np.concatenate([[0], np.cumsum(size[at])])
-    source = np.repeat(first[at] - before[:-1], size[at]) + np.arange(before[-1])
-    ids[where] = flat[source]
-    return ids, offsets
+    cut = np.zeros(len(body) + 1, dtype=bool)
+    if len(body) < 3:
+        return cut
+    kind = KIND[body]
+    visible = kind > 0
+    visible[1:] |= kind[:-1] == 4
+    between = visible[:-2] & visible[2:]
+    line = (body[1:-1] == NEWLINE) & between
+    cut[1:-2] = ((body[1:-1] == SPACE) & between) | line
+    cut[2:-1] |= line
+    cut[1:-1] |= (kind[:-1] == 1) & (kind[1:] == 2) & (body[1:] != APOSTROPHE)
+    return cut
+
+
+class Coder:
+    """Encodes texts; the ids of the cuts of earlier texts are kept."""
+
+    def __init__(self, ranks: bytes):
+        self.encoding = encoder(ranks)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def cuts(self, cuts: pa.Array) -> np.ndarray:
+        """The number of each cut among the kept ones; new cuts are encoded, together."""
+        if len(self.known) > KEPT_CUTS:
+            self.clear()
+        texts = cuts.to_pylist()
+        numbers = [*map(self.known.get, texts)]
+        new = [i for i, number in enumerate(numbers) if number is None]
+        if new:
+            coded = [*map(self.encoding.encode_ordinary, [texts[i] for i in new])]
+            size = np.array([*map(len, coded)], dtype=np.int64)
+            base, end = len(self.size), len(self.flat)
+            self.first = np.concatenate([self.first, end + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.array([*chain.from_iterable(coded)], dtype=np.int32)])
+            for k, i in enumerate(new, base):
+                self.known[texts[i]] = numbers[i] = k
+        return np.array(numbers, dtype=np.int64)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each ended by ``end``, and the offset of each text in them.
+
+        The texts are cut where no token can reach across. The cuts repeat a lot, so each different one is encoded once and
+        the ids are gathered.
+        """
+        texts = texts.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
+        body, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        cut = breaks(body)
+        cut[bounds] = True
+        cut[-1] = True
+        edges = np.flatnonzero(cut)
+        starts = edges[:-1]
+        cuts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(body)).dictionary_encode()
+        at = self.cuts(cuts.dictionary)[np.asarray(cuts.indices)]
+        size = self.size[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        lengths = np.diff(before[np.searchsorted(starts, bounds)]) + 1
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.full(int(offsets[-1]), end, dtype=np.int32)
+        where = np.ones(len(ids), dtype=bool)
+        where[offsets[1:] - 1] = False
+        ids[where] = self.flat[np.repeat(self.first[at] - before[:-1], size) + np.arange(before[-1])]
+        return ids, offsets
 
 
 class Capacities:
@@ -144,9 +193,9 @@ def pack(docs: DataFrame, length: int = 2048, path: str = VOCABULARY, end: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = TaskContext.get().partitionId()
+        split, coder = TaskContext.get().partitionId(), Coder(ranks)
         for block, (rows, text) in enumerate(text_chunks(batches, BLOCK_BYTES)):
-            ids, offsets = encode(text, ranks, end)
+            ids, offsets = coder.encode(text, end)
             pieces = -(-np.diff(offsets) // length)
             owner = np.repeat(np.arange(len(pieces)), pieces)
             within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

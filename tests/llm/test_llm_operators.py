@@ -216,11 +216,22 @@ def test_packed_rows_give_the_texts_back(spark, docs, nothing, tmp_path):
 def test_cut_texts_have_the_tokens_of_whole_ones():
     ranks = open(packing.VOCABULARY, "rb").read()
     texts = ["", " ", "a b", "  a  b ", "a  b c", "x\n y", "é é é", " a", "a ", "1 2 3 !! ?", "it's I'll  we", "a b c", "don't  \t stop"]
-    ids, offsets = packing.encode(pa.array(texts), ranks, 7)
+    ids, offsets = packing.Coder(ranks).encode(pa.array(texts), 7)
     for k, text in enumerate(texts):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == [*packing.encoder(ranks).encode_ordinary(text), 7]
 
 
+def test_cuts_never_change_tokens():
+    rng, ranks = random.Random(6), open(packing.VOCABULARY, "rb").read()
+    signs = [" ", "\n", "\t", "'", ".", ",", "a", "b", "s", "1", "é", "×", "ß", "я", "日", "😀", "\u00a0", "\u2003", "\u0085", "'s", "don't", " the", "))", "’"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    coder, whole = packing.Coder(ranks), packing.encoder(ranks)
+    for start in (0, 2000):
+        ids, offsets = coder.encode(pa.array(texts[start : start + 2000]), 7)
+        for k, text in enumerate(texts[start : start + 2000]):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == [*whole.encode_ordinary(text), 7], repr(text)
+
+
 # --- 5 line templates ---
 
 
