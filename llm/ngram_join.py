@@ -442,6 +442,24 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
-    """The rows of ``docs`` but those of a document whose component has a smaller id. Rows without id stay."""
-    gone = written(near_duplicates(docs, n).filter("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: that with the smallest id, a null id being the largest.
+
+    Texts are told apart by a 64-bit hash, not by id: rows that share an id are judged each by its own text, and rows without
+    id like all others. Of rows equal in id and text one stays. Texts without words link with nothing and all stay.
+    """
+    key = F.xxhash64("text").alias("text_key")
+    near = near_duplicates(docs.select(key.alias("doc_id"), "text"), n).filter("n_shingles > 0")
+    near = near.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("component")).distinct()
+    rows = docs.select("doc_id", key).groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    grouped = written(rows.join(near, "text_key"), "ngram-grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = grouped.groupBy("component").agg(F.min(order).alias("first"))
+    stays = order.eqNullSafe(F.col("first"))
+    judged = grouped.join(first, "component").filter(~stays | (F.col("times") > 1)).select("doc_id", "text_key", (~stays).alias("gone"))
+    judged = written(judged, "ngram-judged").withColumnRenamed("doc_id", "judged_id").withColumnRenamed("text_key", "judged_key")
+    same = docs["doc_id"].eqNullSafe(F.col("judged_id")) & (F.xxhash64(docs["text"]) == F.col("judged_key"))
+    kept = docs.join(judged, same, "left_anti")
+    repeated = judged.filter("NOT gone")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -369,6 +369,19 @@ def test_trie_links_are_those_of_all_pairs():
             assert sorted(trie.linked(own, int(full[k]), kinds)) == want
 
 
+def test_one_row_of_each_text_stays(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one), (2, one), (2, two), (None, one), (3, three), (3, three), (4, None), (4, None), (5, ""), (None, None), (None, three + " end"), (6, "x y")]
+    table = spark.createDataFrame([(i, t, "k", k, k, 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, text_key string, times int, row int, component int")
+    kept = ngram_join.one_of_each(table)
+    assert kept.columns == table.columns
+    found = collected(kept, "doc_id", "text")
+    assert found == sorted([(1, one), (2, two), (3, three), (4, None), (4, None), (5, ""), (None, None), (6, "x y")], key=repr)
+    nameless = spark.createDataFrame([(None, one), (None, one), (None, two)], "doc_id long, text string")
+    assert collected(ngram_join.one_of_each(nameless), "text") == sorted([(one,), (two,)])
+    assert ngram_join.one_of_each(table.limit(0)).count() == 0
+
+
 # --- 8 toxicity ---
 
 
