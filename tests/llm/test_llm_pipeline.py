@@ -86,4 +86,4 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries()
+    assert {int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in queries()
