@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths as P
 from codestrata.sources.samples import sample_sql, sample_view
-from codestrata.sources.tables import read_table
 from codestrata.sources.trees import IGNORED_FOLDERS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +30,17 @@ class Registry:
 # --- Spark inputs ---------------------------------------------------------------------------------------------------
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """``name`` under ``sf_dir``. The small tables are files of a few row groups, which as many tasks would read: their rows are dealt out.
+
+    Which tasks have rows is told by the files' footers. A table of more row groups than cores is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    busy = df.select(F.spark_partition_id().alias("task")).distinct().limit(cores).count()
+    return df if busy >= cores else df.repartition(cores, *keys)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", "doc_id")
 

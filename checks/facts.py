@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    KEPT, MANIFEST_LINES, Registry, docs, in_list, joined, strip, tree, tree_sql,
+    KEPT, MANIFEST_LINES, Registry, docs, in_list, joined, strip, tree, tree_sql, view,
 )
 from checks.scan import quoted
 from codestrata.functions import extract as X
@@ -93,6 +93,13 @@ add("dependency_inventory", query(FA.dependency_inventory, "name", "repos", "run
     tree_sql("""SELECT name, count(DISTINCT repo) AS repos, count(DISTINCT repo) FILTER (NOT dev_only) AS runtime_repos,
       count(DISTINCT repo) FILTER (dev_only) AS dev_repos, count(DISTINCT version) AS versions FROM deps GROUP BY name""", KEPT, *DEPS_CTES))
 
+FORMS = "forms AS (SELECT doc_id, doc_id % {n} AS k, CAST(CAST(floor(doc_id / {n}) AS BIGINT) AS VARCHAR) AS r FROM documents)"
+add("deps_pyproject_forms",
+    lambda s, d: view(s, d, "project_forms").select("doc_id", F.inline(X.deps_pyproject(F.col("content")))).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "name", "dev_only"),
+    "WITH " + FORMS.format(n=4) + """, listed AS (SELECT doc_id, k = 2 AS dev_only,
+      CASE k WHEN 0 THEN ['uvicorn', 'click' || r, 'rich', 'x'] WHEN 1 THEN ['a', 'c' || r] WHEN 2 THEN ['pytest', 'dev-dependencies-' || r] ELSE ['Django', 'boto' || r] END AS names FROM forms)
+    SELECT doc_id, unnest(range(0, len(names))) AS pos, unnest(names) AS name, dev_only FROM listed""")
+
 # --- environment ----------------------------------------------------------------------------------------------------
 
 ENV_FILE = f"""
@@ -236,6 +243,20 @@ workflows AS (
 )"""
 
 
+def workflow_forms(s, d):
+    w = X.github_workflow(F.col("content"), F.lit(".github/workflows/flow.yml"))
+    rows = view(s, d, "workflow_forms").filter(F.col("doc_id") % 6 != 5).select("doc_id", w.alias("w")).select("doc_id", "w.*")
+    return rows.select("doc_id", "name", *[joined(c).alias(c) for c in ("triggers", "jobs", "environments")])
+
+
+add("github_workflow_forms", workflow_forms, "WITH " + FORMS.format(n=6) + """
+    SELECT doc_id, CASE k WHEN 0 THEN 'CI ' || r WHEN 1 THEN 'A: b' || r ELSE 'flow' END AS name,
+      CASE k WHEN 0 THEN 'push|pull_request' WHEN 1 THEN 'push|workflow_dispatch' WHEN 2 THEN 'push|schedule' ELSE 'push|release' END AS triggers,
+      CASE k WHEN 0 THEN 'build|ship' || r WHEN 1 THEN 'deploy' WHEN 2 THEN 'lint|build' || r || '|none' WHEN 3 THEN 'a|b c' ELSE 'only' END AS jobs,
+      CASE k WHEN 0 THEN 'prod-' || CAST(CAST(r AS BIGINT) % 3 AS VARCHAR) || '|staging' WHEN 1 THEN 'live' || r WHEN 2 THEN 'live|test' WHEN 3 THEN 'qa' || r ELSE 'e ' || r END AS environments
+    FROM forms WHERE k <> 5""")
+
+
 def workflow_rows(s, d):
     lists = ["triggers", "jobs", "environments", "secrets_used"]
     return FA.ci_workflows(tree(s, d)).select("repo", "path", "name", "platform", *[joined(c).alias(c) for c in lists])

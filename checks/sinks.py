@@ -14,6 +14,7 @@ from codestrata.plans import documents as DO
 from codestrata.plans.profile import assemble_profile, profile_tables
 from codestrata.sources import sinks as S
 from codestrata.sources.tables import shared_folder
+from codestrata.sources.trees import scan_files as scan_tree
 
 registry = Registry()
 add = registry.add
@@ -42,6 +43,23 @@ def write_profile(s, d):
     return s.read.json(f"{folder}/profile").select("repo", "total_files").join(needs, "repo", "left")
 
 
+def scan_files(s, d):
+    """The tree written to a folder, read back as files, each by its name; a line break follows every text."""
+    folder = fresh(s, "tree")
+    S.write_named(tree(s, d), folder, "repo", "path", "content")
+    found = scan_tree(s, folder)
+    return found.select("repo", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.md5("content").alias("content"), "size_bytes")
+
+
+def named_documents(s, d):
+    folder = fresh(s, "named")
+    S.write_named(DO.repo_documents(document_tables(s, d)), folder, order="part")
+    return S.read_named(s, folder).select(F.col("folder").alias("repo"), "filename", F.md5("body").alias("body"))
+
+
+add("scan_files", scan_files, feature_sql("SELECT repo, path, md5(coalesce(content, '') || chr(10)) AS content, octet_length(encode(coalesce(content, ''))) + 1 AS size_bytes FROM files"))
+add("named_documents", named_documents,
+    feature_sql("SELECT repo, replace(upper(doc_type), '-', '_') || '.md' AS filename, md5(body || chr(10)) AS body FROM bodies", *CTES, blocks_sql(list(DOCUMENTS)), BODIES))
 add("write_documents", write_documents,
     feature_sql("SELECT repo, replace(upper(doc_type), '-', '_') || '.md' AS filename, md5(body || chr(10)) AS body FROM bodies", *CTES, blocks_sql(list(DOCUMENTS)), BODIES))
 add("write_report", write_report, scans.sql["compliance_report"])

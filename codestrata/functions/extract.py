@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codestrata.functions import yaml as Y
 from codestrata.functions.naming import humanize_symbol, simplify_params, strip, strip_quotes
 from codestrata.functions.paths import file_stem, segments
 
@@ -62,11 +63,24 @@ def _dependency(name: Column, version: Column, dev: Column, source: str, pos: Co
     )
 
 
+# A list as far as its closing bracket: brackets in quotes and in comments do not close it.
+TOML_LIST = r"""=[ \t]*\[((?:[^\]"'#]|"[^"\n]*+"|'[^'\n]*+'|#[^\n]*+)*+)"""
+TOML_ITEM = r"""#[^\n]*+|"([^"\n]*+)"|'([^'\n]*+)'"""
+
+
+def toml_list(text: Column) -> Column:
+    """The quoted items of the list that the first line of ``text`` opens, on whichever lines they stand."""
+    inside = F.regexp_extract(text, TOML_LIST, 1)
+    items = F.filter(matches(inside, TOML_ITEM), lambda x: ~x.startswith("#"))
+    return F.transform(items, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+
+
 def deps_pyproject(content: Column) -> Column:
-    """Names under the dependency tables and lists of a pyproject file; a list ends at its bracket, on one line or later."""
+    """Names under the dependency tables and lists of a pyproject file; a list ends at the bracket that closes it."""
+    apart = r"""(?![ \t]*["'#])[^\n]*"""
     header = (
-        r"[ \t]*[\[\]]|[ \t]*dependencies = \[|[^\n]*\[tool\.poetry\.group\.dev"
-        r"|[^\n]*(?i:dev)[^\n]*(?i:dependencies)|[^\n]*(?i:dependencies)[^\n]*(?i:dev)"
+        rf"[ \t]*[\[\]]|[ \t]*dependencies = \[|{apart}\[tool\.poetry\.group\.dev"
+        rf"|{apart}(?i:dev)[^\n]*(?i:dependencies)|{apart}(?i:dependencies)[^\n]*(?i:dev)"
     )
 
     def names(block: Column) -> Column:
@@ -74,21 +88,19 @@ def deps_pyproject(content: Column) -> Column:
         low = F.lower(head)
         runtime = head.isin("[project.dependencies]", "[tool.poetry.dependencies]") | head.startswith("dependencies = [")
         dev = head.contains("[tool.poetry.group.dev") | (low.contains("dev") & low.contains("dependencies"))
-        closed = ~head.startswith("[") & head.contains("]")
         entries = F.filter(
             F.transform(block_lines(block), lambda x: strip(x)),
             lambda x: ~x.startswith("#") & (x.contains("=") | x.startswith('"')),
         )
+        items = F.when(head.rlike(r"^[^\[]*=[ \t]*\["), toml_list(block)).otherwise(entries)
         found = F.transform(
-            entries,
+            items,
             lambda x: F.struct(
-                F.regexp_extract(x, r"""^["']?([A-Za-z0-9][A-Za-z0-9._-]*)""", 1).alias("name"), (~runtime & dev).alias("dev")
+                F.regexp_extract(x, r"""^\s*["']?([A-Za-z0-9][A-Za-z0-9._-]*)""", 1).alias("name"), (~runtime & dev).alias("dev")
             ),
         )
         kept = F.filter(found, lambda f: ~f["name"].isin("", "python"))
-        quoted = F.regexp_extract_all(head, F.lit(r"""["']([A-Za-z0-9][A-Za-z0-9._-]*)[^"']*["']"""), F.lit(1))
-        inline = F.transform(F.filter(quoted, lambda n: n != "python"), lambda n: F.struct(n.alias("name"), (~runtime & dev).alias("dev")))
-        return F.when((runtime | dev) & ~closed, kept).when(runtime | dev, inline).otherwise(F.slice(kept, 1, 0))
+        return F.when(runtime | dev, kept).otherwise(F.slice(kept, 1, 0))
 
     flat = F.flatten(F.transform(blocks(content, header), names))
     return F.transform(
@@ -294,26 +306,44 @@ def _workflow(name: Column, platform: str, triggers: Column, jobs: Column, envir
     )
 
 
+def _job_environments(jobs: Column) -> Column:
+    """The environment of each job that has one, given as a name or as a map with a name, in block or flow form."""
+
+    def of_json(job: Column) -> Column:
+        given = Y.json_map(job)["environment"]
+        return F.when(given.startswith("{"), Y.json_map(given)["name"]).otherwise(given)
+
+    def of_block(block: Column) -> Column:
+        text = Y.value(block)
+        inner = Y.value(Y.child(Y.entries(block), "name"))
+        return F.when(text.startswith("{"), Y.flow_map(text)["name"]).when(block.contains("\n"), Y.scalar(inner)).otherwise(Y.scalar(text))
+
+    def of_job(job: Column) -> Column:
+        text = Y.value(job)
+        return F.when(text.startswith("{"), of_json(Y.flow_json(text))).otherwise(of_block(Y.child(Y.entries(job), "environment")))
+
+    text = Y.value(jobs)
+    found = F.when(text.startswith("{"), F.transform(F.map_values(Y.flow_map(text)), of_json)).otherwise(F.transform(Y.entries(jobs), of_job))
+    return F.filter(F.array_compact(found), lambda name: name != "")
+
+
 def github_workflow(content: Column, path: Column) -> Column:
-    """Name, triggers, jobs, environments and secrets of a GitHub workflow, read line by line."""
-    named = F.regexp_extract(content, r"""(?m)^name:\s*["']?([^"'\n]+)""", 1)
-    single = F.regexp_extract(content, r"(?m)^on:\s*(\w+)\s*$", 1)
-    listed = F.regexp_extract(content, r"(?m)^on:\s*\[([^\]]+)\]", 1)
-    below = F.regexp_extract(content, r"(?ms)^on:\s*\n(.*?)^jobs:", 1)
-    triggers = (
-        F.when(single != "", F.array(single))
-        .when(listed != "", F.transform(F.split(listed, ","), lambda t: strip(t)))
-        .otherwise(matches(below, r"(?m)^  ([a-z_]+):", 1))
-    )
-    job_block = F.regexp_extract(content, r"(?ms)^jobs:\s*\n(.*?)(?:^[a-z]|\z)", 1)
-    return _workflow(
-        F.when(named != "", strip(named)).otherwise(file_stem(path)),
-        "github-actions",
-        triggers,
-        matches(job_block, INDENTED_KEY, 1),
-        matches(content, r"""environment:\s*["']?([a-zA-Z][a-zA-Z0-9_-]*)""", 1),
-        matches(content, r"\$\{\{\s*secrets\.([A-Z_][A-Z0-9_]*)\s*\}\}", 1),
-    )
+    """Name, triggers, jobs, environments and secrets of a GitHub workflow of any indent, in block and flow form."""
+    bound = F.array(Y.top_entries(content))
+
+    def read(blocks: Column) -> Column:
+        named, on, jobs = (Y.child(blocks, name) for name in ("name", "on", "jobs"))
+        title = Y.scalar(Y.value(named))
+        return _workflow(
+            F.when(title != "", title).otherwise(file_stem(path)),
+            "github-actions",
+            F.coalesce(F.filter(Y.names(on), lambda name: name != ""), nothing()),
+            F.coalesce(F.filter(Y.names(jobs), lambda name: name != ""), nothing()),
+            F.coalesce(_job_environments(jobs), nothing()),
+            matches(content, r"\$\{\{\s*secrets\.([A-Z_][A-Z0-9_]*)\s*\}\}", 1),
+        )
+
+    return F.get(F.transform(bound, read), F.lit(0))
 
 
 def gitlab_workflow(content: Column) -> Column:

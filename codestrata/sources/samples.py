@@ -164,7 +164,35 @@ PLANTED = [
     + " END, CASE WHEN r % 4 = 3 THEN concat(' ', repeat('end ', 9)) ELSE '' END, nl) AS content",
 ]
 
+# Workflow files in the forms that YAML allows: wide indents, lists at the margin, flow maps, quoted keys, maps as environments.
+WORKFLOW_FORMS = [
+    "doc_id",
+    """CASE k
+    WHEN 0 THEN concat('name: CI ', CAST(r AS STRING), nl, 'on:', nl, '    push:', nl, '        branches: [main]', nl, '    pull_request:', nl, 'jobs:', nl, '    build:', nl,
+                       '        environment: staging', nl, '        steps:', nl, '            - run: |', nl, '                environment: fake', nl, '    ship', CAST(r AS STRING), ':', nl,
+                       '        environment:', nl, '            url: http://x', nl, '            name: "prod-', CAST(r % 3 AS STRING), '"', nl)
+    WHEN 1 THEN concat('# ', replace(text, nl, ' '), nl, 'name: "A: b', CAST(r AS STRING), '"  # note', nl, 'on: [push, ', q, 'workflow_dispatch', q, ']', nl, 'jobs:', nl, '  deploy:', nl,
+                       '    runs-on: x', nl, '    environment: {name: live', CAST(r AS STRING), ', url: "http://h:1/a,b"}', nl)
+    WHEN 2 THEN concat('"on":', nl, '  - push', nl, '  - "schedule"', nl, 'jobs: {lint: {runs-on: x, steps: [{run: "a, b"}], environment: test}, build', CAST(r AS STRING),
+                       ': {environment: {name: live}}, none: }', nl)
+    WHEN 3 THEN concat('on:', nl, '- push', nl, '- release # x', nl, 'env: {A: 1}', nl, 'jobs:', nl, '  a: {runs-on: x, environment: qa', CAST(r AS STRING), '}', nl, '  "b c":', nl, '   runs-on: y', nl)
+    WHEN 4 THEN concat('---', nl, 'on: {push: {branches: [a]}, release: }', nl, 'jobs:', nl, nl, '      only:  # wide', nl, '        environment: ', q, 'e ', CAST(r AS STRING), q, nl, chr(9), nl)
+    ELSE text END AS content""",
+]
+
+# Project files whose lists hold extras, markers, comments and brackets, on one line or several.
+PROJECT_FORMS = [
+    "doc_id",
+    """CASE k
+    WHEN 0 THEN concat('[project]', nl, 'dependencies = ["uvicorn[standard]>=0.2",', nl, '  "click', CAST(r AS STRING), '>=8", # not ] "this"', nl, '  ', q, 'rich', q, ', "x; python_version < ', q, '3', q, '"]', nl, 'name = "z"', nl)
+    WHEN 1 THEN concat('dependencies = ["a[b]", "c', CAST(r AS STRING), '"]', nl, 'other = ["d"]', nl, text, nl)
+    WHEN 2 THEN concat('[project.optional-dependencies]', nl, 'dev-dependencies = [', nl, '  "pytest[cov]",  # "gone"', nl, '  # "commented"', nl, '  "dev-dependencies-', CAST(r AS STRING), '",', nl, ']', nl, '"after"', nl)
+    ELSE concat('[tool.poetry.dependencies]', nl, 'python = "^3"', nl, 'Django = "4"', nl, 'boto', CAST(r AS STRING), ' = {version = "1", extras = ["s3"]}', nl, '[x]', nl, 'y = 1', nl) END AS content""",
+]
+
 VIEWS = {
+    "workflow_forms": (6, WORKFLOW_FORMS),
+    "project_forms": (4, PROJECT_FORMS),
     "files": (24, FILES),
     "host_files": (24, HOST_FILES),
     "drafts": (8, DRAFTS),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.sources.folders import NamedSource
+from codestrata.sources.trees import scan_files
+
 
 def write_profile(tables: dict[str, DataFrame], profile: DataFrame, path: str, lists: list[str]) -> None:
     """The profile rows as JSON, and each of the named lists as its own JSON dataset."""
@@ -29,8 +32,28 @@ def write_documents(documents: DataFrame, path: str, as_text: bool = False) -> N
 
 
 def read_documents(spark, path: str) -> DataFrame:
-    """(repo, filename, body) of what ``write_documents`` wrote as text."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "body").select("repo", "filename", "body")
+    """(repo, filename, body) of what ``write_documents`` wrote as text; names are texts, so ``007`` is not ``7``."""
+    rows = spark.read.schema("value string, repo string, filename string").text(path, wholetext=True)
+    return rows.select("repo", "filename", F.col("value").alias("body"))
+
+
+def write_named(rows: DataFrame, path: str, folder: str = "repo", filename: str = "filename", body: str = "body", order: str | None = None) -> None:
+    """One text file for each (folder, filename), with that name, below ``path``, a folder that every task can open.
+
+    A file's rows (``order`` says which comes first) end in a line break each. The files appear when all are written.
+    """
+    rows.sparkSession.dataSource.register(NamedSource)
+    keys = [F.col(folder).cast("string").alias("folder"), F.col(filename).cast("string").alias("filename")]
+    place = F.lit(0) if order is None else F.col(order)
+    placed = rows.select(*keys, F.col(body).alias("body"), place.alias("place")).repartition("folder", "filename")
+    named = placed.sortWithinPartitions("folder", "filename", "place").select("folder", "filename", "body")
+    named.write.format("named_files").mode("append").option("path", path).save()
+
+
+def read_named(spark, path: str) -> DataFrame:
+    """(folder, filename, body) of the files that ``write_named`` wrote."""
+    name = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return scan_files(spark, path).select(name(F.col("repo")).alias("folder"), name(F.col("path")).alias("filename"), F.col("content").alias("body"))
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Reading input tables and the session settings the library relies on."""
+"""Tables written on the way, in the folder that the session names."""
 
 from __future__ import annotations
 
@@ -9,24 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition ``df`` on unique keys when its scan is a single task.
-
-    A table of one small file is read by one task, which would leave the
-    regular expressions that follow on a single core. A table of two splits or
-    more is returned untouched, so that no more than one split's text moves.
-    """
-    if df.rdd.getNumPartitions() > 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """``name`` under ``sf_dir``; with ``keys`` (unique together), spread over the cores when the scan is one task."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, list(keys)) if keys else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only a local session that names none gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

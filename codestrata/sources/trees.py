@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import file_name, file_suffix, under
+from codestrata.sources.folders import TreeSource, local
 
 # Folder names that hold no source of the repository.
 IGNORED_FOLDERS = [
@@ -27,18 +30,24 @@ def scan_files(spark: SparkSession, root: str, name_glob: str | None = None) ->
 
     Bytes that are not UTF-8 become replacement characters, so that the rest
     of such a file is still read. ``name_glob`` is applied by the file listing,
-    before anything is read. A folder below that has the name of ``root`` is a
-    folder like any other: the path is cut where ``root`` itself ends.
+    before anything is read. A local ``root`` is resolved first and read by a data
+    source of its own; another store is read by Spark, which gives paths below the
+    folder that was asked for.
     """
+    if "://" not in root or root.startswith("file:"):
+        spark.dataSource.register(TreeSource)
+        reader = spark.read.format("repository_tree").option("path", local(root))
+        return (reader.option("glob", name_glob) if name_glob else reader).load()
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    base = "/" + root.split("://")[-1].strip("/") + "/"
-    start = F.locate(base, F.col("path")) + len(base)
-    below = F.substring(F.col("path"), start, F.length("path"))
+    # Both without store and host: the listing may name a host that the caller left out.
+    base = re.sub(r"^[^:/]+://[^/]*", "", root).rstrip("/") + "/"
+    place = F.regexp_replace("path", r"^[^:/]+:(?://[^/]*)?", "")
+    below = F.substring(place, len(base) + 1, 1_000_000)
     return reader.load(root).select(
         F.substring_index(below, "/", 1).alias("repo"),
-        F.regexp_extract(below, r"^[^/]+/(.*)$", 1).alias("path"),
+        F.regexp_extract(below, r"(?s)^[^/]+/(.*)$", 1).alias("path"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size_bytes"),
     ).filter(F.col("path") != "")

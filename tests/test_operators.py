@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from pathlib import PurePosixPath
@@ -10,13 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.scan import EXTRA
-from codestrata.functions import cleanup, markdown, naming, paths
+from codestrata.functions import cleanup, markdown, naming, paths, yaml
 from codestrata.functions.catalog import CATALOG, LEVELS, active_patterns
 from codestrata.operators import ordering, priority
 from codestrata.operators.scan import ai_safe_rows, findings, redact_corpus, scan_content, scan_lines
 from codestrata.plans import context
 from codestrata.plans.profile import assemble_profile, profile_tables
-from codestrata.sources import sinks, trees
+from codestrata.sources import folders, sinks, trees
 from codestrata.sources.lines import explode_lines
 from codestrata.sources.samples import PATTERN_LINES, sample_view
 
@@ -219,6 +220,68 @@ def test_scan_files_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "report")).count() == 2
 
 
+def test_trees_of_odd_names(spark, tmp_path, monkeypatch):
+    """A relative root below a folder of its name, names with blanks, signs and bytes that are no text, links, files beside repositories."""
+    root = tmp_path / "data" / "work" / "data"
+    names = ["repoA/src/main.py", "repoA/data/repoA/x.py", "a b/50% é.txt", "a b/%41", "c#?/+.md", "r/line\nbreak"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    with open(os.fsencode(root) + b"/r/bad\xff.py", "wb") as file:
+        file.write(b"bytes")
+    (root / "beside.txt").write_text("no repository")
+    (root / "r" / "link").symlink_to(root / "repoA" / "src" / "main.py")
+    (root / "r" / "folder").symlink_to(root / "repoA")
+    expected = {(*name.split("/", 1), name) for name in names} | {("r", "bad\\xff.py", "bytes"), ("r", "link", "repoA/src/main.py")}
+    monkeypatch.chdir(tmp_path / "data" / "work")
+    for given in ("data", "./data/", str(root), f"file://{root}", f"file:{root}"):
+        assert {(r.repo, r.path, r.content) for r in trees.scan_files(spark, given).collect()} == expected, given
+    assert {r.path for r in trees.scan_files(spark, "data", "*.py").collect()} == {"src/main.py", "data/repoA/x.py", "bad\\xff.py"}
+    assert trees.scan_files(spark, str(tmp_path / "data")).filter("repo <> 'work'").count() == 0
+    (tmp_path / "none").mkdir()
+    assert trees.scan_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_are_dealt_by_size(tmp_path, monkeypatch):
+    for i in range(20):
+        (tmp_path / "r").mkdir(exist_ok=True)
+        (tmp_path / "r" / f"f{i}").write_bytes(b"x" * (10 * i))
+    monkeypatch.setattr(folders, "PART_BYTES", 300)
+    parts = folders.TreeReader({"path": str(tmp_path)}).partitions()
+    assert sorted(n for p in parts for n, _ in p.names) == sorted(f"r/f{i}" for i in range(20))
+    assert len(parts) > 5 and all(sum(s for _, s in p.names) <= 300 for p in parts)
+
+
+def test_named_files(spark, tmp_path):
+    names = ["007", "7", "a/b", "..", ".", "100%", "%2F", "x+y z", "é"]
+    rows = [(n, f"{n}.md", p, f"{n} part {p}") for n in names for p in (2, 1)] + [("7", "empty", 1, None)]
+    table = spark.createDataFrame(rows, "repo string, filename string, part int, body string").repartition(5)
+    sinks.write_named(table, str(tmp_path / "out"), order="part")
+    found = {(r.folder, r.filename): r.body for r in sinks.read_named(spark, str(tmp_path / "out")).collect()}
+    assert found == {(n, f"{n}.md"): f"{n} part 1\n{n} part 2\n" for n in names} | {("7", "empty"): "\n"}
+    assert (tmp_path / "out" / "007" / "007.md").is_file() and not [*(tmp_path / "out").glob(".writing*")]
+    sinks.write_named(table.limit(0), str(tmp_path / "none"))
+    with pytest.raises(Exception, match="needs a name"):
+        sinks.write_named(spark.createDataFrame([("", "x", "y")], "repo string, filename string, body string"), str(tmp_path / "bad"))
+    assert [*(tmp_path / "bad").glob("*/*")] == []
+    sinks.write_documents(table.filter("repo in ('7', '007')"), str(tmp_path / "text"), as_text=True)
+    assert {r.repo for r in sinks.read_documents(spark, str(tmp_path / "text")).collect()} == {"7", "007"}
+
+
+def test_flow_values_and_blocks_of_settings(spark):
+    """Against values written down by hand: brackets and signs in quotes, comments, nested maps, lists in every form."""
+    texts = {
+        '{a: 1, "b, c": {d: [x, "y]"]}, e: }': {"a": "1", "b, c": '{"d":["x","y]"]}', "e": None},
+        "{ 'it''s': http://h:1/x,\n  # note\n  k: v # end\n}": {"it's": "http://h:1/x", "k": "v"},
+        "{}": {}, "{a: [1, 2,],}": {"a": '["1","2"]'},
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [dict(r[0]) for r in df.select(yaml.flow_map(F.col("t"))).collect()] == [*texts.values()]
+    blocks = [("k: one # note", ["one"]), ("k: [a, 'b c']", ["a", "b c"]), ("k:\n- a\n- \"b\"", ["a", "b"]), ("k:\n   - a\n   - b: 1", ["a", "b: 1"]), ("k: {a: 1, b: {c: d}}", ["a", "b"]), ("k:\n   a:\n     c: 1\n   'b':", ["a", "b"])]
+    df = spark.createDataFrame([(t,) for t, _ in blocks], "t string")
+    assert [r[0] for r in df.select(yaml.names(F.col("t"))).collect()] == [names for _, names in blocks]
+
+
 def test_symbol_names(spark):
     cases = [
         ("get_user_name", "function", "", "Get user name"), ("xylophone", "function", "", "Xylophone"), ("isReady", "function", "", "Check if ready"),
