@@ -213,7 +213,7 @@ CTES = [*ALL, RP, START_CMD]
 
 
 def tables(s, d):
-    return DO.with_repos(profile_tables(tree(s, d)).kept())
+    return profile_tables(tree(s, d)).kept()
 
 
 for doc_type in DO.SECTION_BUILDERS:
@@ -221,7 +221,7 @@ for doc_type in DO.SECTION_BUILDERS:
         lambda s, d, doc_type=doc_type: big()(DO.document_blocks(tables(s, d), [doc_type])),
         feature_sql("SELECT repo, doc_type, section, k1, k2, text FROM blocks", *CTES, blocks_sql([doc_type])))
 
-add("start_command", lambda s, d: DO.start_command(tables(s, d)), feature_sql("SELECT repo, command, known FROM start_cmd", *CTES))
+add("start_command", lambda s, d: DO.start_command(DO.with_repos(tables(s, d))), feature_sql("SELECT repo, command, known FROM start_cmd", *CTES))
 
 BODIES = "bodies AS (SELECT repo, doc_type, 1::BIGINT AS part, string_agg(text, chr(10) ORDER BY section, k1, k2) AS body FROM blocks SEMI JOIN needs USING (repo, doc_type) GROUP BY repo, doc_type)"
 add("repo_documents", lambda s, d: DO.repo_documents(tables(s, d)).withColumn("body", F.md5("body")),

@@ -21,7 +21,7 @@ from codestrata.operators import facts
 from codestrata.operators.ordering import assemble, head_per_group
 from codestrata.operators.summaries import by_count, counted_map, format_counts
 from codestrata.plans.context import text, union_all
-from codestrata.plans.profile import ProfileTables
+from codestrata.plans.profile import BUILDERS, ProfileTables
 from codestrata.sources.tables import settle
 
 ORDER = ["section", "k1", "k2"]
@@ -92,6 +92,9 @@ def title_case(name: Column) -> Column:
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
+LISTED = ["codeowners", "issue_templates", "custom_actions", "ci_workflows", "api_endpoints", "config_files"]
+
+
 def _presence(t: Tables) -> DataFrame:
     """Per repository the lists it has, its first start script and its first entry point, from one grouping over all lists.
 
@@ -110,7 +113,7 @@ def _presence(t: Tables) -> DataFrame:
         flagged("entry_points", "entries", entry=F.struct("source_ord", "target", "pos", "command")),
         flagged("scripts", "scripts", kinds, start=F.when(begins, F.struct("source_ord", "pos", "command"))),
         flagged("env_variables", "envs", {"required": c("required")}),
-        *[flagged(name, name) for name in ("codeowners", "issue_templates", "custom_actions", "ci_workflows", "api_endpoints", "config_files")],
+        *[flagged(name, name) for name in LISTED],
     ]
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return every.groupBy("repo").agg(
@@ -120,6 +123,7 @@ def _presence(t: Tables) -> DataFrame:
 
 def with_repos(tables: Tables) -> Tables:
     """Adds one row per repository with its totals, main language and tools, and which lists it has."""
+    tables.together("features", "markers", "dependencies", "entry_points", "scripts", "env_variables", *LISTED)
     base = tables["features"].groupBy("repo").agg(
         F.count("*").alias("files"),
         counted_map("language", LANGUAGE_NAMES).alias("languages"),
@@ -232,6 +236,10 @@ SOURCES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+# Tables that sources with a name of their own are made of, where there is more than one step to them.
+TABLES_OF = {"symbol_groups": ["symbols", "directories", "top_symbols", "features"]}
+
+
 # --- rules ------------------------------------------------------------------------------------------------------------
 
 
@@ -454,9 +462,15 @@ SECTION_BUILDERS: dict[str, Callable[[Tables], list[Rule]]] = {
 
 def document_blocks(tables: Tables, doc_types: list[str] | None = None) -> DataFrame:
     """Blocks of the chosen document types for every repository, title first: one pass over each source."""
-    t = tables if "repos" in tables else with_repos(tables.kept())
+    chosen = doc_types or list(SECTION_BUILDERS)
+    if "repos" in tables:
+        t = tables
+    else:
+        kept = tables.kept()
+        used = {name for doc_type in chosen for rule in SECTION_BUILDERS[doc_type](kept) for name in TABLES_OF.get(rule.source, [rule.source])}
+        t = with_repos(kept.together(*(used & set(BUILDERS))))
     blocks: dict[str, list[Column]] = {}
-    for doc_type in doc_types or list(SECTION_BUILDERS):
+    for doc_type in chosen:
         title = Rule("repos", 10, text("# ", document_title(c("repo"), F.lit(doc_type)), "\n"))
         for rule in [title, *SECTION_BUILDERS[doc_type](t)]:
             blocks.setdefault(rule.source, []).append(rule.block(doc_type))
@@ -473,8 +487,9 @@ def document_blocks(tables: Tables, doc_types: list[str] | None = None) -> DataF
 def repo_documents(tables: Tables, needs: DataFrame | None = None, doc_types: list[str] | None = None) -> DataFrame:
     """One row per needed document of each repository; a very long document continues in further parts."""
     tables = tables.kept() if "repos" not in tables else tables
-    wanted = settle((tables["doc_needs"] if needs is None else needs).select("repo", "doc_type"))
-    blocks = document_blocks(tables, doc_types).join(wanted, ["repo", "doc_type"], "left_semi")
+    blocks = document_blocks(tables, doc_types)
+    wanted = tables["doc_needs"] if needs is None else settle(needs)
+    blocks = blocks.join(wanted.select("repo", "doc_type"), ["repo", "doc_type"], "left_semi")
     bodies = assemble(blocks, ["repo", "doc_type"], ORDER, "text")
     return bodies.select(
         "repo", "doc_type", "part", document_filename(c("doc_type")).alias("filename"), document_title(c("repo"), c("doc_type")).alias("title"),

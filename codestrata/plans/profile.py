@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,21 @@ class ProfileTables(dict):
         self._builders, self._keep = builders, keep
 
     def __missing__(self, name: str) -> DataFrame:
-        table = self._builders[name](self)
-        self[name] = settle(table) if self._keep and name not in WITH_TEXT else table
+        self[name] = self._made(name)
         return self[name]
 
+    def _made(self, name: str) -> DataFrame:
+        table = self._builders[name](self)
+        return settle(table) if self._keep and name not in WITH_TEXT else table
+
+    def together(self, *names: str) -> ProfileTables:
+        """Plans the named tables now; with ``keep``, their jobs run at the same time, as they are small and wait for each other otherwise."""
+        for step in (set(names) - set(FROM_TABLES), set(names) & set(FROM_TABLES)):
+            missing = sorted(name for name in step if name not in self)
+            with ThreadPoolExecutor(max(1, len(missing))) as pool:
+                self.update(zip(missing, pool.map(self._made, missing), strict=True))
+        return self
+
     def extended(self, **more: DataFrame) -> ProfileTables:
         """The same tables and some more."""
         return ProfileTables(self._builders, {**self, **more}, self._keep)
@@ -49,6 +61,7 @@ class ProfileTables(dict):
 
 
 WITH_TEXT = ["important_files"]  # read once, and too large to be written again
+FROM_TABLES = ["doc_needs", "top_symbols", "directories", "important_files"]  # made of other tables than the facts of files
 
 
 BUILDERS: dict[str, Callable[[ProfileTables], DataFrame]] = {
