@@ -453,12 +453,14 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     rows = docs.select("doc_id", key).groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
     grouped = written(rows.join(near, "text_key"), "ngram-grouped")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    first = grouped.groupBy("component").agg(F.min(order).alias("first"))
+    # Written by itself, so that a large component is reduced by every task and its rows then join as a splittable side.
+    first = written(grouped.groupBy("component").agg(F.min(order).alias("first")), "ngram-firsts")
     stays = order.eqNullSafe(F.col("first"))
     judged = grouped.join(first, "component").filter(~stays | (F.col("times") > 1)).select("doc_id", "text_key", (~stays).alias("gone"))
     judged = written(judged, "ngram-judged").withColumnRenamed("doc_id", "judged_id").withColumnRenamed("text_key", "judged_key")
     same = docs["doc_id"].eqNullSafe(F.col("judged_id")) & (F.xxhash64(docs["text"]) == F.col("judged_key"))
-    kept = docs.join(judged, same, "left_anti")
+    # The list of rows to go grows with the table: the texts meet it by a shuffle at every size.
+    kept = docs.join(judged.hint("merge"), same, "left_anti")
     repeated = judged.filter("NOT gone")
     if repeated.isEmpty():
         return kept
