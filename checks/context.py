@@ -119,7 +119,7 @@ ctx AS (
   UNION ALL SELECT repo, 85, '', row_number() OVER (PARTITION BY repo ORDER BY i) - 1, 'Funding: ' || platform FROM fund WHERE platform <> 'custom'
   UNION ALL SELECT repo, 90, dir_key, 0, text FROM b_dirs
   UNION ALL SELECT repo, 95, lpad(CAST(1000000000000000 - n AS VARCHAR), 16, '0') || ' ' || text, 0, text FROM b_ext
-  UNION ALL SELECT repo, 99, '', rank, '## ' || path || chr(10) || '```' || chr(10) || substring(content, 1, 15000) || chr(10) || '```' FROM important WHERE rank <= 25
+  UNION ALL SELECT repo, 99, '', rank, '## ' || path || chr(10) || '```' || chr(10) || content || chr(10) || '```' FROM important
 )"""
 CONTEXT_CTES = [*ALL, priority_sql(30), budget_sql(500000), HEAD, CONTEXT]
 add("repo_context_blocks", lambda s, d: big()(G.repo_context_blocks(tables(s, d))),
@@ -177,6 +177,22 @@ def merged(s, d):
 add("merge_responses", lambda s, d: big()(merged(s, d)), feature_sql("SELECT * FROM merged", *ALL, PLAN, RESPONSES, MERGED))
 
 
+def whole_answers(s, d):
+    """One answer for each document: its parts in order, of which there are four at most."""
+    parts = F.array_sort(F.collect_list(F.struct("section_ord", "body")))
+    return view(s, d, "responses").groupBy("repo", "doc_type").agg(F.array_join(F.transform(parts, lambda p: p["body"]), "\n").alias("body"))
+
+
+def refined(s, d):
+    drafts = doc_needs(repo_facts(tree(s, d))).select("repo", "doc_type", F.concat(F.lit("Draft of "), "doc_type", F.lit(" for "), "repo").alias("body"))
+    return G.refine_documents(drafts, whole_answers(s, d)).withColumn("body", F.md5("body"))
+
+
+WHOLE_ANSWERS = "whole_answers AS (SELECT repo, doc_type, string_agg(body, chr(10) ORDER BY section_ord) AS body FROM responses GROUP BY repo, doc_type)"
+add("refine_documents", refined, feature_sql("""SELECT repo, doc_type, md5(coalesce(nullif(a.body, ''), 'Draft of ' || doc_type || ' for ' || repo)) AS body, coalesce(a.body, '') <> '' AS generated
+  FROM needs LEFT JOIN whole_answers a USING (repo, doc_type)""", *ALL, RESPONSES, WHOLE_ANSWERS))
+
+
 def clean_chain(source: str) -> tuple[list[str], str]:
     """The clean-up rules over a table ``drafts`` made from (doc_id, body)."""
     chain, previous = [f"drafts AS (SELECT repo || ' ' || doc_type AS doc_id, body FROM {source})"], "drafts"

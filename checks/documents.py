@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Registry, feature_sql, hit_case, in_list, sample_sql, tree, view
-from checks.context import ALL
+from checks.base import Registry, feature_sql, hit_case, in_list, tree
+from checks.context import ALL, RESPONSES, WHOLE_ANSWERS, whole_answers
 from checks.facts import START, big
 from checks.scan import quoted
 from checks.summaries import counted_sql
@@ -230,18 +230,20 @@ add("repo_documents", lambda s, d: DO.repo_documents(tables(s, d)).withColumn("b
 
 
 def semantic_overview(s, d):
-    """The overview with purpose, concepts and architecture from answers about the repository."""
-    answers = view(s, d, "responses").filter((F.col("doc_type") == "repository-overview") & (F.col("section_ord") == 2))
-    fields = M.parse_labelled_fields(answers, ["repo"], "body")
-    return big()(DO.document_blocks(tables(s, d).extended(semantics=fields), ["repository-overview"]).filter(F.col("section").isin(20, 70, 71, 80)))
-
-
-add("sections_overview_with_semantics", semantic_overview, f"""
-WITH responses AS ({sample_sql('responses')}), ans AS (SELECT repo, body FROM responses WHERE doc_type = 'repository-overview' AND section_ord = 2),
-al AS (SELECT repo, trim(unnest(string_split(body, chr(10)))) AS st, generate_subscripts(string_split(body, chr(10)), 1) AS ln FROM ans),
-f AS (SELECT repo, max_by(trim(replace(st, 'PURPOSE:', '')), ln) FILTER (starts_with(st, 'PURPOSE:')) AS purpose, max_by(trim(replace(st, 'ARCHITECTURE:', '')), ln) FILTER (starts_with(st, 'ARCHITECTURE:')) AS architecture,
-    list_filter(list_transform(string_split(max_by(trim(replace(st, 'CONCEPTS:', '')), ln) FILTER (starts_with(st, 'CONCEPTS:')), ','), lambda x: trim(x)), lambda x: x <> '') AS concepts FROM al GROUP BY repo)
-SELECT repo, 'repository-overview' AS doc_type, 20 AS section, '' AS k1, 0::BIGINT AS k2, concat('## What This Repository Does', chr(10), chr(10), purpose, chr(10)) AS text FROM f WHERE purpose <> ''
+    """The overview with purpose, concepts and architecture from all answers about the repository."""
+    fields = M.parse_labelled_fields(whole_answers(s, d).filter(F.col("doc_type") == "repository-overview"), ["repo"], "body")
+    return big()(DO.document_blocks(tables(s, d).extended(semantics=fields), ["repository-overview"]))
+
+
+SEMANTICS = [
+    RESPONSES, WHOLE_ANSWERS,
+    "al AS (SELECT repo, trim(unnest(string_split(body, chr(10)))) AS st, generate_subscripts(string_split(body, chr(10)), 1) AS ln FROM whole_answers WHERE doc_type = 'repository-overview')",
+    """f AS (SELECT repo, max_by(trim(replace(st, 'PURPOSE:', '')), ln) FILTER (starts_with(st, 'PURPOSE:')) AS purpose, max_by(trim(replace(st, 'ARCHITECTURE:', '')), ln) FILTER (starts_with(st, 'ARCHITECTURE:')) AS architecture,
+    list_filter(list_transform(string_split(max_by(trim(replace(st, 'CONCEPTS:', '')), ln) FILTER (starts_with(st, 'CONCEPTS:')), ','), lambda x: trim(x)), lambda x: x <> '') AS concepts FROM al GROUP BY repo)""",
+]
+add("sections_overview_with_semantics", semantic_overview, feature_sql(f"""SELECT repo, doc_type, section, k1, k2, text FROM blocks
+UNION ALL SELECT repo, 'repository-overview', 20, '', 0, concat('## What This Repository Does', chr(10), chr(10), purpose, chr(10)) FROM f WHERE purpose <> ''
 UNION ALL SELECT repo, 'repository-overview', 70, '', 0, {lit(chr(10) + '## Key Concepts' + chr(10))} FROM f WHERE len(concepts) > 0
 UNION ALL SELECT repo, 'repository-overview', 71, '', generate_subscripts(concepts, 1) - 1, '- **' || unnest(concepts) || '**' FROM f
-UNION ALL SELECT repo, 'repository-overview', 80, '', 0, concat(chr(10), '## Architecture Overview', chr(10), chr(10), architecture) FROM f WHERE architecture <> ''""")
+UNION ALL SELECT repo, 'repository-overview', 80, '', 0, concat(chr(10), '## Architecture Overview', chr(10), chr(10), architecture) FROM f WHERE architecture <> ''""",
+    *CTES, blocks_sql(["repository-overview"]), *SEMANTICS))

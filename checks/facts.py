@@ -366,8 +366,8 @@ py_raw AS (SELECT repo, path, 1 AS ord, i, 'class' AS kind, {group_sql(X.PYTHON_
   UNION ALL SELECT repo, path, 2, i, 'function', {group_sql(X.PYTHON_FUNCTION, 1)}, '', {group_sql(X.PYTHON_FUNCTION, 2)},
     {strip("split_part(" + strip(group_sql(X.PYTHON_FUNCTION, 3, 4)) + ", chr(10), 1)")} FROM py_f),
 {humanize_sql('py_raw', 'py_inferred')},
-py_sym AS (SELECT repo, path, ord, i, name, kind AS symbol_type, substring(CASE WHEN doc <> '' THEN doc ELSE inferred END, 1, 200) AS docstring,
-    CASE kind WHEN 'class' THEN substring(bases, 1, 100) ELSE '(' || array_to_string(list_filter(
+py_sym AS (SELECT repo, path, ord, i, name, kind AS symbol_type, CASE WHEN doc <> '' THEN doc ELSE inferred END AS docstring,
+    CASE kind WHEN 'class' THEN bases ELSE '(' || array_to_string(list_filter(
       list_transform(string_split(params, ','), lambda p: {strip("split_part(split_part(p, ':', 1), '=', 1)")}), lambda n: n NOT IN ('', 'self', 'cls')), ', ') || ')' END AS signature
   FROM py_inferred)"""
 
@@ -384,8 +384,8 @@ def js_found(name: str, definition: str) -> str:
 
 def js_doc_sql(definition: str) -> str:
     text = group_sql(X._JS_DOC + definition, 1)
-    return (f"substring(coalesce(list_filter(list_transform(string_split({strip(text)}, chr(10)), lambda x: {strip('ltrim(' + strip('x') + ', ' + quoted('*') + ')')}), "
-            f"lambda y: y <> '' AND NOT starts_with(y, '@'))[1], ''), 1, 200)")
+    return (f"coalesce(list_filter(list_transform(string_split({strip(text)}, chr(10)), lambda x: {strip('ltrim(' + strip('x') + ', ' + quoted('*') + ')')}), "
+            f"lambda y: y <> '' AND NOT starts_with(y, '@'))[1], '')")
 
 
 JS_C, JS_F, JS_I = (X._JS_DOC + d for d in (X.JS_CLASS, X.JS_FUNCTION, X.JS_INTERFACE))

@@ -446,9 +446,6 @@ JS_IMPORT = r"""import\s+.*?from\s+['"]([^"']+)['"]"""
 # A doc comment with nothing but space and export words between it and the definition that follows.
 _JS_DOC = rf"(?:/\*\*([^{COMMENT_END}]*){COMMENT_END}\s*(?:(?:export\s+default|export|async)\s+)?)?"
 
-MAX_DOC_CHARS = 200
-MAX_SIGNATURE_CHARS = 100
-
 
 def _symbol(name: Column, kind: str, doc: Column, bases: Column, signature: Column) -> Column:
     return F.struct(
@@ -459,7 +456,7 @@ def _symbol(name: Column, kind: str, doc: Column, bases: Column, signature: Colu
 def symbol_docstring(symbol: Column) -> Column:
     """First line of the written description, else what the name tells."""
     inferred = humanize_symbol(symbol["name"], symbol["symbol_type"], symbol["bases"])
-    return F.substring(F.when(symbol["doc"] != "", symbol["doc"]).otherwise(inferred), 1, MAX_DOC_CHARS)
+    return F.when(symbol["doc"] != "", symbol["doc"]).otherwise(inferred)
 
 
 def _python_doc(match: Column, regex: str) -> Column:
@@ -470,7 +467,7 @@ def _python_doc(match: Column, regex: str) -> Column:
 def python_classes(content: Column) -> Column:
     def one(m: Column) -> Column:
         name, bases = F.regexp_extract(m, PYTHON_CLASS, 1), F.regexp_extract(m, PYTHON_CLASS, 2)
-        return _symbol(name, "class", _python_doc(m, PYTHON_CLASS), bases, F.substring(bases, 1, MAX_SIGNATURE_CHARS))
+        return _symbol(name, "class", _python_doc(m, PYTHON_CLASS), bases, bases)
 
     return F.transform(matches(content, PYTHON_CLASS), one)
 
@@ -507,7 +504,7 @@ def js_doc(comment: Column) -> Column:
         lines_of(strip(comment)), lambda x: strip(F.ltrim(strip(x), F.lit("*")))
     )
     said = F.filter(lines, lambda x: (x != "") & ~x.startswith("@"))
-    return F.substring(F.coalesce(F.get(said, F.lit(0)), F.lit("")), 1, MAX_DOC_CHARS)
+    return F.coalesce(F.get(said, F.lit(0)), F.lit(""))
 
 
 def _js_definitions(content: Column, definition: str) -> tuple[Column, str]:

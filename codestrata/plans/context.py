@@ -19,8 +19,6 @@ from codestrata.operators.summaries import counted_map, files_by_extension, form
 from codestrata.plans.profile import ProfileTables
 
 CHUNK_TOKENS = 50_000
-MAX_INPUT_FILES = 25
-MAX_INPUT_CHARS = 15_000
 ORDER = ["section", "k1", "k2"]
 
 # The sections of each document type, in order.
@@ -144,9 +142,28 @@ def workflow_text() -> Column:
     )
 
 
-def repo_context_blocks(profile: dict[str, DataFrame]) -> DataFrame:
-    """Blocks of the evidence text of every repository, from the tables of ``plans.profile.profile_tables``."""
-    c, profile = F.col, profile.kept() if isinstance(profile, ProfileTables) else profile
+USED = [
+    "features", "markers", "dependencies", "env_variables", "api_endpoints", "scripts", "codeowners", "hosting_flags", "entry_points",
+    "ci_workflows", "dependabot", "issue_templates", "custom_actions", "funding", "symbols", "directories", "top_symbols",
+]
+
+
+def file_text(max_chars: int | None) -> Column:
+    """A file with its path: the whole text, or with ``max_chars`` its beginning and how many characters follow."""
+    if max_chars is None:
+        return text("## ", F.col("path"), "\n```\n", F.col("content"), "\n```")
+    rest = F.length("content") - max_chars
+    more = F.when(rest > 0, text("\n... and ", rest, " more characters")).otherwise("")
+    return text("## ", F.col("path"), "\n```\n", F.substring("content", 1, max_chars), more, "\n```")
+
+
+def repo_context_blocks(profile: dict[str, DataFrame], max_files: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Blocks of the evidence text of every repository, from the tables of ``plans.profile.profile_tables``.
+
+    All important files come whole, unless ``max_files`` or ``max_chars`` (of each) says otherwise.
+    """
+    c, profile = F.col, profile.kept().together(*USED) if isinstance(profile, ProfileTables) else profile
+    important = profile["important_files"] if max_files is None else profile["important_files"].filter(F.col("rank") <= max_files)
     head = head_block(profile["features"], profile["markers"])
     deps = counted_list(
         profile["dependencies"], ["source_ord", "pos"],
@@ -191,14 +208,13 @@ def repo_context_blocks(profile: dict[str, DataFrame]) -> DataFrame:
         block(directory_blocks(profile["directories"], profile["top_symbols"]), 90, c("text"), c("dir_key")),
         block(extensions, 95, text(c("suffix"), " files (", c("files"), "): ", c("sample")),
               F.lpad((F.lit(10**15) - c("files")).cast("string"), 16, "0"), None).withColumn("k1", F.concat("k1", F.lit(" "), "text")),
-        block(profile["important_files"].filter(c("rank") <= MAX_INPUT_FILES), 99,
-              text("## ", c("path"), "\n```\n", F.substring("content", 1, MAX_INPUT_CHARS), "\n```"), None, c("rank")),
+        block(important, 99, file_text(max_chars), None, c("rank")),
     ])
 
 
-def repo_context(profile: dict[str, DataFrame]) -> DataFrame:
+def repo_context(profile: dict[str, DataFrame], max_files: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Evidence text per repository, blocks separated by an empty line."""
-    return assemble(repo_context_blocks(profile), ["repo"], ORDER, "text", "\n\n")
+    return assemble(repo_context_blocks(profile, max_files, max_chars), ["repo"], ORDER, "text", "\n\n")
 
 
 def condensed_context(profile: dict[str, DataFrame]) -> DataFrame:
