@@ -18,7 +18,7 @@ from llm.common import read, remainder, written
 from llm.queries import oracle_sql, queries
 
 TABLES = ["documents", "embeddings", "labels", "benchmark"]
-SMALL = ["op3_mixing", "op5_line_templates", "op7_ngram_join", "op9_decontamination"]
+SMALL = ["op3_mixing", "op5_line_templates", "op7_ngram_join", "op9_decontamination", "op11_warc", "op12_lexical_search"]
 
 
 def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2):
