@@ -64,7 +64,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DC.digest(DC.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return DC.digest(DC.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slop=20))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

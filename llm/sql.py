@@ -25,10 +25,22 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ra
 its AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+),
+places AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+counts AS (SELECT term, count(*) AS n FROM places GROUP BY term),
+ranked AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id, w ORDER BY n, term) AS k, w
+  FROM (SELECT DISTINCT item_id, w, unnest(w) AS term FROM items) JOIN counts USING (term)
+),
+two AS (SELECT item_id, min(term) FILTER (WHERE k = 1) AS t1, min(term) FILTER (WHERE k = 2) AS t2 FROM ranked WHERE k <= 2 GROUP BY item_id, w HAVING count(*) = 2),
+near AS (
+  SELECT a.doc_id, count(DISTINCT item_id) AS n_near
+  FROM two JOIN places a ON a.term = t1 JOIN places b ON b.term = t2 AND b.doc_id = a.doc_id AND abs(a.p - b.p) <= 20 GROUP BY a.doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
 OP9 = leaks("documents")

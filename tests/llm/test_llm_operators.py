@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import random
@@ -528,6 +529,33 @@ def test_proximity_matches(spark):
     assert collected(decontaminate.proximity_matches(table, bench, slop=10), "doc_id", "item_id") == [(1, 1)]
 
 
+def brute_near(texts, items, slop):
+    counts = collections.Counter(w for _, words in texts for w in words)
+    out = set()
+    for item, body in items:
+        two = sorted((counts[w], w) for w in set(body) if counts[w])[:2]
+        for name, words in texts:
+            out |= {(name, item, p, q) for p, x in enumerate(words) for q, y in enumerate(words) if len(two) == 2 and x == two[0][1] and y == two[1][1] and abs(p - q) <= slop}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intersected_lists_against_brute_force(spark, seed):
+    """Few different words, so that windows repeat within a text, overlap, and meet on many shifts."""
+    rng = random.Random(seed)
+    text = lambda n: [rng.choice("abcde") for _ in range(n)]
+    texts = [(i, text(rng.randrange(60))) for i in range(20)]
+    items = [(i, text(rng.randrange(1, 9))) for i in range(12)] + [(12, ["a"]), (13, ["b", "b", "b"]), (14, ["a", "unseen", "b"]), (15, texts[3][1][2:12])]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontaminate.decontaminate(table, bench, size=4, slop=3)
+    assert collected(found, "doc_id", "n_words", "n_hit", "items") == brute_leaks([(i, " ".join(w)) for i, w in texts], [(i, " ".join(w)) for i, w in items], 4)
+    near = brute_near(texts, [i for i in items if i[1]], 3)
+    assert collected(decontaminate.proximity_matches(table, bench, slop=3), "doc_id", "item_id", "first", "second") == sorted(near, key=repr)
+    names = {i: sorted({str(item) for name, item, _, _ in near if name == i}) for i, _ in texts}
+    assert {r.doc_id: r.near for r in found.collect()} == names
+
+
 # --- 10 token counts ---
 
 
