@@ -10,6 +10,7 @@ from checks.facts import START, big
 from checks.scan import quoted
 from checks.summaries import counted_sql
 from codestrata.functions import markdown as M
+from codestrata.functions.doc_types import DocumentType, document_types
 from codestrata.functions.naming import DOCUMENT_TITLES
 from codestrata.functions.paths import CONFIG_FORMATS, CONFIG_PURPOSES
 from codestrata.plans import documents as DO
@@ -229,6 +230,29 @@ add("repo_documents", lambda s, d: DO.repo_documents(tables(s, d)).withColumn("b
       'DOC-' || substring(upper(repo), 1, 10) || '-' || substring(upper(doc_type), 1, 15) AS control_id, md5(body) AS body FROM bodies""", *CTES, blocks_sql(list(DOCUMENTS)), BODIES))
 
 
+RELEASE = DocumentType(
+    "release-notes", "Release Notes", when=lambda: F.col("scripts") | F.col("docker"), sections=("Changes", "Upgrading"), before="usage-patterns",
+    rules=lambda t: [
+        DO.Rule("repos", 20, "## Commands\n", DO.has("scripts")),
+        DO.Rule("scripts", 21, F.concat(F.lit("- `"), F.col("command"), F.lit("`")), None, F.col("source_ord"), F.col("pos")),
+        DO.Rule("repos", 30, F.concat(F.lit("\n## Size\n\n"), F.col("files").cast("string"), F.lit(" files"))),
+    ])
+
+
+def added_documents(s, d):
+    """Documents of a type that the library does not have."""
+    with document_types(RELEASE):
+        return big()(DO.repo_documents(tables(s, d), doc_types=["release-notes"]).select("repo", "doc_type", "filename", "title", "body"))
+
+
+add("repo_documents_added_type", added_documents, feature_sql("""SELECT repo, 'release-notes' AS doc_type, 'RELEASE_NOTES.md' AS filename, repo || ' Release Notes' AS title,
+      string_agg(text, chr(10) ORDER BY section, k1, k2) AS body FROM release SEMI JOIN (SELECT repo FROM needs_b WHERE script OR docker) USING (repo) GROUP BY repo""", *CTES, f"""
+release AS (SELECT repo, 10 AS section, '' AS k1, 0 AS k2, concat('# ', repo, ' Release Notes', chr(10)) AS text FROM rp
+  UNION ALL SELECT repo, 20, '', 0, concat('## Commands', chr(10)) FROM {having("scripts")}
+  UNION ALL SELECT repo, 21, CAST(source_ord AS VARCHAR), pos, '- `' || command || '`' FROM scripts
+  UNION ALL SELECT repo, 30, '', 0, concat(chr(10), '## Size', chr(10), chr(10), files, ' files') FROM rp)"""))
+
+
 def semantic_overview(s, d):
     """The overview with purpose, concepts and architecture from all answers about the repository."""
     fields = M.parse_labelled_fields(whole_answers(s, d).filter(F.col("doc_type") == "repository-overview"), ["repo"], "body")

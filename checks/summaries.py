@@ -70,6 +70,8 @@ add("per_group_head", lambda s, d: big()(head_per_group(features(s, d), ["repo",
 def names_sql(alias: str, condition: str) -> str:
     return f"""
 {alias}_n AS (SELECT DISTINCT repo, dir_key, name FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY pos) AS rk FROM symbols WHERE {condition}) WHERE rk <= 10),
+{alias}_t AS (SELECT repo, dir_key, count(DISTINCT name) AS n FROM symbols WHERE {condition} GROUP BY ALL),
+{alias}_e AS (SELECT repo, dir_key, least(count(*), 30) AS n FROM {alias}_n GROUP BY ALL),
 {alias} AS (SELECT repo, dir_key, string_agg(name, ', ' ORDER BY name) AS {alias} FROM (
     SELECT *, row_number() OVER (PARTITION BY repo, dir_key ORDER BY name) AS rk FROM {alias}_n) WHERE rk <= 30 GROUP BY ALL)"""
 
@@ -81,13 +83,16 @@ dir_cat AS (SELECT repo, dir_key, string_agg(category || ' (' || n || ')', ', '
     (list(category ORDER BY n DESC, category))[1] AS majority FROM (SELECT repo, dir_key, category, count(*) AS n FROM feat GROUP BY ALL) GROUP BY ALL),
 dir_keys AS (SELECT repo, dir_key, string_agg(path, ', ' ORDER BY path) AS key_files FROM (
     SELECT *, row_number() OVER (PARTITION BY repo, dir_key ORDER BY path) AS rk FROM feat WHERE score10 >= 3 OR is_entry_point) WHERE rk <= 10 GROUP BY ALL),
+dir_keys_t AS (SELECT repo, dir_key, greatest(count(*) - 10, 0) AS n FROM feat WHERE score10 >= 3 OR is_entry_point GROUP BY ALL),
 {names_sql('classes', "symbol_type <> 'function'")}, {names_sql('functions', "symbol_type = 'function'")},
 dir_sym AS (SELECT repo, dir_key, count(*) AS symbols FROM symbols GROUP BY ALL),
 directories AS (
   SELECT repo, dir_key, file_count, languages, categories, coalesce(key_files, '') AS key_files, coalesce(classes, '') AS classes, coalesce(functions, '') AS functions,
-    coalesce(symbols, 0) AS symbols, coalesce({hit_case('lower(dir_key)', P.DIRECTORY_PURPOSES)}, upper(substring(majority, 1, 1)) || substring(majority, 2) || ' files') AS description
+    coalesce(symbols, 0) AS symbols, coalesce(dir_keys_t.n, 0) AS key_files_left,
+    coalesce(classes_t.n - classes_e.n, 0) AS classes_left, coalesce(functions_t.n - functions_e.n, 0) AS functions_left, coalesce({hit_case('lower(dir_key)', P.DIRECTORY_PURPOSES)}, upper(substring(majority, 1, 1)) || substring(majority, 2) || ' files') AS description
   FROM dir_n JOIN dir_lang USING (repo, dir_key) JOIN dir_cat USING (repo, dir_key) LEFT JOIN dir_keys USING (repo, dir_key)
-    LEFT JOIN classes USING (repo, dir_key) LEFT JOIN functions USING (repo, dir_key) LEFT JOIN dir_sym USING (repo, dir_key)
+    LEFT JOIN classes USING (repo, dir_key) LEFT JOIN functions USING (repo, dir_key) LEFT JOIN dir_sym USING (repo, dir_key) LEFT JOIN dir_keys_t USING (repo, dir_key)
+    LEFT JOIN classes_t USING (repo, dir_key) LEFT JOIN classes_e USING (repo, dir_key) LEFT JOIN functions_t USING (repo, dir_key) LEFT JOIN functions_e USING (repo, dir_key)
 )"""
 add("directory_summaries",
     lambda s, d: SU.directory_summaries(features(s, d), FA.symbols(tree(s, d))).drop("majority_category")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codestrata.functions.doc_types import with_added
 from codestrata.functions.paths import lookup
 from codestrata.functions.words import CLASS_WORDS, FUNCTION_WORDS, PLAIN_BASES
 
@@ -94,8 +95,13 @@ def document_filename(doc_type: Column) -> Column:
     return F.concat(F.translate(F.upper(doc_type), "-", "_"), F.lit(".md"))
 
 
+def document_titles() -> dict[str, str]:
+    """Titles by type, those of added types as well."""
+    return with_added(DOCUMENT_TITLES, "title")
+
+
 def document_title(repo: Column, doc_type: Column) -> Column:
-    return F.concat(repo, F.lit(" "), lookup(DOCUMENT_TITLES, doc_type))
+    return F.concat(repo, F.lit(" "), lookup(document_titles(), doc_type))
 
 
 def control_id(repo: Column, doc_type: Column) -> Column:

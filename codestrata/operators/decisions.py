@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths as P
+from codestrata.functions.doc_types import in_order, with_added
 from codestrata.operators.facts import file_facts
 from codestrata.sources.trees import ignore_dirs
 
@@ -75,9 +76,12 @@ def infra_score(facts: DataFrame) -> DataFrame:
 
 
 def doc_needs(facts: DataFrame, generate_all: bool = False) -> DataFrame:
-    """Document types each repository needs, one row each, numbered in the order they were decided."""
+    """Document types each repository needs, one row each, numbered in the order they were decided.
+
+    Added types (``codestrata.functions.doc_types``) are decided with the others.
+    """
     if generate_all:
-        needs = F.array(*[F.lit(d) for d in DOCUMENT_TYPES])
+        needs = F.array(*[F.lit(d) for d in in_order(DOCUMENT_TYPES)])
         return facts.select("repo", F.posexplode(needs).alias("ord", "doc_type"))
     c = F.col
     infra = c("is_infra")
@@ -93,5 +97,6 @@ def doc_needs(facts: DataFrame, generate_all: bool = False) -> DataFrame:
         "usage-patterns": (c("examples") > 0) | (c("files") > 20),
         "api-reference": c("endpoints") | c("api_framework"),
     }
-    needs = F.array_compact(F.array(*[F.when(rules[d], F.lit(d)) for d in DECISION_ORDER]))
+    rules |= {name: when() for name, when in with_added({}, "when").items()}
+    needs = F.array_compact(F.array(*[F.when(rules[d], F.lit(d)) for d in in_order(DECISION_ORDER)]))
     return infra_score(facts).select("repo", F.posexplode(needs).alias("ord", "doc_type"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, directory_purpose
@@ -87,16 +87,30 @@ def top_symbols(symbols: DataFrame, n: int = 50) -> DataFrame:
     return head_per_group(symbols, ["repo", "dir_key"], [F.col("docstring") == "", "name", "path", "pos"], n)
 
 
-def _distinct_names(symbols: DataFrame, functions: bool, alias: str, per_file: int = 10, per_dir: int = 30) -> DataFrame:
-    """Distinct names of a directory, from the first ones of each file."""
+def _distinct_names(symbols: DataFrame, functions: bool, alias: str, per_file: int, per_dir: int) -> DataFrame:
+    """Distinct names of a directory, from the first ones of each file, and how many of its names are not among them.
+
+    A file's symbols come from one row and are ranked there; a directory is reduced to its different names, and these
+    to their number and the first of them, before anything of it meets in one place.
+    """
+    keys = ["repo", "dir_key"]
     chosen = symbols.filter((F.col("symbol_type") == "function") if functions else (F.col("symbol_type") != "function"))
-    head = head_per_group(chosen, ["repo", "path"], ["pos"], per_file)
-    distinct = head.select("repo", "dir_key", "name").distinct()
-    return joined_head(distinct, ["repo", "dir_key"], ["name"], F.col("name"), per_dir, alias)
+    place = F.row_number().over(Window.partitionBy("repo", "path").orderBy("pos"))
+    names = chosen.select(*keys, "name", (place <= per_file).alias("early")).groupBy(*keys, "name").agg(F.max("early").alias("early"))
+    early = names.filter("early").select(*keys, "name")
+    totals = names.groupBy(*keys).agg(F.count("*").alias("_all"), F.count(F.when(F.col("early"), 1)).alias("_early"))
+    return joined_head(early, keys, ["name"], F.col("name"), per_dir, alias).join(totals, keys).select(
+        *keys, alias, (F.col("_all") - F.least("_early", F.lit(per_dir))).alias(f"{alias}_left")
+    )
+
 
+def directory_summaries(
+    features: DataFrame, symbols: DataFrame, names_per_file: int = 10, names_per_dir: int = 30, key_files_per_dir: int = 10
+) -> DataFrame:
+    """One row per directory. All parts are keyed alike and bounded, so the joins move little.
 
-def directory_summaries(features: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row per directory. All parts are keyed alike and bounded, so the joins move little."""
+    Beside each list stands how many entries it leaves out: ``key_files_left``, ``classes_left``, ``functions_left``.
+    """
     keys = ["repo", "dir_key"]
     base = features.groupBy(*keys).agg(
         F.count("*").alias("file_count"),
@@ -104,14 +118,16 @@ def directory_summaries(features: DataFrame, symbols: DataFrame) -> DataFrame:
         counted_map("category", CATEGORY_NAMES).alias("categories"),
         majority_category().alias("majority_category"),
     )
-    key_files = joined_head(is_key_file(features), keys, ["path"], F.col("path"), 10, "key_files")
+    key = is_key_file(features)
+    left = F.greatest(F.count("*") - key_files_per_dir, F.lit(0)).alias("key_files_left")
+    key_files = joined_head(key, keys, ["path"], F.col("path"), key_files_per_dir, "key_files").join(key.groupBy(*keys).agg(left), keys)
     symbol_count = symbols.groupBy(*keys).agg(F.count("*").alias("symbols"))
     return (
         base.withColumn("description", directory_purpose(F.col("dir_key"), F.col("majority_category")))
         .join(key_files, keys, "left")
-        .join(_distinct_names(symbols, False, "classes"), keys, "left")
-        .join(_distinct_names(symbols, True, "functions"), keys, "left")
+        .join(_distinct_names(symbols, False, "classes", names_per_file, names_per_dir), keys, "left")
+        .join(_distinct_names(symbols, True, "functions", names_per_file, names_per_dir), keys, "left")
         .join(symbol_count, keys, "left")
         .na.fill("", ["key_files", "classes", "functions"])
-        .na.fill(0, ["symbols"])
+        .na.fill(0, ["symbols", "key_files_left", "classes_left", "functions_left"])
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.cleanup import clean_text
 from codestrata.functions.markdown import first_header
+from codestrata.functions.doc_types import with_added
 from codestrata.functions.naming import document_title
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_suffix
 from codestrata.operators.ordering import assemble, joined_head
@@ -257,7 +258,7 @@ def section_plan(documents: DataFrame, extra: dict[str, list[str]] | None = None
 
     The plan is a constant of the query. ``extra`` adds or replaces types.
     """
-    plan = {**SECTIONS, **(extra or {})}
+    plan = {**with_added(SECTIONS, "sections"), **(extra or {})}
     sections = F.coalesce(
         *[F.when(F.col("doc_type") == name, F.array(*[F.lit(s) for s in names])) for name, names in plan.items()],
         F.array(*[F.lit(s) for s in DEFAULT_SECTIONS]),

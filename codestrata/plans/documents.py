@@ -15,7 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.naming import DOCUMENT_TITLES, control_id, document_filename, document_title
+from codestrata.functions.doc_types import with_added
+from codestrata.functions.naming import control_id, document_filename, document_title, document_titles
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_name, lookup, parent_folder
 from codestrata.operators import facts
 from codestrata.operators.ordering import assemble, head_per_group
@@ -273,7 +274,7 @@ def rules_overview(t: Tables) -> list[Rule]:
         Rule("repos", 60, "\n## Entry Points\n\n| Name | Type | Command |\n|---|---|---|", has("entries")),
         Rule("entry_points", 61, text("| ", c("name"), " | ", c("entry_type"), " | ", command, " |"), None, _entry_key(), c("pos")),
         Rule("repos", 90, "\n## Documentation Set\n"),
-        Rule("doc_needs", 91, text("- ", lookup(DOCUMENT_TITLES, c("doc_type"))), None, None, c("ord")),
+        Rule("doc_needs", 91, text("- ", lookup(document_titles(), c("doc_type"))), None, None, c("ord")),
     ]
     if "semantics" in t:
         rules += [
@@ -445,7 +446,7 @@ def rules_operations(t: Tables) -> list[Rule]:
     ]
 
 
-# Further document types register here: name to a function from the tables to rules.
+# The built-in types; ``codestrata.functions.doc_types`` registers further ones.
 SECTION_BUILDERS: dict[str, Callable[[Tables], list[Rule]]] = {
     "repository-overview": rules_overview,
     "architecture-guide": rules_architecture,
@@ -462,17 +463,18 @@ SECTION_BUILDERS: dict[str, Callable[[Tables], list[Rule]]] = {
 
 def document_blocks(tables: Tables, doc_types: list[str] | None = None) -> DataFrame:
     """Blocks of the chosen document types for every repository, title first: one pass over each source."""
-    chosen = doc_types or list(SECTION_BUILDERS)
+    builders = with_added(SECTION_BUILDERS, "rules")
+    chosen = doc_types or list(builders)
     if "repos" in tables:
         t = tables
     else:
         kept = tables.kept()
-        used = {name for doc_type in chosen for rule in SECTION_BUILDERS[doc_type](kept) for name in TABLES_OF.get(rule.source, [rule.source])}
+        used = {name for doc_type in chosen for rule in builders[doc_type](kept) for name in TABLES_OF.get(rule.source, [rule.source])}
         t = with_repos(kept.together(*(used & set(BUILDERS))))
     blocks: dict[str, list[Column]] = {}
     for doc_type in chosen:
         title = Rule("repos", 10, text("# ", document_title(c("repo"), F.lit(doc_type)), "\n"))
-        for rule in [title, *SECTION_BUILDERS[doc_type](t)]:
+        for rule in [title, *builders[doc_type](t)]:
             blocks.setdefault(rule.source, []).append(rule.block(doc_type))
     if "folders" in blocks:
         t = t.extended(file_heads=settle(SOURCES["file_heads"](t)))  # two sources come from these few rows

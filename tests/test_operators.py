@@ -351,3 +351,47 @@ def test_nothing_is_cut_off(spark):
     named = symbols(files)
     assert named.filter("path = 'big.py'").first().name == "Last" and named.filter("path = 'many.js'").count() == 5_000
     assert {r.dir_key: r.symbols for r in directory_summaries(file_features(files), named).collect()}["lib"] == 80
+
+
+def test_added_document_types_are_known_to_plans_built_with_them(spark):
+    from pyspark.sql import functions as F
+
+    from codestrata.functions.doc_types import DocumentType, document_types, register, unregister
+    from codestrata.functions.naming import document_title
+    from codestrata.operators.decisions import DECISION_ORDER, doc_needs, repo_facts
+    from codestrata.plans.context import section_plan
+
+    files = spark.createDataFrame([("r", "src/a.py", "x = 1", 5), ("r", "Makefile", "go:\n\techo", 9), ("s", "notes.txt", "", 0)], "repo string, path string, content string, size_bytes long")
+    wanted = lambda: {r.repo: [n.doc_type for n in sorted(r.n)] for r in doc_needs(repo_facts(files)).groupBy("repo").agg(F.collect_list(F.struct("ord", "doc_type")).alias("n")).collect()}
+    plain = wanted()
+    notes = DocumentType("release-notes", "Release Notes", lambda: F.col("application") > 0, ("Changes",), before=DECISION_ORDER[1])
+    with document_types(notes, DocumentType("glossary", "Glossary")):
+        assert wanted() == {"r": [plain["r"][0], "release-notes", *plain["r"][1:]], "s": plain["s"]}
+        asked = spark.createDataFrame([("r", "release-notes"), ("r", "glossary")], "repo string, doc_type string")
+        assert {(r.doc_type, r.section_name) for r in section_plan(asked).collect()} >= {("release-notes", "Changes"), ("glossary", "Overview")}
+        assert {r[0] for r in asked.select(document_title(F.col("repo"), F.col("doc_type"))).collect()} == {"r Release Notes", "r Glossary"}
+        everything = {r.doc_type for r in doc_needs(repo_facts(files), True).collect()}
+        assert "release-notes" in everything and "glossary" not in everything
+    assert wanted() == plain
+    with pytest.raises(ValueError):
+        register(DocumentType("untitled", ""))
+    with document_types():
+        register(notes)
+        unregister("release-notes")
+    assert wanted() == plain
+
+
+def test_directories_say_how_many_names_they_leave_out(spark):
+    from codestrata.operators.facts import symbols
+    from codestrata.operators.features import file_features
+    from codestrata.operators.summaries import directory_summaries
+
+    rows = [("r", f"lib/m{k}.py", "".join(f"class C{k}x{i}:\n    pass\n\ndef shared{i}():\n    pass\n\n" for i in range(12)), 10) for k in range(4)]
+    files = spark.createDataFrame(rows + [("r", "doc/a.md", "", 0)], "repo string, path string, content string, size_bytes long")
+    found = {r.dir_key: r for r in directory_summaries(file_features(files), symbols(files)).collect()}
+    lib = found["lib"]
+    assert (len(lib.classes.split(", ")), lib.classes_left) == (30, 4 * 12 - 30)
+    assert (len(lib.functions.split(", ")), lib.functions_left) == (10, 2)
+    assert (found["doc"].classes_left, found["doc"].functions_left, found["doc"].key_files_left) == (0, 0, 0)
+    whole = {r.dir_key: r for r in directory_summaries(file_features(files), symbols(files), 1000, 1000, 1000).collect()}["lib"]
+    assert (len(whole.classes.split(", ")), whole.classes_left, whole.functions_left) == (48, 0, 0)
