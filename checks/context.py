@@ -128,20 +128,32 @@ add("repo_context", lambda s, d: G.repo_context(tables(s, d)),
     feature_sql("SELECT repo, 1::BIGINT AS part, string_agg(text, chr(10) || chr(10) ORDER BY section, k1, k2) AS body FROM ctx GROUP BY repo", *CONTEXT_CTES))
 
 
-def short_sql(table: str, order: str, item: str, limit: int, separator: str) -> str:
-    return f"""(SELECT string_agg(item, {separator} ORDER BY rk) FROM (SELECT {item} AS item, row_number() OVER (ORDER BY {order}) AS rk FROM {table} x WHERE x.repo = head.repo) WHERE rk <= {limit})"""
+def short_sql(title: str, table: str, order: str, item: str, limit: int, separator: str) -> str:
+    """A list of the short evidence: its first items, and how many follow."""
+    return f"""coalesce(chr(10) || '{title}:' || right({separator}, 1) || (
+    SELECT string_agg(item, {separator} ORDER BY rk) FILTER (rk <= {limit}) || CASE WHEN count(*) > {limit} THEN {separator} || '... and ' || (count(*) - {limit}) || ' more' ELSE '' END
+    FROM (SELECT {item} AS item, row_number() OVER (ORDER BY {order}) AS rk FROM {table} x WHERE x.repo = head.repo)), '')"""
+
+
+def short_cte(limits: dict[str, int] = {}) -> str:  # noqa: B006
+    lists = [
+        ("dependencies", "Dependencies", "deps", "source_ord, pos", "name", 30, "', '"),
+        ("env_variables", "Environment variables", "envs", "source_ord, source_file, pos", "name", 40, "', '"),
+        ("scripts", "Scripts", "scripts", "source_ord, pos", "name || ': ' || command", 15, "'; '"),
+        ("api_endpoints", "API endpoints", "endpoints", "path, pos", "method || ' ' || endpoint", 10, "', '"),
+        ("ci_workflows", "CI/CD workflows", "workflows", "platform_ord, path", "name || ' (' || platform || ')'", 200, "', '"),
+        ("directories", "Key directories", "directories", "dir_key", "'  ' || dir_key || ': ' || description", 10, "chr(10)"),
+    ]
+    return f"""
+short AS (SELECT repo, concat('Repository: ', repo, chr(10), 'Total files: ', files, chr(10), 'Languages: ', languages, chr(10), 'Tools: ', tools, chr(10), 'Frameworks: ', frameworks,
+    {", ".join(short_sql(title, table, order, item, limits.get(name, limit), separator) for name, title, table, order, item, limit, separator in lists)}) AS context FROM head)"""
 
 
-SHORT = f"""
-short AS (SELECT repo, concat('Repository: ', repo, chr(10), 'Total files: ', files, chr(10), 'Languages: ', languages, chr(10), 'Tools: ', tools, chr(10), 'Frameworks: ', frameworks,
-    coalesce(chr(10) || 'Dependencies: ' || {short_sql('deps', 'source_ord, pos', 'name', 30, "', '")}, ''),
-    coalesce(chr(10) || 'Environment variables: ' || {short_sql('envs', 'source_ord, source_file, pos', 'name', 40, "', '")}, ''),
-    coalesce(chr(10) || 'Scripts: ' || {short_sql('scripts', 'source_ord, pos', "name || ': ' || command", 15, "'; '")}, ''),
-    coalesce(chr(10) || 'API endpoints: ' || {short_sql('endpoints', 'path, pos', "method || ' ' || endpoint", 10, "', '")}, ''),
-    coalesce(chr(10) || 'CI/CD workflows: ' || (SELECT string_agg(platform || ' (' || n || ')', ', ' ORDER BY platform) FROM (SELECT platform, count(*) AS n FROM workflows w WHERE w.repo = head.repo GROUP BY platform)), ''),
-    coalesce(chr(10) || 'Key directories:' || chr(10) || {short_sql('directories', 'dir_key', "'  ' || dir_key || ': ' || description", 10, 'chr(10)')}, '')) AS context FROM head)"""
+SHORT = short_cte()
 SHORT_CTES = [*ALL, HEAD, SHORT]
 add("condensed_context", lambda s, d: G.condensed_context(tables(s, d)), feature_sql("SELECT * FROM short", *SHORT_CTES))
+FEW = {"dependencies": 2, "env_variables": 1, "scripts": 1, "api_endpoints": 1, "ci_workflows": 1, "directories": 2}
+add("condensed_context_few", lambda s, d: G.condensed_context(tables(s, d), FEW), feature_sql("SELECT * FROM short", *ALL, HEAD, short_cte(FEW)))
 
 PLAN = "plan_rows AS (SELECT repo, doc_type, unnest(l) AS section_name, generate_subscripts(l, 1) AS section_ord, len(l) AS section_total FROM (SELECT repo, doc_type, CASE doc_type " + " ".join(
     f"WHEN '{k}' THEN {text_list(v)}" for k, v in G.SECTIONS.items()) + f" ELSE {text_list(G.DEFAULT_SECTIONS)} END AS l FROM needs))"

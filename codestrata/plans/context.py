@@ -15,7 +15,7 @@ from codestrata.functions.markdown import first_header
 from codestrata.functions.doc_types import with_added
 from codestrata.functions.naming import document_title
 from codestrata.functions.paths import CATEGORY_NAMES, LANGUAGE_NAMES, file_suffix
-from codestrata.operators.ordering import assemble, joined_head
+from codestrata.operators.ordering import assemble, head_per_group, joined_head
 from codestrata.operators.summaries import counted_map, files_by_extension, format_counts
 from codestrata.plans.profile import ProfileTables
 
@@ -51,6 +51,16 @@ SECTIONS = {
 }
 DEFAULT_SECTIONS = ["Overview", "Details", "Examples"]
 
+# Lists of the short evidence: title, most items, separator.
+SHORT_LISTS = {
+    "dependencies": ("Dependencies", 30, ", "),
+    "env_variables": ("Environment variables", 40, ", "),
+    "scripts": ("Scripts", 15, "; "),
+    "api_endpoints": ("API endpoints", 10, ", "),
+    "ci_workflows": ("CI/CD workflows", 200, ", "),
+    "directories": ("Key directories", 10, "\n"),
+}
+
 
 def text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -218,32 +228,49 @@ def repo_context(profile: dict[str, DataFrame], max_files: int | None = None, ma
     return assemble(repo_context_blocks(profile, max_files, max_chars), ["repo"], ORDER, "text", "\n\n")
 
 
-def condensed_context(profile: dict[str, DataFrame]) -> DataFrame:
-    """Short evidence: every part has a limit, so one row per repository is of bounded size."""
-    c = F.col
-    out = head_block(profile["features"], profile["markers"])
-    parts = {
-        "_deps": (profile["dependencies"], ["source_ord", "pos"], c("name"), 30, ", "),
-        "_envs": (profile["env_variables"], ["source_ord", "source_file", "pos"], c("name"), 40, ", "),
-        "_scripts": (profile["scripts"], ["source_ord", "pos"], text(c("name"), ": ", c("command")), 15, "; "),
-        "_apis": (profile["api_endpoints"], ["path", "pos"], text(c("method"), " ", c("endpoint")), 10, ", "),
-        "_dirs": (profile["directories"], ["dir_key"], text("  ", c("dir_key"), ": ", c("description")), 10, "\n"),
-    }
-    for alias, (df, order, item, limit, separator) in parts.items():
-        out = out.join(joined_head(df, ["repo"], order, item, limit, alias, separator), "repo", "left")
-    flows = profile["ci_workflows"].groupBy("repo", "platform").agg(F.count("*").alias("n"))
-    # Four platforms exist: workflows are counted by platform, so their number cannot grow the text.
-    flows = flows.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list(text(c("platform"), " (", c("n"), ")"))), ", ").alias("_flows"))
-    out = out.join(flows, "repo", "left")
+def condensed_items(profile: dict[str, DataFrame], limits: dict[str, int] | None = None) -> DataFrame:
+    """(repo, list, rank, item, left): the first items of each list of the short evidence and how many of the list follow.
 
-    def optional(title: str, column: str) -> Column:
-        return F.coalesce(text("\n", title, ": ", c(column)), F.lit(""))
+    All lists are ranked together and counted together, whatever their number. ``limits`` replaces those of ``SHORT_LISTS``.
+    """
+    c, none, zero = F.col, F.lit(""), F.lit(0)
+    sources = {
+        "dependencies": (c("source_ord"), none, c("pos"), c("name")),
+        "env_variables": (c("source_ord"), c("source_file"), c("pos"), c("name")),
+        "scripts": (c("source_ord"), none, c("pos"), text(c("name"), ": ", c("command"))),
+        "api_endpoints": (zero, c("path"), c("pos"), text(c("method"), " ", c("endpoint"))),
+        "ci_workflows": (c("platform_ord"), c("path"), zero, text(c("name"), " (", c("platform"), ")")),
+        "directories": (zero, c("dir_key"), zero, text("  ", c("dir_key"), ": ", c("description"))),
+    }
+    items = union_all([
+        profile[name].select(
+            "repo", F.lit(name).alias("list"), major.cast("int").alias("k1"), middle.alias("k2"), minor.cast("int").alias("k3"), item.alias("item"))
+        for name, (major, middle, minor, item) in sources.items()
+    ])
+    limits = {**{name: limit for name, (_, limit, _) in SHORT_LISTS.items()}, **(limits or {})}
+    limit = F.coalesce(*[F.when(c("list") == name, F.lit(n)) for name, n in limits.items()])
+    keys = ["repo", "list"]
+    totals = items.groupBy(*keys).agg(F.count("*").alias("_all"))
+    head = head_per_group(items, keys, ["k1", "k2", "k3", "item"], max(limits.values())).filter(c("rank") <= limit)
+    return head.join(totals, keys).select(*keys, "rank", "item", F.greatest(c("_all") - limit, F.lit(0)).alias("left"))
+
+
+def condensed_context(profile: dict[str, DataFrame], limits: dict[str, int] | None = None) -> DataFrame:
+    """Short evidence: every list has a limit and says how many items it leaves out, so a repository is one row of bounded size."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda s: s["item"])
+    lists = condensed_items(profile, limits).groupBy("repo", "list").agg(F.struct(ordered.alias("items"), F.first("left").alias("left")).alias("_l"))
+    beside = lists.groupBy("repo").agg(*[F.max(F.when(F.col("list") == name, F.col("_l"))).alias(f"_{name}") for name in SHORT_LISTS])
+
+    def optional(name: str) -> Column:
+        title, _, separator = SHORT_LISTS[name]
+        found = F.col(f"_{name}")
+        more = F.when(found["left"] > 0, text(separator, "... and ", found["left"], " more")).otherwise("")
+        return F.coalesce(text("\n", title, ":", separator[-1:], F.array_join(found["items"], separator), more), F.lit(""))
 
-    return out.select("repo", text(
+    c = F.col
+    return head_block(profile["features"], profile["markers"]).join(beside, "repo", "left").select("repo", text(
         "Repository: ", c("repo"), "\nTotal files: ", c("files"), "\nLanguages: ", c("languages"), "\nTools: ", c("tools"),
-        "\nFrameworks: ", c("frameworks"), optional("Dependencies", "_deps"), optional("Environment variables", "_envs"),
-        optional("Scripts", "_scripts"), optional("API endpoints", "_apis"), optional("CI/CD workflows", "_flows"),
-        F.coalesce(text("\nKey directories:\n", c("_dirs")), F.lit("")),
+        "\nFrameworks: ", c("frameworks"), *[optional(name) for name in SHORT_LISTS],
     ).alias("context"))
 
 
