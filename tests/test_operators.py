@@ -20,6 +20,7 @@ from codestrata.plans.profile import assemble_profile, profile_tables
 from codestrata.sources import folders, sinks, trees
 from codestrata.sources.lines import explode_lines
 from codestrata.sources.samples import PATTERN_LINES, sample_view
+from codestrata.sources.tables import likely_among, look_up
 
 OVERLAPS = {
     ("private_key", "encryption_usage"), ("private_key_pkcs8", "private_key"), ("github_oauth", "github_token"),
@@ -395,3 +396,27 @@ def test_directories_say_how_many_names_they_leave_out(spark):
     assert (found["doc"].classes_left, found["doc"].functions_left, found["doc"].key_files_left) == (0, 0, 0)
     whole = {r.dir_key: r for r in directory_summaries(file_features(files), symbols(files), 1000, 1000, 1000).collect()}["lib"]
     assert (len(whole.classes.split(", ")), whole.classes_left, whole.functions_left) == (48, 0, 0)
+
+
+def test_texts_not_looked_up_do_not_move(spark):
+    small = spark.range(500).select(F.concat(F.lit("r"), F.col("id") % 7).alias("repo"), F.concat(F.lit("p"), F.col("id") * 41).alias("path"), (F.col("id") + 1).alias("rank"))
+    big = spark.range(20_500).select(
+        F.concat(F.lit("r"), (F.floor(F.col("id") / 41) % 7)).alias("repo"), F.concat(F.lit("p"), F.col("id")).alias("path"), F.repeat(F.lit("x"), 50).alias("content"))
+    passed = big.filter(likely_among(small, ["repo", "path"]))
+    assert small.join(passed, ["repo", "path"], "left_anti").count() == 0
+    assert 500 <= passed.count() < 500 + 200
+    assert big.filter(likely_among(small.limit(0), ["repo", "path"])).count() == 0
+    nulls = big.withColumn("repo", F.lit(None).cast("string"))
+    assert look_up(nulls, small, ["repo", "path"]).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = look_up(big, small, ["repo", "path"])
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        moved = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line)
+        tested = next(i for i, line in enumerate(plan) if "Filter" in line and "subquery" in line)
+        made = next(i for i, line in enumerate(plan) if "Range (0, 20500" in line)
+        assert moved < tested < made  # the plan is read from its top
+        assert found.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
