@@ -6,6 +6,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,37 @@ def test_scan_without_rejections_is_exact():
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(q @ x.T >= least[:, None])), strict=True))
 
 
+def test_scan_with_rising_thresholds_keeps_the_best():
+    rng = np.random.default_rng(3)
+    q, x = np.round(rng.normal(size=(40, 24)), 1), np.round(rng.normal(size=(1500, 24)), 1)
+    x[700:760] = x[3]  # ties
+    lists, chosen = rng.integers(0, 3, size=1500), rng.random((40, 3)) < 0.7
+    least = np.full(40, -np.inf)
+    a, b, score = neighbours.scan(q, least, x, np.linalg.qr(rng.normal(size=(24, 24)))[0], 50.0, 5, lists, chosen)
+    exact = np.einsum("id,jd->ij", q, x)
+    for i in range(40):
+        reach = np.flatnonzero(chosen[i][lists])
+        last = np.sort(exact[i, reach])[-6] if len(reach) else np.inf
+        assert set(b[a == i]) >= {j for j in reach if exact[i, j] > last + 1e-9}
+        assert set(b[a == i]) <= set(reach)
+        assert all(score[a == i] >= last - 1e-9)
+
+
+def test_a_full_block_is_scanned_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(size=(neighbours.PART_ROWS, 64)), rng.normal(size=(neighbours.PACK_ROWS, 64))
+    tracemalloc.start()
+    neighbours.scan(q, np.full(len(q), -np.inf), x, np.eye(64), 3.0, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_packs_hold_short_lists_together():
+    found = neighbours.packs(np.array([3000, 1000, 500, 9000, 10, 0, 20]))
+    assert found.tolist() == [0, 0, 1, 2, 3, 3, 3]
+
+
 # --- 3 mixing ---
 
 
