@@ -28,7 +28,7 @@ MOST_LISTS = 1_024
 LIST_ROWS = 1_000
 PROBE_SHARE = 0.85  # of the lists; see README for the recall measured
 PACK_ROWS = 4_096  # vectors of one scan: a block of a long list, or several short lists
-PART_ROWS = 1_024  # queries of one scan
+PART_ROWS = 4_096  # queries of one scan
 TILE_ROWS = 512  # vectors between two thresholds
 PIECE_ROWS = 32_768  # pairs whose vectors are gathered at once
 COLUMNS = 16  # of one column block
