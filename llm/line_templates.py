@@ -10,8 +10,12 @@ first, a field of few values is read as constants; on the others, a value that r
 documents is left open, so that what happens to a line does not depend on the size of the corpus. A line goes if its
 template on any level recurs.
 
+A line of few tokens has no template worth the name: it goes if the line as it is recurs in many documents, a share of
+the table's rows.
+
 Everything is sums and joins over leaves, positions and templates, so no leaf is ever held in one place. Only hashes of
-lines are shuffled to find the leaves that several documents reach; the words of a line are looked at in those alone.
+lines are shuffled to find the leaves that several documents reach; the words of a line are looked at in those alone, and
+a filter on these hashes keeps the other lines from being shuffled or taken apart.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.sources.tables import likely_among
 from llm.common import written
 
-BLANK = r"[\x20\x09-\x0D]+"
 DEPTH = 3  # leading tokens that lead to a leaf
-LEAST_TOKENS = 5  # shorter lines are never boilerplate
+LEAST_TOKENS = 5  # of a line with a template
+SHORT_DOCUMENTS, SHORT_SHARE = 20, 200  # a shorter line goes if as it is it is in so many documents, and in one of so many rows of the table
 LEAST_DOCUMENTS = 3
 LEAST_CONSTANT = 0.6  # share of a template's tokens
 DIVISORS = (50, 10, 2)  # levels: a constant is in one of so many documents of its leaf, and in LEAST_DOCUMENTS
@@ -31,7 +36,9 @@ FIELD = "<*>"
 
 
 def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANK), "")
+    """Runs of characters other than blanks; a line seldom has a blank that is not a space."""
+    plain = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def masked(found: Column) -> Column:
@@ -39,21 +46,26 @@ def masked(found: Column) -> Column:
 
 
 def lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(doc_id, row_key, line, words, leaf) of each line of enough tokens; ``line`` is a hash of its text."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode(F.split("text", "\n")).alias("text"))
-    cut = cut.withColumn("words", tokens(F.col("text"))).filter(F.size("words") >= least_tokens)
-    leaf = F.xxhash64(F.size("words"), masked(F.slice("words", 1, DEPTH)))
-    return cut.select("doc_id", "row_key", F.xxhash64("text").alias("line"), "words", leaf.alias("leaf"))
+    """(doc_id, row_key, line, leaf) of each line that is not blank; ``line`` is a hash of its text, ``leaf`` null for a line of few tokens."""
+    cut = F.transform(F.split("text", "\n"), lambda t: F.struct(F.xxhash64(t).alias("line"), tokens(t).alias("words")))
+    full = F.filter(cut, lambda x: F.size(x["words"]) > 0)
+    leaf = lambda words: F.when(F.size(words) >= least_tokens, F.xxhash64(F.size(words), masked(F.slice(words, 1, DEPTH))))
+    placed = F.transform(full, lambda x: F.struct(x["line"].alias("line"), leaf(x["words"]).alias("leaf")))
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.inline(placed))
 
 
 def recurring(docs: DataFrame, least_tokens: int = LEAST_TOKENS, least_documents: int = LEAST_DOCUMENTS, least_constant: float = LEAST_CONSTANT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_key, line) to be dropped, and the templates they have, one or more a line: (line, template, documents)."""
     docs = docs.select("doc_id", "text")
-    rows = written(lines(docs, least_tokens).select("doc_id", "row_key", "leaf", "line").distinct(), "line-rows")
+    all_rows = written(lines(docs, least_tokens).distinct(), "line-rows")
+    rows, short = all_rows.filter("leaf IS NOT NULL"), all_rows.filter("leaf IS NULL")
     counts = written(rows.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-counts")
     leaves = written(counts.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_documents), "line-leaves")
-    seen = lines(docs, least_tokens).select("leaf", "line", "words").join(leaves.select("leaf"), "leaf").groupBy("leaf", "line").agg(F.first("words").alias("words"))
-    held = written(seen.join(counts, ["leaf", "line"]).join(leaves, "leaf").select("leaf", "line", "docs", F.col("n").alias("total"), masked(F.col("words")).alias("words")), "line-words")
+    wanted = written(counts.join(leaves, "leaf").select("leaf", "line", "docs", F.col("n").alias("total")), "line-wanted")
+    texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
+    texts = texts.filter(likely_among(wanted.select("line"), ["line"])).groupBy("line").agg(F.max("text").alias("text"))
+    held = wanted.join(texts, "line").select("leaf", "line", "docs", "total", masked(tokens(F.col("text"))).alias("words"))
+    held = written(held, "line-words")
     places = held.select("leaf", "line", "docs", "total", F.posexplode("words").alias("pos", "word"))
     common = places.filter(F.col("word") != FIELD).groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("n"), F.first("total").alias("total")).filter(F.col("n") >= least_documents)
     level = sum((F.col("n") * d >= F.col("total")).cast("int") for d in DIVISORS)
@@ -69,7 +81,10 @@ def recurring(docs: DataFrame, least_tokens: int = LEAST_TOKENS, least_documents
     pairs = rows.join(named, ["leaf", "line"])
     shared = pairs.select("leaf", "template", "doc_id", "row_key").distinct().groupBy("leaf", "template").agg(F.count("*").alias("documents"))
     shared = written(shared.filter(F.col("documents") >= least_documents), "line-shared")
+    enough_short = F.greatest(F.lit(SHORT_DOCUMENTS), F.ceil(F.lit(docs.count()) / SHORT_SHARE))
+    often = written(short.groupBy("line").agg(F.count("*").alias("documents")).filter(F.col("documents") >= enough_short), "line-short")
     gone = pairs.join(shared, ["leaf", "template"]).select("doc_id", "row_key", "line").distinct()
+    gone = gone.unionByName(short.join(often, "line").select("doc_id", "row_key", "line"))
     return gone, named.join(shared, ["leaf", "template"]).select("line", "template", "documents")
 
 

@@ -91,19 +91,32 @@ MASKED = "list_transform({}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN
 
 OP5 = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
-l AS (SELECT doc_id, text, line, w, len(w) AS n, {MASKED.format("w[1:3]")} AS head FROM (
+every AS (SELECT doc_id, text, line, w, len(w) AS n FROM (
   SELECT doc_id, text, line, {LINE_WORDS} AS w FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d)
-) WHERE len(w) >= 5),
+) WHERE len(w) > 0),
+l AS (SELECT *, {MASKED.format("w[1:3]")} AS head FROM every WHERE n >= 5),
 rows AS (SELECT DISTINCT doc_id, text, n, head, line FROM l),
 held AS (SELECT n, head, line, any_value(w) AS w, count(DISTINCT (doc_id, text)) AS docs FROM l GROUP BY ALL),
-places AS (SELECT n, head, line, docs, unnest({MASKED.format("w")}) AS word, generate_subscripts(w, 1) AS pos FROM held),
-common AS (SELECT n, head, pos, word FROM places WHERE word <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+leaves AS (SELECT n, head, sum(docs) AS total FROM held GROUP BY ALL HAVING sum(docs) >= 3),
+places AS (SELECT n, head, line, docs, total, unnest({MASKED.format("w")}) AS word, generate_subscripts(w, 1) AS pos FROM held JOIN leaves USING (n, head)),
+common AS (
+  SELECT n, head, pos, word, list_sum([CAST(sum(docs) * x >= any_value(total) AS INTEGER) FOR x IN [50, 10, 2]]) AS level
+  FROM places WHERE word <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3
+),
 named AS (
-  SELECT n, head, line, string_agg(CASE WHEN c.word IS NULL THEN '<*>' ELSE p.word END, ' ' ORDER BY p.pos) AS template
-  FROM places p LEFT JOIN common c USING (n, head, pos, word) GROUP BY n, head, line HAVING count(c.word) >= 0.6 * n
+  SELECT DISTINCT n, head, line, template FROM (
+    SELECT n, head, line, k, string_agg(CASE WHEN c.level >= k THEN p.word ELSE '<*>' END, ' ' ORDER BY p.pos) AS template
+    FROM (SELECT *, unnest([0, 1, 2, 3]) AS k FROM places) p LEFT JOIN common c USING (n, head, pos, word)
+    GROUP BY n, head, line, k HAVING count(*) FILTER (c.level >= k) >= CAST(0.6 AS DOUBLE) * n
+  )
+),
+short AS (
+  SELECT line FROM every WHERE n < 5 GROUP BY line
+  HAVING count(DISTINCT (doc_id, text)) >= greatest(20, ceil((SELECT count(*) FROM documents) / 200))
 ),
 shared AS (SELECT n, head, template FROM rows JOIN named USING (n, head, line) GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= 3),
-gone AS (SELECT DISTINCT doc_id, text, line FROM rows JOIN named USING (n, head, line) JOIN shared USING (n, head, template)),
+gone AS (SELECT DISTINCT doc_id, text, line FROM rows JOIN named USING (n, head, line) JOIN shared USING (n, head, template)
+  UNION SELECT doc_id, text, line FROM d, unnest(string_split(text, chr(10))) u(line) SEMI JOIN short USING (line)),
 cut AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
 SELECT documents.doc_id, k.text, k.n_lines, k.n_dropped
 FROM documents JOIN (

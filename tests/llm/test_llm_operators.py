@@ -299,6 +299,16 @@ def test_templates_of_several_forms_in_one_leaf(spark):
     assert line_templates.drop_recurring(table).filter("n_dropped = 1").count() == 9_000
 
 
+@pytest.mark.parametrize(("documents", "holders", "gone"), [(500, 500, True), (500, 20, True), (500, 19, False), (5_000, 24, False), (5_000, 25, True)])
+def test_short_lines_recur_in_a_share_of_the_table(spark, documents, holders, gone):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"{word(i)} only\n" + ("All\t rights reserved\n" if i < holders else "") + "\n \n") for i in range(documents)]
+    found = line_templates.drop_recurring(spark.createDataFrame([*rows[:-1], rows[0]], "doc_id long, text string"))
+    assert found.filter("n_dropped > 0").count() == (holders + 1 if gone else 0)
+    assert found.filter("text LIKE '%rights%'").count() == (0 if gone else holders + 1)
+    assert found.filter("n_lines - n_dropped < 4").count() == 0
+
+
 # --- 6 quality ---
 
 
