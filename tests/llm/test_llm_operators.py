@@ -303,9 +303,13 @@ def test_templates_of_several_forms_in_one_leaf(spark):
 def test_short_lines_recur_in_a_share_of_the_table(spark, documents, holders, gone):
     word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
     rows = [(i, f"{word(i)} only\n" + ("All\t rights reserved\n" if i < holders else "") + "\n \n") for i in range(documents)]
-    found = line_templates.drop_recurring(spark.createDataFrame([*rows[:-1], rows[0]], "doc_id long, text string"))
-    assert found.filter("n_dropped > 0").count() == (holders + 1 if gone else 0)
-    assert found.filter("text LIKE '%rights%'").count() == (0 if gone else holders + 1)
+    rows[-1] = rows[0]  # a repeated row is one document
+    held = sum("rights" in text for _, text in rows)
+    holders = len({i for i, text in rows if "rights" in text})
+    assert gone == (holders >= max(20, documents / 200))
+    found = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.filter("n_dropped > 0").count() == (held if gone else 0)
+    assert found.filter("text LIKE '%rights%'").count() == (0 if gone else held)
     assert found.filter("n_lines - n_dropped < 4").count() == 0
 
 
