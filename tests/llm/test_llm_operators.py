@@ -6,6 +6,7 @@ import collections
 import itertools
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -348,6 +349,41 @@ def test_quality_on_held_out_documents(spark, sf_dir, docs, nothing):
     assert quality.score(nothing, model).count() == 0
 
 
+def plain_statistics(text):
+    """The numbers of one text, counted one by one."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * 24
+    held = lambda chars: sum(b in chars for b in raw)
+    upper, beyond = held(range(65, 91)), held(range(128, 256))
+    letters = max(held(range(97, 123)) + upper + beyond, 1)
+    words = re.findall("[^ \\t\\n\\v\\f\\r]+", text)
+    n, some = len(words), max(len(words), 1)
+    pairs = [(a, b) for a, b in zip(words, words[1:], strict=False) if a != b]
+    lines = text.split("\n")
+    repeated = 1 - len(set(words)) / some
+    share = lambda pattern: sum(bool(re.search(pattern, w)) for w in words) / some
+    return [
+        math.log1p(len(raw)), math.log1p(n), sum(len(w.encode()) for w in words) / some, upper / letters, held(range(48, 58)) / len(raw), beyond / letters,
+        held(b" \t\r\x0b\x0c") / len(raw), held(b"\n") / some, held(b".!?") / some, held(b"!") / some, held(b",;:'\"()-") / some,
+        held(b"#$%&*+/<=>@[\\]^_`{|}~") / some, repeated, repeated / math.log1p(some), max(collections.Counter(words).values(), default=0) / some,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / some, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0,
+        1 - len(set(lines)) / len(lines), len(lines) / some, share(r"[#$%&*+/<=>@\[\]^_`{|}~\\]\Z"), share(r"\A[^0-9A-Za-z\u0080-\U0010FFFF]+\Z"),
+        share(r"\A[A-Z]"), share(r"\A[^a-z]*[A-Z][^a-z]+\Z"), share(r"\A.{1,3}\Z"),
+    ]
+
+
+def test_statistics_against_one_by_one_counts():
+    rng = random.Random(9)
+    pieces = ["the", "The", "THE", "ab", "x1", "42", "--", "!!", "über", "ÄÖ", "日本", "end.", "a#", "~", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", ", ", "WoW!", "A1-B"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts += ["", None, " ", "\n", "one", "same same same", "a b a b a b", "word " * 50_000, "\n" * 1000, "é" * 3]
+    found = quality.statistics(pa.array(texts, pa.string()))
+    assert np.allclose(found, [plain_statistics(t) for t in texts], rtol=1e-5, atol=1e-6)
+    assert np.array_equal(quality.statistics(pa.array(texts, pa.string()).slice(5, 20)), found[5:25])
+    assert quality.statistics(pa.array([], pa.string())).shape == (0, found.shape[1])
+
+
 # --- 7 n-gram join ---
 
 
