@@ -11,8 +11,8 @@ from codestrata.operators.scan import has_blocker, scan_content
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """Parquet files with a given name that arrive in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """Parquet tables with a given name, one file or a folder of files each, that arrive in a folder or in its ``key=value`` folders."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name},*=*/{name}}}")
 
 
 def stream_scan(stream: DataFrame, keys: list[str], text: str, level: str = "standard") -> DataFrame:

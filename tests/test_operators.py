@@ -21,6 +21,7 @@ from codestrata.sources import folders, sinks, trees
 from codestrata.sources.lines import explode_lines
 from codestrata.sources.samples import PATTERN_LINES, sample_view
 from codestrata.sources.tables import likely_among, look_up
+from codestrata.streaming import gate
 
 OVERLAPS = {
     ("private_key", "encryption_usage"), ("private_key_pkcs8", "private_key"), ("github_oauth", "github_token"),
@@ -420,3 +421,21 @@ def test_texts_not_looked_up_do_not_move(spark):
         assert found.count() == 500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("place", ["", "day=1/"])
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files, place):
+    """A table is one file or a folder of files; other tables beside it are left alone."""
+    spark.range(30).repartition(files).write.parquet(str(tmp_path / "made"))
+    folder, parts = tmp_path / "in" / place, sorted((tmp_path / "made").glob("*.parquet"))
+    folder.mkdir(parents=True)
+    if files == 1:
+        parts[0].rename(folder / "documents.parquet")
+    else:
+        (tmp_path / "made").rename(folder / "documents.parquet")
+    spark.range(100, 110).write.parquet(str(folder / "labels.parquet"))
+    stream = gate.read_stream(spark, str(tmp_path / "in"), "documents.parquet", spark.range(0).schema)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [*range(30)]
