@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import random
 import re
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +256,28 @@ def test_files_are_dealt_by_size(tmp_path, monkeypatch):
     assert len(parts) > 5 and all(sum(s for _, s in p.names) <= 300 for p in parts)
 
 
+def test_shares_of_a_tree(tmp_path):
+    """Each task lists a share of the repositories; the shares together are the tree."""
+    names = [f"r{i}/f{k}" for i in range(20) for k in range(3)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    shares = [[n for p in folders.TreeReader({"path": str(tmp_path), "share": i, "shares": 4}).partitions() for n, _ in p.names] for i in range(4)]
+    assert sorted(n for share in shares for n in share) == sorted(names)
+    assert all(0 < len(share) < len(names) for share in shares)
+
+
+def test_names_of_files_do_not_reach_the_driver(tmp_path):
+    """What a writing task tells the driver does not grow with its files; a repeated move goes on where it ended."""
+    batch = lambda n: pa.RecordBatch.from_pydict({"folder": [f"r{i}" for i in range(n)], "filename": ["x"] * n, "body": [str(i) for i in range(n)]})
+    writer = folders.NamedWriter({"path": str(tmp_path), "staging": str(tmp_path / ".writing")})
+    few, many = (writer.write(iter([batch(n)])) for n in (2, 300))
+    assert len(pickle.dumps(few)) == len(pickle.dumps(many)) < 1000
+    folders.move(many.folder, str(tmp_path / "out"))
+    folders.move(many.folder, str(tmp_path / "out"))
+    assert {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("*/x")} == {f"r{i}": f"{i}\n" for i in range(300)}
+
+
 def test_named_files(spark, tmp_path):
     names = ["007", "7", "a/b", "..", ".", "100%", "%2F", "x+y z", "é"]
     rows = [(n, f"{n}.md", p, f"{n} part {p}") for n in names for p in (2, 1)] + [("7", "empty", 1, None)]
