@@ -294,6 +294,23 @@ def test_named_files(spark, tmp_path):
     assert {r.repo for r in sinks.read_documents(spark, str(tmp_path / "text")).collect()} == {"7", "007"}
 
 
+def test_documents_as_text_are_written_and_listed_by_tasks(spark, tmp_path):
+    """The planner does not list the folder of each document, and Spark reads the same from them; a second call replaces the first."""
+    names = ["007", "a=b/c", "100%", "%2F", "x+y z", "é", "..", "q'[1]?", "line\nbreak", None]
+    rows = [(n, f"{n}.md", p, f"{n} part {p}") for n in names for p in (2, 1)] + [("7", None, 1, None)]
+    table = spark.createDataFrame(rows, "repo string, filename string, part int, body string").repartition(5)
+    path = str(tmp_path / "text")
+    sinks.write_documents(table.select(F.lit("old").alias("repo"), "filename", "body"), path, as_text=True)
+    sinks.write_documents(table, path, as_text=True)
+    read = sinks.read_documents(spark, path)
+    found = {(r.repo, r.filename): r.body for r in read.collect()}
+    assert found == {(n, f"{n}.md"): f"{n} part 1\n{n} part 2\n" for n in names} | {("7", None): "\n"}
+    of_spark = spark.read.schema("value string, repo string, filename string").text(path, wholetext=True)
+    assert {(r.repo, r.filename): r.value for r in of_spark.collect()} == found
+    assert "FileScan" not in read._jdf.queryExecution().executedPlan().toString()
+    assert [*(tmp_path / "text").glob("**/.*")] == []
+
+
 def test_flow_values_and_blocks_of_settings(spark):
     """Against values written down by hand: brackets and signs in quotes, comments, nested maps, lists in every form."""
     texts = {
