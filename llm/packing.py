@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -26,7 +27,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_TEXT = 50256
 BLOCK_BYTES = 4 << 20
-KEPT_CUTS = 400_000
+SLICE_BYTES = 2 << 20  # encoded at once
+SLICE_ROWS = 128  # made and handed on at once
+KEPT_CUTS = 200_000
 
 SCHEMA = "pack_id string, ids array<int>, n_tokens int, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind}>, piece_starts array<long>"
 
@@ -98,7 +101,19 @@ class Coder:
         return np.array(numbers, dtype=np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each ended by ``end``, and the offset of each text in them.
+        """Ids of all texts, each ended by ``end``, and the offset of each text in them. Taken in slices, whose arrays are a multiple of their texts."""
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+        ids, lengths, start = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)], 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+            found, offsets = self.encode_slice(texts.slice(start, stop - start), end)
+            ids.append(found)
+            lengths.append(np.diff(offsets))
+            start = stop
+        return np.concatenate(ids), np.cumsum(np.concatenate(lengths))
+
+    def encode_slice(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``.
 
         The texts are cut where no token can reach across. The cuts repeat a lot, so each different one is encoded once and
         the ids are gathered.
@@ -202,10 +217,12 @@ def pack(docs: DataFrame, length: int = 2048, path: str = VOCABULARY, end: int =
             start = offsets[owner] + within * length
             sizes = np.minimum(offsets[owner + 1] - start, length)
             packed = best_fit_decreasing(sizes, length)
-            yield table(packed, ids, start, sizes, within * length, rows.column("doc_id").take(pa.array(owner)), f"{split:07d}-{block:05d}")
+            names = rows.column("doc_id").take(pa.array(owner))
+            for at in range(0, len(packed), SLICE_ROWS):
+                yield table(packed[at : at + SLICE_ROWS], ids, start, sizes, within * length, names, f"{split:07d}-{block:05d}", at)
 
-    def table(packed, ids, start, sizes, first, names, prefix) -> pa.RecordBatch:
-        order = np.fromiter((p for row in packed for p in row), dtype=np.int64, count=len(sizes))
+    def table(packed, ids, start, sizes, first, names, prefix, at) -> pa.RecordBatch:
+        order = np.fromiter((p for row in packed for p in row), dtype=np.int64)
         counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
         bounds = np.concatenate([[0], np.cumsum(counts)])
         size = sizes[order]
@@ -225,7 +242,7 @@ def pack(docs: DataFrame, length: int = 2048, path: str = VOCABULARY, end: int =
         segments = pa.array(bounds.astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([f"{prefix}-{i:06d}" for i in range(len(packed))]), pa.ListArray.from_arrays(full, pa.array(matrix.ravel())),
+                pa.array([f"{prefix}-{i:06d}" for i in range(at, at + len(packed))]), pa.ListArray.from_arrays(full, pa.array(matrix.ravel())),
                 pa.array(filled.astype(np.int32)), pa.ListArray.from_arrays(pa.array((bounds + np.arange(len(bounds))).astype(np.int32)), pa.array(limits)),
                 pa.ListArray.from_arrays(full, pa.array(places.ravel())), pa.ListArray.from_arrays(segments, names.take(pa.array(order))),
                 pa.ListArray.from_arrays(segments, pa.array(first[order])),

@@ -14,6 +14,7 @@ from llm.boosting import Trees, fit
 from llm.common import ragged, segment_sum, text_chunks, written
 
 SAMPLE_ROWS = 20_000
+SLICE_BYTES = 1 << 20  # of texts measured at once
 THRESHOLD = 0.7
 
 
@@ -104,7 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     """Trees fitted on the statistics of at most about ``rows`` labelled documents; only these statistics reach the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in text_chunks(batches):
+        for batch, text in text_chunks(batches, SLICE_BYTES):
             raw = pa.array([row.tobytes() for row in statistics(text)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), raw], ["doc_id", "label", "x"])
 
@@ -123,7 +124,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in text_chunks(batches):
+        for rows, text in text_chunks(batches, SLICE_BYTES):
             found = statistics(text)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(model.predict(found[:, : len(model.edges)]))], ["doc_id", "score"])
 
@@ -136,7 +137,7 @@ def keep(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFra
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in text_chunks(batches):
+        for rows, text in text_chunks(batches, SLICE_BYTES):
             good = model.predict(statistics(text)[:, : len(model.edges)]) >= threshold
             yield rows.filter(pa.array(good))
 

@@ -672,3 +672,19 @@ def test_token_counts_of_documents(docs, nothing):
         want.append((name, len(words), sum(brute_tokens(token_counts.WORD_START + w, known) for w in words)))
     assert collected(token_counts.count_tokens(docs, pieces), "doc_id", "n_words", "n_tokens") == sorted(want, key=repr)
     assert token_counts.count_tokens(nothing, pieces).count() == 0
+
+
+def test_texts_are_encoded_and_rows_made_in_slices(monkeypatch):
+    """Slices give the same ids as one; what is derived from a text at once is bounded by a slice, not by a block."""
+    with open(packing.VOCABULARY, "rb") as file:
+        ranks = file.read()
+    rng = random.Random(5)
+    texts = pa.array(["".join(rng.choice(["word ", "é ", "12, ", "\n", "don't ", ""]) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", "x" * 5000])
+    whole = packing.Coder(ranks).encode(texts, packing.END_OF_TEXT)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 700)
+    seen = []
+    one = packing.Coder.encode_slice
+    monkeypatch.setattr(packing.Coder, "encode_slice", lambda self, part, end: seen.append(part) or one(self, part, end))
+    sliced = packing.Coder(ranks).encode(texts, packing.END_OF_TEXT)
+    assert all(a.tolist() == b.tolist() for a, b in zip(whole, sliced, strict=True))
+    assert pa.concat_arrays(seen).equals(texts) and all(len(p) == 1 or pc.sum(pc.binary_length(p)).as_py() <= 700 for p in seen)
