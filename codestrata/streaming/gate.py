@@ -11,8 +11,14 @@ from codestrata.operators.scan import has_blocker, scan_content
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """Parquet tables with a given name, one file or a folder of files each, that arrive in a folder or in its ``key=value`` folders."""
-    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name},*=*/{name}}}")
+    """Parquet tables with a given name, one file or a folder of files each, that arrive in a folder or in its ``key=value`` folders.
+
+    The table of the folder itself may be divided into ``key=value`` folders of its own, whose keys are columns of ``schema``: its batches
+    find them below the base path. The other tables are read without one, so that their folders may come after the start.
+    """
+    own = spark.readStream.schema(schema).option("basePath", folder).parquet(f"{folder}/{{{name}}}")
+    others = spark.readStream.schema(schema).parquet(f"{folder}/*=*/{name}")
+    return own.select(*schema.names).unionByName(others.select(*schema.names))
 
 
 def stream_scan(stream: DataFrame, keys: list[str], text: str, level: str = "standard") -> DataFrame:

@@ -480,3 +480,18 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files, pla
     query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [*range(30)]
+
+
+def test_streams_read_tables_in_key_folders_and_those_that_come_later(spark, tmp_path):
+    """The keys of a table's own folders are columns; tables in folders beside it are read too, also after the start."""
+    def run():
+        stream = gate.read_stream(spark, str(tmp_path / "in"), "documents.parquet", table.schema)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    spark.range(30).selectExpr("id", "concat('k ', id % 3) AS kind").write.partitionBy("kind").parquet(str(tmp_path / "in/documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "in/documents.parquet"))
+    assert run() == [(i, f"k {i % 3}") for i in range(30)]
+    spark.range(30, 40).selectExpr("id", "'late' AS kind").write.parquet(str(tmp_path / "in/day=1/documents.parquet"))
+    assert run() == [(i, f"k {i % 3}" if i < 30 else "late") for i in range(40)]

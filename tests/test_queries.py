@@ -45,3 +45,10 @@ def test_streams_over_a_table_of_many_files(spark, sf_dir, tmp_path, name):
     spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     found, expected = (queries()[name](spark, folder) for folder in (str(tmp_path), sf_dir))
     assert rows(found.columns, found.collect()) == rows(expected.columns, expected.collect()) != []
+
+
+@pytest.mark.parametrize("name", ["stream_gate", "stream_scan"])
+def test_streams_over_a_table_in_key_folders(spark, sf_dir, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").write.partitionBy("lang", "source").parquet(str(tmp_path / "documents.parquet"))
+    found, expected = (queries()[name](spark, folder) for folder in (str(tmp_path), sf_dir))
+    assert rows(found.columns, found.collect()) == rows(expected.columns, expected.collect()) != []
