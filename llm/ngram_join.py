@@ -5,8 +5,9 @@
    get back those that also occur elsewhere; an n-gram common inside a slice of texts is sent once for the slice, so
    that no bucket grows with how frequent an n-gram is.
 2. Equal sets are one class. Over the classes that are left, n-grams are ordered by how many classes have them, rarest
-   first. Two linked classes share an element among the first few of either (prefix filter); following such elements
-   gives clusters of classes outside of which nothing links.
+   first. Two linked classes share elements among the first few of either (prefix filter), and so many that what their
+   prefixes leave out can make up the rest. Pairs for which that holds are followed to clusters of classes outside of
+   which nothing links. An n-gram that many prefixes have is not taken apart in pairs: it keeps its classes together.
 3. Within a cluster the ordered sets, most frequent element first, form a trie whose shared paths are stored once. A
    probe walks down from the root, adds up overlaps along shared paths once, and leaves a subtree as soon as the
    lengths that remain cannot reach the threshold. Sets already connected to the cluster's largest component need no
@@ -36,6 +37,10 @@ from llm.common import components, mix64, ragged, text_chunks, written
 N = 5
 THRESHOLD = (3, 4)  # numerator and denominator, so that the test is in whole numbers
 BLOCK_ELEMENTS = 150_000  # of the sets of one trie
+SLICE_BYTES, PIECE_BYTES = 4 << 20, 1 << 20  # of texts whose n-grams are sent together, and that are taken apart at once
+PROBE_BLOCKS = 4  # probes that meet one trie have as many elements as this many blocks
+BUCKET_BYTES = 8 << 20  # of texts, whose n-grams come to a bucket
+PAIRED = 32  # most classes with an n-gram in their prefixes that are compared pair by pair
 KEPT_BITS = 40  # of a hash that are sent; the others are what the bucket stands for
 PARTS = "slice long, bucket long, hashes binary, docs binary, meta binary"
 
@@ -57,9 +62,8 @@ def gram_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """
     words, offsets = ragged(pc.ascii_split_whitespace(pc.ascii_lower(text)))
     kinds = words.dictionary_encode()
-    names = kinds.dictionary.to_pylist()
-    code = pd.util.hash_array(np.array([*names, ""], dtype=object), categorize=False)[:-1]
-    real = np.fromiter(map(bool, names), dtype=bool, count=len(names))
+    code = pd.util.hash_array(kinds.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    real = np.asarray(pc.binary_length(kinds.dictionary)) > 0
     at = np.asarray(kinds.indices)
     kept = real[at]
     value = code[at[kept]]
@@ -80,13 +84,19 @@ def gram_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         short[longer] = (short[longer] + np.uint64(k + 1)) * base + value[(offsets[few] + k)[longer]]
     grams = mix64(np.concatenate([grams, short ^ np.uint64(0x5851F42D4C957F2D)]))
     grams_owner = np.concatenate([grams_owner, few])
-    order = np.lexsort((grams, grams_owner))
+    order = np.argsort(grams)
+    order = order[by_small(grams_owner[order], len(text))]
     grams, grams_owner = grams[order], grams_owner[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (grams_owner[1:] != grams_owner[:-1])
     return grams[new], grams_owner[new]
 
 
+def by_small(values: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of whole numbers from 0 to ``below``; numbers of 16 bits are sorted by radix."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
 def gram_ids(grams: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and kept bits of each hash in one number: what n-grams are told apart by from here on."""
     bits = np.uint64(KEPT_BITS)
@@ -104,52 +114,86 @@ def from_low_bytes(raw: bytes) -> np.ndarray:
 
 
 def counts_of(docs: np.ndarray, n: int) -> bytes:
-    """How many entries each of ``n`` documents has, in as few bytes as the largest count needs (the first byte)."""
-    counts = np.bincount(docs, minlength=n + 1)[:n]
+    """How many entries each of ``n`` documents has, in as few bytes as the largest count needs (the first byte).
+
+    Where fewer entries than documents are named: 0 and the steps from one entry's document to the next one's, a byte
+    each; 255 says that the step goes on in the next byte. So the bytes grow with the entries at any number of buckets.
+    """
+    docs = docs[docs < n]
+    if len(docs) < n:
+        steps = np.diff(docs, prepend=0)
+        raw = np.full(len(docs) + int((steps // 255).sum()), 255, dtype=np.uint8)
+        raw[np.cumsum(steps // 255 + 1) - 1] = steps % 255
+        return b"\0" + raw.tobytes()
+    counts = np.bincount(docs, minlength=n)
     width = next(w for w in (1, 2, 4) if counts.max(initial=0) < 1 << 8 * w)
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def from_counts(raw: bytes, entries: int) -> np.ndarray:
     """The document of each entry; entries that several documents of the slice have come last and have -1."""
-    counts = np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
-    docs = np.full(entries, -1, dtype=np.int64)
-    docs[: int(counts.sum())] = np.repeat(np.arange(len(counts)), counts)
+    if raw[0]:
+        counts = np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
+        named = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    else:
+        steps = np.frombuffer(raw, dtype=np.uint8, offset=1)
+        named = np.cumsum(steps, dtype=np.int32)[steps < 255]
+    docs = np.full(entries, -1, dtype=np.int32)
+    docs[: len(named)] = named
     return docs
 
 
+def slice_sets(rows: pa.RecordBatch, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice, taken in pieces: id and document of each n-gram of each text, sizes of the sets and their two fingerprints."""
+    ids, owners, sizes, prints = [], [], [], []
+    start = 0
+    for part, text in text_chunks(iter([rows]), PIECE_BYTES):
+        grams, owner = gram_sets(text, n)
+        ids.append(gram_ids(grams, buckets))
+        owners.append((owner + start).astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(text)).astype(np.int64))
+        both = np.zeros((2, len(text)), dtype=np.uint64)
+        np.add.at(both[0], owner, mix64(grams))
+        np.add.at(both[1], owner, mix64(grams ^ np.uint64(0xD6E8FEB86659FD93)))
+        prints.append(both.view(np.int64))
+        start += part.num_rows
+    return np.concatenate(ids), np.concatenate(owners), np.concatenate(sizes), np.concatenate(prints, axis=1)
+
+
+def slice_rows(rows: pa.RecordBatch, here: int, n: int, buckets: int) -> pa.RecordBatch:
+    """What slice ``here`` sends: its n-grams by bucket, and (bucket below 0) what it keeps about its documents."""
+    whole, owner, size, prints = slice_sets(rows, n, buckets)
+    order = np.argsort(whole)
+    ordered = whole[order]
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(whole) else np.zeros(1, np.int64)
+    del ordered
+    times = np.diff(edge)
+    many = np.zeros(len(whole), dtype=bool)
+    many[order] = np.repeat(times > 1, times)
+    # One entry for each n-gram, by bucket, then in the order of documents; those that several have come last.
+    who = np.where(many, np.int32(rows.num_rows), owner)
+    first = order[edge[:-1]]
+    del order, edge, times
+    first = first[by_small(who[first], rows.num_rows + 1)]
+    first = first[by_small(whole[first] >> KEPT_BITS, buckets)]
+    out, docs_of = whole[first], who[first]
+    bucket = out >> KEPT_BITS
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(out) else np.zeros(1, np.int64)
+    parts = [(here, int(bucket[a]), low_bytes(out[a:b]), counts_of(docs_of[a:b], rows.num_rows), None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    ids = rows.column("doc_id").cast(pa.int64())
+    meta = np.stack([np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_null(ids)).astype(np.int64), size, *prints])
+    parts.append((here, -1 - here, whole[many].tobytes(), owner[many].astype(np.uint16).tobytes(), meta.tobytes()))
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], ["slice", "bucket", "hashes", "docs", "meta"])
+
+
 def send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Rows for each slice of texts: its n-grams by bucket, and (bucket below 0) what the slice keeps about its documents."""
+    """Rows for each slice of texts, with a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, (rows, text) in enumerate(text_chunks(batches, 2 << 20)):
-            here = (task << 24) + number
-            grams, owner = gram_sets(text, n)
-            order = np.argsort(grams, kind="stable")
-            sorted_grams = grams[order]
-            edge = np.flatnonzero(np.concatenate([[True], sorted_grams[1:] != sorted_grams[:-1], [True]])) if len(grams) else np.zeros(1, np.int64)
-            times = np.diff(edge)
-            many = np.zeros(len(grams), dtype=bool)
-            many[order] = np.repeat(times > 1, times)
-            # One entry for each n-gram, in the order of documents; those that several have come last.
-            first = np.sort(order[edge[:-1]]) if len(grams) else order
-            first = np.concatenate([first[~many[first]], first[many[first]]])
-            whole, who = gram_ids(grams, buckets), np.where(many, len(text), owner)
-            out, bucket = whole[first], (whole[first] >> KEPT_BITS)
-            by = np.argsort(bucket, kind="stable")
-            out, docs_of, bucket = out[by], who[first][by], bucket[by]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(out) else np.zeros(1, np.int64)
-            parts = [(here, int(bucket[a]), low_bytes(out[a:b]), counts_of(docs_of[a:b], len(text)), None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            ids = rows.column("doc_id").cast(pa.int64())
-            size = np.bincount(owner, minlength=len(text)).astype(np.int64)
-            prints = np.zeros((2, len(text)), dtype=np.uint64)
-            np.add.at(prints[0], owner, mix64(grams))
-            np.add.at(prints[1], owner, mix64(grams ^ np.uint64(0xD6E8FEB86659FD93)))
-            meta = np.stack([np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_null(ids)).astype(np.int64), size, *prints.view(np.int64)])
-            parts.append((here, -1 - here, whole[many].tobytes(), owner[many].astype(np.uint16).tobytes(), meta.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], ["slice", "bucket", "hashes", "docs", "meta"])
+        for number, (rows, _) in enumerate(text_chunks(batches, SLICE_BYTES)):
+            yield slice_rows(rows, (task << 24) + number, n, buckets)
 
     return docs.select("doc_id", "text").mapInArrow(run, PARTS)
 
@@ -164,8 +208,9 @@ def answer(table: pa.Table) -> pa.Table:
     docs = np.concatenate([from_counts(x, len(p)) for x, p in zip(table.column("docs").to_pylist(), parts, strict=True)])
     bounds = np.cumsum([0, *map(len, parts)])
     grams = np.concatenate(parts)
-    order = np.argsort(grams, kind="stable")
-    same = grams[order][1:] == grams[order][:-1]
+    order = np.argsort(grams)
+    ordered = grams[order]
+    same = ordered[1:] == ordered[:-1]
     again = np.zeros(len(grams), dtype=bool)
     again[order[1:]] |= same
     again[order[:-1]] |= same
@@ -195,7 +240,7 @@ def gather(table: pa.Table) -> pa.Table:
     ids, no_id, size, first, second = meta
     held = np.bincount(docs, minlength=len(ids))
     kept = (held >= need(size)) & (size > 0) & (no_id == 0)
-    order = np.argsort(docs, kind="stable")
+    order = by_small(docs, len(ids))
     order = order[kept[docs[order]]]
     ends = np.concatenate([[0], np.cumsum(np.where(kept, held, 0))]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[order]))
@@ -299,9 +344,13 @@ class Trie:
 def forest(sets: list[np.ndarray], full: np.ndarray, probes: list[int] | None, universe: int) -> list[tuple[int, int]]:
     """Links (set, set) that connect what all links of ``probes`` connect.
 
-    Without a list of probes all links count, and sets are probed until those that are left lie in one component.
+    Without a list of probes all links count, and sets are probed until those that are left lie in one component. Listed
+    probes meet the other sets only.
     """
-    trie = Trie(sets, full)
+    held = np.setdiff1d(np.arange(len(sets)), [] if probes is None else probes)
+    if not len(held):
+        return []
+    trie = Trie([sets[k] for k in held], full[held])
     root = list(range(len(sets)))
 
     def find(k: int) -> int:
@@ -316,7 +365,7 @@ def forest(sets: list[np.ndarray], full: np.ndarray, probes: list[int] | None, u
 
     def probe(k: int) -> None:
         nonlocal largest
-        for other in trie.linked(sets[k], int(full[k]), universe):
+        for other in held[trie.linked(sets[k], int(full[k]), universe)].tolist():
             a, b = find(k), find(other)
             if a != b:
                 links.append((k, other))
@@ -342,8 +391,38 @@ def forest(sets: list[np.ndarray], full: np.ndarray, probes: list[int] | None, u
     return links
 
 
+def hopeful(number: np.ndarray, offsets: np.ndarray, full: np.ndarray, asking: np.ndarray) -> np.ndarray:
+    """Which of the rows that are ``asking`` share enough of their prefixes with one of the others to link, as in ``pairs``.
+
+    The elements of a row come as they are ordered for the prefixes, the same in all rows: rarest first.
+    """
+    held, least = np.diff(offsets), need(full)
+    row = np.repeat(np.arange(len(full)), held)
+    early = np.arange(len(number)) - offsets[row] <= held[row] - least[row]
+    others, place = np.flatnonzero(~asking), np.cumsum(~asking) - 1
+    at = np.flatnonzero(early & ~asking[row])
+    at = at[np.argsort(number[at], kind="stable")]
+    keys, owner = number[at], place[row[at]]
+    at = np.flatnonzero(early & asking[row])
+    mine, mine_of = number[at], row[at]
+    rows, passed = np.flatnonzero(asking), np.zeros(len(full), dtype=bool)
+    step = max(1, (1 << 22) // max(len(keys), len(others), 1))  # a row meets each key once at most
+    for k in range(0, len(rows) if len(others) else 0, step):
+        some = rows[k : k + step]
+        a, b = np.searchsorted(mine_of, some[0]), np.searchsorted(mine_of, some[-1], side="right")
+        low = np.searchsorted(keys, mine[a:b])
+        width = np.searchsorted(keys, mine[a:b], side="right") - low
+        met = owner[np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())]
+        cell = np.repeat(np.searchsorted(some, mine_of[a:b]), width) * len(others) + met
+        shared = np.bincount(cell, minlength=len(some) * len(others)).reshape(len(some), len(others))
+        needed = need(full[some][:, None], full[others][None, :])
+        larger, fewer = np.maximum(least[some][:, None], least[others]), np.minimum(held[some][:, None], held[others])
+        passed[some] = ((shared > 0) & (shared + larger > needed) & (fewer >= needed)).any(axis=1)
+    return passed
+
+
 def link(table: pa.Table, marked: bool) -> pa.Table:
-    """Links (a, b) within one block; with ``marked``, those of the rows marked as probes."""
+    """Links (a, b) within one block; with ``marked``, those of the rows marked as probes with the others."""
     order = np.argsort(np.asarray(table.column("c")), kind="stable")
     table = table.take(pa.array(order))
     ids, full = np.asarray(table.column("c")), np.asarray(table.column("n"))
@@ -353,10 +432,15 @@ def link(table: pa.Table, marked: bool) -> pa.Table:
     rank = np.empty(len(kinds), dtype=np.int64)
     rank[np.lexsort((kinds, -times))] = np.arange(len(kinds))
     number = rank[number]
-    sets = [np.sort(number[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    probes = np.flatnonzero(table.column("probe").to_numpy()).tolist() if marked else None
-    found = forest(sets, full, probes, len(kinds))
-    a, b = (pa.array([ids[x[k]] for x in found], pa.int64()) for k in (0, 1))
+    rows, probes = np.arange(len(ids)), None
+    if marked:
+        asking = table.column("probe").to_numpy()
+        rows = np.flatnonzero(~asking | hopeful(number, offsets, full, asking))
+        probes = np.flatnonzero(asking[rows]).tolist()
+    found = []
+    if probes is None or probes:
+        found = forest([np.sort(number[offsets[k] : offsets[k + 1]]) for k in rows], full[rows], probes, len(kinds))
+    a, b = (pa.array([ids[rows[x[k]]] for x in found], pa.int64()) for k in (0, 1))
     return pa.table({"a": a, "b": b})
 
 
@@ -368,7 +452,8 @@ def sets_with_partners(docs: DataFrame, n: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     octets = docs.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * partitions, octets // (16 << 20))
+    # Each slice sends a row to each bucket: both are as large as a task has room for, however large the table.
+    buckets = max(2 * partitions, octets // BUCKET_BYTES)
     sent = send(docs, n, buckets)
     answered = sent.groupBy("bucket").applyInArrow(answer, PARTS)
     schema = "doc_id long, n long, fa long, fb long, kept boolean, grams array<long>"
@@ -376,19 +461,43 @@ def sets_with_partners(docs: DataFrame, n: int) -> DataFrame:
 
 
 def clustered(elements: DataFrame) -> DataFrame:
-    """c, n, grams, cluster of the classes of ``elements`` (c, fa, n, g) that share an element of their prefixes with another one."""
+    """c, n, grams, cluster of the classes of ``elements`` (c, fa, n, g) that may link with another one."""
     often = elements.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     items = elements.join(often, "g").groupBy("c", "fa", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("items"))
     top, bottom = THRESHOLD
-    least = F.ceil(F.col("n") * top / bottom).cast("int")
-    able = written(items.filter(F.size("items") >= least).select("c", "n", "items", (F.size("items") - least + 1).alias("prefix")), "ngram-items")
-    prefixes = written(able.select("c", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("x")).select("c", "x.g"), "ngram-prefixes")
-    roots = prefixes.groupBy("g").agg(F.min("c").alias("root"), F.count("*").alias("k")).filter("k > 1")
-    edges = prefixes.join(roots, "g").filter("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")).distinct()
+    able = items.withColumn("least", F.ceil(F.col("n") * top / bottom).cast("int")).filter(F.size("items") >= F.col("least"))
+    able = written(able.select("c", "n", "items", "least", (F.size("items") - F.col("least") + 1).alias("prefix")), "ngram-items")
+    first = F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("x")
+    prefixes = written(able.select("c", "n", F.size("items").alias("held"), "least", first).select("c", "n", "held", "least", "x.g"), "ngram-prefixes")
+    edges = pairs(prefixes).unionByName(stars(prefixes)).distinct()
     clusters = components(edges, "ngram-clusters").select(F.col("node").alias("c"), F.col("label").alias("cluster"))
     return written(able.join(clusters, "c").select("c", "n", F.col("items.g").alias("grams"), "cluster"), "ngram-clustered")
 
 
+def pairs(prefixes: DataFrame) -> DataFrame:
+    """(a, b) of the classes that share enough of their ``prefixes`` (c, n, held, least, g) to link, but for n-grams of more than ``PAIRED`` classes.
+
+    Say the prefix of a set ends first in the common order. Elements shared up to there are in both prefixes, and ``least`` - 1
+    elements of that set come later: the overlap is below the shared elements of the prefixes plus the larger ``least``. It is
+    not above the ``held`` elements of either. A pair that shares a more frequent n-gram besides is held together by ``stars``.
+    """
+    top, bottom = THRESHOLD
+    lists = prefixes.groupBy("g").agg(F.count("*").alias("k")).filter(F.col("k").between(2, PAIRED)).select("g")
+    short = written(prefixes.join(lists, "g"), "ngram-lists")
+    x, y = (short.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("c", "n", "held", "least")]) for side in "ab")
+    needed = top * (F.col("n_a") + F.col("n_b"))
+    met = x.join(y, "g").filter((F.col("c_a") < F.col("c_b")) & ((top + bottom) * F.least("held_a", "held_b") >= needed))
+    shared = met.groupBy("c_a", "c_b", "n_a", "n_b", F.greatest("least_a", "least_b").alias("least")).agg(F.count("*").alias("shared"))
+    enough = (top + bottom) * (F.col("shared") + F.col("least") - 1) >= needed
+    return shared.filter(enough).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+
+
+def stars(prefixes: DataFrame) -> DataFrame:
+    """(a, b) that hold together the classes of each n-gram that more than ``PAIRED`` of the ``prefixes`` have."""
+    roots = prefixes.groupBy("g").agg(F.min("c").alias("root"), F.count("*").alias("k")).filter(F.col("k") > PAIRED)
+    return prefixes.join(roots, "g").filter("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))
+
+
 def links(sets: DataFrame) -> DataFrame:
     """(a, b) that connect what the sets (c, n, grams, cluster) connect."""
     sizes = sets.groupBy("cluster").agg(F.sum(F.size("grams")).alias("elements"))
@@ -410,7 +519,7 @@ def links(sets: DataFrame) -> DataFrame:
     if outside.isEmpty():
         return found
     # Sets outside the component of the first one meet every block of their cluster; a block's own rows are dealt to each group of them.
-    groups = outside.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_ELEMENTS).cast("int").alias("groups"))
+    groups = outside.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / (PROBE_BLOCKS * BLOCK_ELEMENTS)).cast("int").alias("groups"))
     probes = outside.join(groups, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     probes = probes.withColumn("part", F.pmod(F.xxhash64("c", F.lit(1)), F.col("groups")).cast("int")).withColumn("probe", F.lit(True))
     base = large.join(groups, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("probe", F.lit(False))

@@ -437,6 +437,36 @@ def test_join_finds_every_component(spark, docs, nothing, monkeypatch, block):
         assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("paired", [2, ngram_join.PAIRED])
+def test_join_of_sets_of_many_sizes(spark, monkeypatch, paired):
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    rng = random.Random(23)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 8, 12, 30, 80, 200]))]
+        for _ in range(rng.choice([2, 4, 12])):
+            start, short = (rng.randrange(0, len(base) // 4 + 1) for _ in "ab")
+            words = base[start : len(base) - short * rng.choice([0, 0, 1])]
+            for _ in range(rng.randrange(0, 2 + len(base) // 40)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+            rows.append((len(rows), " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(ngram_join.near_duplicates(table), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_sets_that_cannot_link_share_no_cluster(spark):
+    # Each set shares one element with each of its 28 neighbours in a ring, so that all of them hang together.
+    ring, reach = 3000, 14
+    rows = [(k, 10 * k, 2 * reach, ring * step + (k - step * back) % ring) for k in range(ring) for step in range(1, reach + 1) for back in (0, 1)]
+    schema = "c long, fa long, n long, g long"
+    elements = spark.createDataFrame(rows, schema)
+    assert ngram_join.clustered(elements).count() == 0
+    # Two of them with a copy that lacks one element are a cluster each.
+    more = [(ring + k, 7, 2 * reach - 1, g) for k in (5, 900) for c, _, _, g in rows if c == k and g != ring + k]
+    found = ngram_join.clustered(elements.unionByName(spark.createDataFrame(more, schema)))
+    assert {(r.cluster, r.c) for r in found.collect()} == {(5, 5), (5, ring + 5), (900, 900), (900, ring + 900)}
+
+
 def test_trie_links_are_those_of_all_pairs():
     rng = random.Random(1)
     for _ in range(60):
@@ -456,6 +486,23 @@ def test_trie_links_are_those_of_all_pairs():
             assert sorted(trie.linked(own, int(full[k]), kinds)) == want
 
 
+def test_documents_of_few_entries_take_few_bytes():
+    rng = np.random.default_rng(4)
+    for n, entries in [(1, 0), (1, 1), (3, 3), (700, 5), (30_000, 40), (32_768, 1), (300, 300), (2, 70_000), (30_000, 29_000)]:
+        docs = np.sort(rng.integers(0, n, entries))
+        raw = ngram_join.counts_of(np.append(docs, [n, n]), n)
+        assert ngram_join.from_counts(raw, entries + 2).tolist() == [*docs.tolist(), -1, -1]
+        assert len(raw) <= max(entries + n // 255, 0 if entries < n else 4 * n) + 1
+
+
+def test_slices_are_large(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2500)) for _ in range(100)] * 2
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sent = ngram_join.send(table, 5, 8).groupBy((F.col("bucket") < 0).alias("own")).agg(F.count("*").alias("rows"))
+    assert collected(sent, "own", "rows") == [(False, 8), (True, 1)]  # 3.9 MB of texts
+
+
 def test_one_row_of_each_text_stays(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
     rows = [(1, one), (2, one), (2, two), (None, one), (3, three), (3, three), (4, None), (4, None), (5, ""), (None, None), (None, three + " end"), (6, "x y")]
