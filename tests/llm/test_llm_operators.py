@@ -486,6 +486,24 @@ def test_trie_links_are_those_of_all_pairs():
             assert sorted(trie.linked(own, int(full[k]), kinds)) == want
 
 
+def test_only_probes_that_may_link_go_down_a_trie():
+    rng = random.Random(8)
+    passed = 0
+    for _ in range(80):
+        base = rng.sample(range(50, 90), rng.randint(4, 30))
+        sets = [sorted((set(base) - set(rng.sample(base, rng.randint(0, len(base) // 3)))) | set(rng.sample(range(50), rng.randint(0, 6)))) for _ in range(rng.randint(1, 15))]
+        full = np.array([len(s) + rng.randint(0, 1) for s in sets])
+        asking = np.array([rng.random() < 0.5 for _ in sets])
+        offsets = np.cumsum([0, *map(len, sets)])
+        found = ngram_join.hopeful(np.concatenate(sets), offsets, full, asking)
+        linked = [any(100 * len(set(a) & set(b)) >= 75 * (full[j] + full[k] - len(set(a) & set(b))) for k, b in enumerate(sets) if not asking[k]) for j, a in enumerate(sets)]
+        assert not (found & ~asking).any() and all(found[k] for k in range(len(sets)) if asking[k] and linked[k])
+        passed += int(found.sum())
+    assert passed
+    apart = np.concatenate([[0, *range(100 * k, 100 * k + 27)] for k in range(1, 5)])
+    assert not ngram_join.hopeful(apart, np.arange(5) * 28, np.full(4, 28), np.array([True, False, True, False])).any()
+
+
 def test_documents_of_few_entries_take_few_bytes():
     rng = np.random.default_rng(4)
     for n, entries in [(1, 0), (1, 1), (3, 3), (700, 5), (30_000, 40), (32_768, 1), (300, 300), (2, 70_000), (30_000, 29_000)]:
